@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches follow bytes as well as rows, so that very long texts don't fill a Python worker."""
+_shipped: set[str] = set()
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Prepares a session for this package's Python functions.
+
+    The package goes to the executors' Python path, and Arrow batches follow bytes as well as rows, so that very long
+    texts don't fill a Python worker.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from wicketflow.llm import bpe, sharding, token_counts
 from wicketflow.llm.common import table, utf8
-from wicketflow.llm import sharding
 
 N_SHARDS = 24
 
@@ -26,5 +28,29 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the byte-level vocabulary."""
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, decoded="decoded")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.digest("ids").alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+TOKEN_LIMIT = 2048
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    rows = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+    return rows.select(
+        "doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
