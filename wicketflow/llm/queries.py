@@ -16,16 +16,15 @@ N_SHARDS = 24
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 24 shards by law key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sharding.write_shards(docs, "doc_id", N_SHARDS, text="text", seed=42).placed()
-    return rows.select(
+    shards = sharding.write_shards(docs, "doc_id", N_SHARDS, text="text", seed=42)
+    rows = shards.placed(
         "doc_id",
         (F.octet_length(utf8(F.col("text"))) + F.lit(8)).cast("long").alias("size"),
         F.crc32(utf8(F.col("text"))).alias("text_crc32"),
         F.lit("key").alias("law"),
-        "shard",
-        F.col("slot").cast("long").alias("slot"),
         sharding.grown_shard(F.col("doc_id"), N_SHARDS, 42).alias("grown_shard"),
     )
+    return rows.withColumn("slot", F.col("slot").cast("long"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,12 +30,16 @@ class Shards:
     n_shards: int
     seed: int
 
-    def placed(self) -> DataFrame:
-        """rows with slot: the place in the shard, gapless from 0."""
+    def placed(self, *columns: Column | str) -> DataFrame:
+        """columns of rows (default: all) with shard and slot: the place in the shard, gapless from 0.
+
+        Columns are computed in the scan, before the join with the buckets' starts, so that it carries no more than them.
+        """
         sizes = self.rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        return self.rows.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("place")).drop("start")
+        slim = self.rows.select(*(columns or [c for c in self.rows.columns if c not in ("shard", "bucket", "place")]), "shard", "bucket", "place")
+        return slim.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("place")).drop("start", "bucket", "place")
 
 
 def rendezvous(key: Column, n_shards: int, seed: int = 0) -> Column:
