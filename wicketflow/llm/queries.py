@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, sharding, token_counts
+from wicketflow.llm import bpe, decontamination, sharding, token_counts
 from wicketflow.llm.common import table, utf8
 
 N_SHARDS = 24
@@ -39,6 +39,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that overlap."""
+    found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM b WHERE len(w) >= {decontamination.SHORT}),
+m AS (SELECT DISTINCT doc_id, item_id, n, dw.pos - bw.pos AS shift, bw.pos AS pos FROM dw JOIN bw USING (word)),
+c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, n, shift ORDER BY pos
+        RANGE BETWEEN CURRENT ROW AND {decontamination.WINDOW - 1} FOLLOWING) AS matched FROM m)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched FROM c
+WHERE matched >= CASE WHEN n >= {decontamination.WINDOW} THEN {decontamination.NEED} ELSE n END GROUP BY doc_id, item_id
+"""
+
+
 TOKEN_LIMIT = 2048
 
 
@@ -51,5 +70,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_token_counts": op8_token_counts}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
