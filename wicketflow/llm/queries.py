@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, sharding, token_counts
+from wicketflow.llm import bpe, decontamination, language_id, sharding, token_counts
 from wicketflow.llm.common import table, utf8
 
 N_SHARDS = 24
@@ -58,6 +58,14 @@ WHERE matched >= CASE WHEN n >= {decontamination.WINDOW} THEN {decontamination.N
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~apart), language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return language_id.identify(docs.select("doc_id", "text", apart.alias("held_out")), model).drop("text")
+
+
 TOKEN_LIMIT = 2048
 
 
@@ -70,5 +78,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_token_counts": op8_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
