@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, language_id, sharding, token_counts
+from wicketflow.llm import bpe, decontamination, language_id, near_dedup, sharding, token_counts
 from wicketflow.llm.common import table, utf8
 
 N_SHARDS = 24
@@ -66,6 +66,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", apart.alias("held_out")), model).drop("text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near duplicates."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 TOKEN_LIMIT = 2048
 
 
@@ -78,5 +83,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op8_token_counts": op8_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
