@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, language_id, near_dedup, sharding, token_counts
+from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts
 from wicketflow.llm.common import table, utf8
 
 N_SHARDS = 24
@@ -58,6 +58,18 @@ WHERE matched >= CASE WHEN n >= {decontamination.WINDOW} THEN {decontamination.N
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document; the counts are those of the fixed patterns."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -83,5 +95,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
