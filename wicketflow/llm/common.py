@@ -74,3 +74,13 @@ def free_name(df: DataFrame, base: str) -> str:
 def utf8(col) -> "F.Column":
     """Bytes of a text in UTF-8; a null text counts as empty."""
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")
+
+
+#: Up to so many short rows (under 100 bytes each in memory) a table is broadcast; beyond, Spark joins by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """df, staged and counted: to be broadcast if its rows are few, else left to Spark's own choice of join."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
