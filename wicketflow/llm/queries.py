@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts
-from wicketflow.llm.common import table, utf8
+from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts, warc
+from wicketflow.llm.common import fresh_path, table, utf8
 
 N_SHARDS = 24
 
@@ -39,6 +39,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    page = F.regexp_extract
+    return warc.resolved(warc.read_archives(spark, path)).select(
+        page("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("sha1").alias("payload_digest"),
+        "record_type",
+        page("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
+    )
+
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS winner FROM p WHERE n >= {warc.REVISIT_BYTES} GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN winner IS NULL OR winner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN winner <> page_id THEN winner END AS refers_to
+FROM p LEFT JOIN w ON p.d = w.d
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that overlap."""
     found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,5 +120,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL}
