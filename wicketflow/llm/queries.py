@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts, warc
+from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts, top_k, warc
 from wicketflow.llm.common import fresh_path, table, utf8
 
 N_SHARDS = 24
@@ -120,5 +120,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL}
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of embeddings for every row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", top_k.quantised(F.col("embedding")).alias("vector"))
+    return top_k.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
+OP9_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_top_k": op9_top_k}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_top_k": OP9_SQL}
