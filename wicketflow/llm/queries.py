@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii, sharding, token_counts, top_k, warc
+from wicketflow.llm import bpe, decontamination, html_text, language_id, near_dedup, pii, sharding, token_counts, top_k, warc
 from wicketflow.llm.common import fresh_path, table, utf8
 
 N_SHARDS = 24
@@ -136,5 +136,11 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_top_k": op9_top_k}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_top_k": op9_top_k, "op10_html_text": op10_html_text}
 ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_top_k": OP9_SQL}
