@@ -6,5 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wicketflow.plans.adapter import Tables, oracle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers f(tables) -> DataFrame under name; sql: what follows the tables' definitions in the oracle."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return add
+
+
+from wicketflow.plans import catalog  # noqa: E402, F401  fills QUERIES
