@@ -32,6 +32,8 @@ SMOOTHING, UNKNOWN = 0.01, 1e-8
 KEPT = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: Words of up to so many letters need no scaling.
+UNSCALED = 36
 
 
 def read_pieces(path: str) -> list[str]:
@@ -75,6 +77,11 @@ class Segmenter:
         b, n, longest = ids.shape
         alpha, scale = np.zeros((b, n + 1, p.shape[1])), np.zeros((b, n + 1))
         alpha[:, 0] = 1
+        if n <= UNSCALED:  # even of unknown letters alone, far above the smallest double
+            for j in range(n):
+                for k in range(min(j + 1, longest)):
+                    alpha[:, j + 1] += alpha[:, j - k] * p[ids[:, j, k]]
+            return alpha, scale
         for j in range(n):
             new = np.zeros((b, p.shape[1]))
             for k in range(min(j + 1, longest)):
