@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from wicketflow.plans import innings_queries  # noqa: F401
+from wicketflow.plans import player_queries  # noqa: F401
