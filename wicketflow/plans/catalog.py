@@ -2,3 +2,4 @@
 
 from wicketflow.plans import innings_queries  # noqa: F401
 from wicketflow.plans import player_queries  # noqa: F401
+from wicketflow.plans import team_queries  # noqa: F401
