@@ -5,3 +5,4 @@ from wicketflow.plans import player_queries  # noqa: F401
 from wicketflow.plans import team_queries  # noqa: F401
 from wicketflow.plans import score_queries  # noqa: F401
 from wicketflow.plans import score_queries  # noqa: F401
+from wicketflow.plans import quality_queries  # noqa: F401
