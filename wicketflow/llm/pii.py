@@ -84,7 +84,7 @@ LABELLED = (
     "{O:} Title Case Words In A Heading And ALL CAPITALS TOO",
 )
 
-_IP_RUN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # looked for only where a run of digits begins: linear
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
