@@ -7,3 +7,4 @@ from wicketflow.plans import score_queries  # noqa: F401
 from wicketflow.plans import score_queries  # noqa: F401
 from wicketflow.plans import quality_queries  # noqa: F401
 from wicketflow.plans import io_queries  # noqa: F401
+from wicketflow.plans import merge_queries  # noqa: F401
