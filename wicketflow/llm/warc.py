@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import python_ready, utf8
+from wicketflow.llm.common import python_ready, small_side, utf8
 
 #: Payloads under so many bytes are always written in full.
 REVISIT_BYTES = 1000
@@ -114,7 +114,7 @@ def write_archives(
     )
     long = F.length("payload") >= REVISIT_BYTES
     winners = rows.where(long).groupBy("digest").agg(F.max("order").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decided = rows.join(winners, "digest", "left").withColumn("refers", F.when(long & ~F.col("order").eqNullSafe(F.col("winner")), F.col("winner").cast("string")))
+    decided = rows.join(small_side(winners, "winners"), "digest", "left").withColumn("refers", F.when(long & ~F.col("order").eqNullSafe(F.col("winner")), F.col("winner").cast("string")))
     decided = decided.select("id", "url", "digest", "refers", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
