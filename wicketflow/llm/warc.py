@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import python_ready, small_side, utf8
+from wicketflow.llm.common import python_ready, small_side, staged, utf8
 
 #: Payloads under so many bytes are always written in full.
 REVISIT_BYTES = 1000
@@ -244,7 +244,9 @@ def reassembled(segments: list[dict]) -> bytes:
 def resolved(records: DataFrame) -> DataFrame:
     """records with payload_bytes and sha1, a revisit's being those of the response that it refers to."""
     sized = records.select("record_id", "record_type", "refers_to", "payload_digest", F.length("payload").cast("long").alias("n"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("sha1"))
-    responses = sized.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("n").alias("rn"), F.max("sha1").alias("rsha1"))
-    return sized.join(responses, "refers_to", "left").select(
-        "record_id", "record_type", "refers_to", "payload_digest", F.coalesce("n", "rn").alias("payload_bytes"), F.coalesce("sha1", "rsha1").alias("sha1")
-    )
+    sized = staged(sized, "sized")
+    rows = sized.where("record_type = 'response'")
+    # only revisits are joined, and with a table of their responses, so that a hot one is split like any skewed key
+    known = rows.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("n").alias("rn"), F.max("sha1").alias("rsha1"))
+    revisits = sized.where("record_type = 'revisit'").join(staged(known, "responses"), "refers_to", "left").withColumn("n", F.col("rn")).withColumn("sha1", F.col("rsha1"))
+    return rows.unionByName(revisits.drop("rn", "rsha1")).select("record_id", "record_type", "refers_to", "payload_digest", F.col("n").alias("payload_bytes"), "sha1")
