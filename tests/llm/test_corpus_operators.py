@@ -104,6 +104,63 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def classes_of(texts, levels):
+    """The smallest index of each text's class, by the weighted similarity of all pairs."""
+    h, tf, ends = near_dedup.shingles(texts)
+    w = [(h[i:j], levels[near_dedup._counter(h[i:j])].astype(int) * tf[i:j]) for i, j in zip(ends, ends[1:])]
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if own[i] != own[j]:
+                _, x, y = np.intersect1d(w[i][0], w[j][0], assume_unique=True, return_indices=True)
+                common = np.minimum(w[i][1][x], w[j][1][y]).sum()
+                if common >= 0.8 * (w[i][1].sum() + w[j][1].sum() - common):
+                    a, b = sorted((own[i], own[j]))
+                    own = [a if k == b else k for k in own]
+    return own
+
+
+@pytest.mark.parametrize("hubs", [1, 0, 2])
+def test_spokes_of_a_hub(spark, hubs):
+    """Copies that are near the original and not near each other; with no original; with a second original near a few of them."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join(base)] if hubs else []
+    for _ in range(300):
+        v = base[:]
+        for at in rng.sample(range(0, 600, 6), 10):  # 50 of 596 shingles
+            v[at] = f"e{rng.random()}"
+        texts.append(" ".join(v))
+    if hubs == 2:
+        second = base[:]
+        for at in range(3, 600, 30):  # 100 shingles: not near the first
+            second[at] = f"s{at}"
+        texts += [" ".join(second)] + [" ".join(second[: 6 * k] + ["new"] + second[6 * k + 1 :]) for k in range(20)]
+        between = base[:]
+        for at in range(3, 300, 30):
+            between[at] = f"s{at}"
+        texts.append(" ".join(between))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    own = classes_of(texts, near_dedup.idf_levels(df))
+    assert [got[i] for i in range(len(texts))] == own
+    assert hubs != 1 or set(own) == {0}
+
+
+def test_prefixes_of_links_meet():
+    rng = np.random.default_rng(4)
+    levels = rng.integers(12, 17, near_dedup.COUNTERS).astype(np.uint8)
+    met = 0
+    for n in [1, 2, 5, 30, 200] * 40:
+        base = rng.integers(0, 2**32, n, dtype=np.uint32)
+        x, y = (np.unique(np.concatenate([base[rng.random(n) > 0.03], rng.integers(0, 2**32, n // 60, dtype=np.uint32)])) for _ in range(2))
+        u, v = (rng.integers(12, 17, len(z)).astype(np.uint16) for z in (x, y))
+        if near_dedup.similarity(x.tobytes(), u.tobytes(), y.tobytes(), v.tobytes()) >= 0.8:
+            met += 1
+            assert set(near_dedup.prefix(x.tobytes(), u.tobytes(), levels, 0.8)) & set(near_dedup.prefix(y.tobytes(), v.tobytes(), levels, 0.8))
+    assert met > 20
+
+
 def test_shingles_do_not_depend_on_batches():
     texts = ["One two, three FOUR five six", None, "", "one", "a b c d e f g a b c d e"] * 3
     h, n, ends = near_dedup.shingles(texts)

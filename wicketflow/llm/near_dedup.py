@@ -12,8 +12,10 @@ connected components of the links, with equal texts together.
   *because* of the copies, and undamped weights would let the few words in which copies differ decide.
 - The random numbers of ICWS (two gamma variables and a uniform one) come from a table of 65536 triples, looked up by a
   hash of shingle and sample number; equal draws are told apart by the shingle's hash.
-- A bucket of at most PAIRS texts is compared pair by pair. In a larger one, every text is compared with the smallest; those
-  that differ from it are dealt again by the key of the next band, until none is left or all bands have been used.
+- A bucket of at most PAIRS texts is compared pair by pair. In a larger one, every text is compared with a pivot, the text
+  that shares most buckets with others. Then every two texts of a large bucket that are not yet in one class are compared,
+  unless one of two bounds shows that they are no link: the weighted Jaccard distance is a metric, so the distances to the
+  pivot differ by at most that of the pair; and the rarest shingle that two linked texts share stands in both prefixes.
 """
 
 from __future__ import annotations
@@ -214,19 +216,55 @@ def similarity(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     return common / (int(u.sum()) + int(v.sum()) - common)
 
 
-def _links(pairs: DataFrame, weighted: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least the threshold."""
+def prefix(h: bytes, w: bytes, levels: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text, by level and hash, so many that the others don't weigh enough for a link."""
+    x = np.frombuffer(h, np.uint32)
+    order = np.lexsort((x, -levels[_counter(x.astype(np.uint64) << np.uint64(32))].astype(np.int64)))
+    u = np.frombuffer(w, np.uint16).astype(np.int64)[order]
+    return x[order[np.cumsum(u) - u <= (1 - threshold) * u.sum() + 1e-6]].view(np.int32)
+
+
+def _prefixes(weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(h, w, levels.value, threshold) for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "prefix"])
+
+    return weighted.select("node", "hashes", "weights").mapInArrow(run, "node binary, prefix array<int>")
+
+
+def _scored(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(a, b, s) for the pairs (a, b): s is their weighted Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ha, wa, hb, wb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-            ok = pa.array([similarity(*x) >= threshold for x in zip(ha, wa, hb, wb)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            s = pa.array([similarity(*x) for x in zip(ha, wa, hb, wb)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], names=["a", "b", "s"])
 
     left = weighted.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = weighted.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, s double")
+
+
+def _unclassed(spokes: DataFrame, links: DataFrame, weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
+    """The pairs (a, b) of texts that share a large bucket, are in different classes by links, and may yet be a link.
+
+    spokes: (key, node, pivot, s), each text of a large bucket, the pivot too, with its similarity to the pivot. In each
+    bucket, the texts outside its most frequent class meet all those of other classes, by a join that Spark splits.
+    """
+    classed = spokes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = staged(classed.select("key", "node", "pivot", "s", "root"), "classed")
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    open_ = sizes.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
+    texts = staged(classed.join(small_side(open_, "open"), "key"), "unclassed")
+    own = _prefixes(weighted.join(texts.select("node").distinct(), "node", "left_semi"), levels, threshold)
+    texts = staged(texts.join(own, "node").select("key", "node", "s", "root", "main", "prefix"), "prefixed")
+    x, y = texts.where("root <> main").alias("x"), texts.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.s") - F.col("y.s")) <= 1 - threshold + 1e-9)
+    both = x.join(y, near & F.arrays_overlap("x.prefix", "y.prefix"))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -242,31 +280,28 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     levels = spark.sparkContext.broadcast(idf_levels(rows))
     banded = rows.where(F.col("node").isNotNull())
     ids = banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keyed = staged(_bands(banded, levels).select("node", "bands").dropDuplicates(["node"]), "bands")
-    left, links, weighted = keyed.select("node", "bands", F.posexplode("bands").alias("band", "key")), None, None
-    for step in range(BANDS):
-        slim = left.select("key", "node")
-        buckets = slim.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        found = staged(left.join(buckets, "key"), "buckets")
-        few = found.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-        few = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRS))).alias("b"))
-        star = found.where((F.col("n") > PAIRS) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-        pairs = few.unionByName(star).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if weighted is None:
-            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node")
-            wanted = wanted.select("node", F.col("doc_id").alias("first_id"))
-            texts = banded.join(small_side(wanted, "wanted"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-            weighted = staged(_weighted(texts, levels), "weighted")
-        good = staged(_links(pairs, weighted, threshold).distinct(), "links")
-        links = good if links is None else links.unionByName(good)
-        # those of large buckets that differ from the smallest: dealt again by the next band's key
-        rest = found.where((F.col("n") > PAIRS) & (F.col("node") != F.col("least"))).join(good, (F.col("a") == F.col("least")) & (F.col("b") == F.col("node")), "left_anti")
-        left = staged(rest.select("node", "bands", "band", F.xxhash64("key", F.get("bands", F.pmod(F.col("band") + F.lit(step + 1), F.lit(BANDS)))).alias("key")), "rest")
-        if left.isEmpty():
-            break
+    keyed = staged(_bands(banded, levels).select("node", "bands").dropDuplicates(["node"]), "bands").select("node", F.explode("bands").alias("key"))
+    found = staged(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    few = found.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    few = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRS))).alias("b"))
+    large = found.where(F.col("n") > PAIRS)
+    ranked = large.join(large.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    pivots = staged(ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("pivot")), "pivots")
+    spokes = staged(large.join(pivots, "key").select("key", "node", "pivot"), "spokes")
+    star = spokes.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    pairs = staged(few.unionByName(star).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node")
+    wanted = wanted.select("node", F.col("doc_id").alias("first_id"))
+    texts = banded.join(small_side(wanted, "wanted"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    weighted = staged(_weighted(texts, levels).dropDuplicates(["node"]), "weighted")
+    scored = staged(_scored(pairs, weighted), "scored")
+    links = scored.where(F.col("s") >= threshold).select("a", "b")
+    if not spokes.isEmpty():
+        at = (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b"))
+        spokes = spokes.join(scored, at, "left").select("key", "node", "pivot", F.coalesce("s", F.lit(1.0)).alias("s"))
+        rest = _unclassed(spokes, links, weighted, levels, threshold).join(scored, ["a", "b"], "left_anti")
+        more = staged(_scored(staged(rest, "rest"), weighted).where(F.col("s") >= threshold).select("a", "b"), "links")
+        links = links.unionByName(more)
     roots = components(links)
     known = rows.select("doc_id", "node").join(roots, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
     # staged, so that the join below reads two shuffles and a large class is split like any skewed key
