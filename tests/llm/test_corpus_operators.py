@@ -154,13 +154,21 @@ def test_prefixes_of_links_meet():
     for n in [1, 2, 5, 30, 200] * 40:
         base = rng.integers(0, 2**32, n, dtype=np.uint32)
         x, y = (np.unique(np.concatenate([base[rng.random(n) > 0.03], rng.integers(0, 2**32, n // 60, dtype=np.uint32)])) for _ in range(2))
-        u, v = (rng.integers(12, 17, len(z)).astype(np.uint16) for z in (x, y))
+        u, v = (rng.integers(12, 17, len(z)).astype(np.uint32) for z in (x, y))
         if near_dedup.similarity(x.tobytes(), u.tobytes(), y.tobytes(), v.tobytes()) >= 0.8:
             met += 1
             assert set(near_dedup.prefix(x.tobytes(), u.tobytes(), levels, 0.8)) & set(near_dedup.prefix(y.tobytes(), v.tobytes(), levels, 0.8))
     assert met > 20
 
 
+def test_weights_of_long_repeats(spark):
+    df = spark.createDataFrame([(b"a", "word " * 6004), (b"b", "word " * 60004)], "node binary, text string")
+    near_dedup.python_ready(spark)
+    levels = spark.sparkContext.broadcast(np.full(near_dedup.COUNTERS, 16, np.uint8))
+    x, y = sorted(near_dedup._weighted(df, levels).collect())
+    assert near_dedup.similarity(x["hashes"], x["weights"], y["hashes"], y["weights"]) == 0.1
+
+
 def test_shingles_do_not_depend_on_batches():
     texts = ["One two, three FOUR five six", None, "", "one", "a b c d e f g a b c d e"] * 3
     h, n, ends = near_dedup.shingles(texts)

@@ -190,12 +190,12 @@ def _bands(docs: DataFrame, levels: Broadcast) -> DataFrame:
 
 
 def _weighted(docs: DataFrame, levels: Broadcast) -> DataFrame:
-    """(node, hashes, weights) with 32-bit shingle hashes in order and 16-bit weights."""
+    """(node, hashes, weights) with 32-bit shingle hashes in order and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, tf, ends = shingles(batch.column(1).to_pylist())
-            w = np.minimum(levels.value[_counter(h)] * tf, 65535).astype(np.uint16)
+            w = (levels.value[_counter(h)] * tf).astype(np.uint32)
             h = (h >> np.uint64(32)).astype(np.uint32)  # ascending within a text, as h is
             spans = list(zip(ends, ends[1:]))
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +209,7 @@ def _weighted(docs: DataFrame, levels: Broadcast) -> DataFrame:
 def similarity(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     """Weighted Jaccard similarity of two texts' shingles."""
     x, y = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
-    u, v = np.frombuffer(wa, np.uint16).astype(np.int64), np.frombuffer(wb, np.uint16).astype(np.int64)
+    u, v = np.frombuffer(wa, np.uint32).astype(np.int64), np.frombuffer(wb, np.uint32).astype(np.int64)
     at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
     same = np.flatnonzero(y[at] == x) if len(y) else np.zeros(0, np.int64)
     common = int(np.minimum(u[same], v[at[same]]).sum())
@@ -220,7 +220,7 @@ def prefix(h: bytes, w: bytes, levels: np.ndarray, threshold: float) -> np.ndarr
     """The rarest shingles of a text, by level and hash, so many that the others don't weigh enough for a link."""
     x = np.frombuffer(h, np.uint32)
     order = np.lexsort((x, -levels[_counter(x.astype(np.uint64) << np.uint64(32))].astype(np.int64)))
-    u = np.frombuffer(w, np.uint16).astype(np.int64)[order]
+    u = np.frombuffer(w, np.uint32).astype(np.int64)[order]
     return x[order[np.cumsum(u) - u <= (1 - threshold) * u.sum() + 1e-6]].view(np.int32)
 
 
