@@ -228,3 +228,15 @@ def test_html_template(spark):
     rows = [(i, "http://t.example/", f"<html><body><div class='x'><p>Welcome to our site</p><p>story {i} goes on</p></div><div class='y'><a href='/'>one {i}</a> <a>two {i}</a></div></body></html>") for i in range(12)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r["text"] for r in out.collect()} == {f"story {i} goes on" for i in range(12)}
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies_are_no_template(spark):
+    copy = "<body><div><h1>The same title</h1><p>The same story</p></div></body>"
+    rows = [(i, "http://c.example/", copy) for i in range(30)] + [(30 + i, "http://c.example/", f"<body><div><h1>title {i}</h1><p>story {i}</p></div></body>") for i in range(9)]
+    rows += [(50 + i, "http://only.example/", copy) for i in range(10)]
+    out = texts_of(spark, rows)
+    assert all(out[i] == "The same title\n\nThe same story" for i in [*range(30), *range(50, 60)]) and out[30] == "title 0\n\nstory 0"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicketflow.llm.common import python_ready, staged
+from wicketflow.llm.common import python_ready, small_side, staged
 
 #: Elements that begin and end a block of text; without an end tag; whose content is never text of a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -227,10 +227,18 @@ def tokens(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "host string, page long, token long, up long, n long, chars long, linked long")
 
 
+def _different(pages: DataFrame) -> DataFrame:
+    """One of each host's pages of the same content; only those that repeat are shuffled, unless they are many."""
+    repeated = small_side(pages.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").select("host", "page"), "repeated")
+    single = pages.join(repeated, ["host", "page"], "left_anti")
+    return single.unionByName(pages.join(repeated, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): each host's template as an array of (token, links); pages: (host, page, html)."""
+    """(host, template): each host's template as an array of (token, links); pages: (host, page, html), page by content."""
     vector = F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 40)).cast("decimal(38,0)"))
     root = _key("element", "")
+    pages = _different(pages)
     each = tokens(pages).groupBy("host", "token", "up").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("size")).where(F.col("size") >= PAGES)
     common = each.join(sizes, "host").where(F.col("pages") >= F.col("size") * SUPPORT)
@@ -249,7 +257,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", body: str = "html", into: str = "text", broadcast_tokens: int = 500_000) -> DataFrame:
     """pages with into: the main text of each page, blocks joined by an empty line; "" for null, empty or textless pages.
 
-    A null url, or one without a host, belongs to the host "". Hosts of fewer than PAGES pages have no template: only the
+    A null url, or one without a host, belongs to the host "". Hosts of fewer than PAGES different pages have no template: only the
     elements' meaning decides. Templates of at most broadcast_tokens tokens in all (16 bytes each) are broadcast; beyond,
     they are joined by host, a hot host being a skewed key that Spark splits.
     """
@@ -259,7 +267,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", bod
         raise ValueError(f"df already has {into}")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
     b = F.col(f"`{body}`")
-    known = staged(templates(pages.select(host.alias("host"), F.xxhash64(F.col(f"`{page_id}`"), F.col(f"`{url}`"), b).alias("page"), b.alias("html"))), "templates")
+    known = staged(templates(pages.select(host.alias("host"), F.xxhash64(b).alias("page"), b.alias("html"))), "templates")
     total = known.agg(F.sum(F.size("template")).alias("n")).first()["n"] or 0
     known = known.select(F.col("host").alias("_host"), F.col("template").alias("_template"))
     rows = pages.withColumn("_host", host).join(F.broadcast(known) if total <= broadcast_tokens else known, "_host", "left")
