@@ -234,6 +234,11 @@ def texts_of(spark, rows):
     return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_html_template_in_marked_articles(spark):
+    rows = [(i, "http://m.example/", f"<body><article><p>Read our offer</p><h1>title {i}</h1><p>story {i} goes on</p></article></body>") for i in range(12)]
+    assert texts_of(spark, rows) == {i: f"title {i}\n\nstory {i} goes on" for i in range(12)}
+
+
 def test_html_copies_are_no_template(spark):
     copy = "<body><div><h1>The same title</h1><p>The same story</p></div></body>"
     rows = [(i, "http://c.example/", copy) for i in range(30)] + [(30 + i, "http://c.example/", f"<body><div><h1>title {i}</h1><p>story {i}</p></div></body>") for i in range(9)]

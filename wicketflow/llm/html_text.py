@@ -9,7 +9,7 @@ element that is not itself part of the template.
 
 Of the slots, the article stays: those in elements that hold menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts or styles go by the element's meaning, as do slots that are mostly links; where a page marks its article
-(<article>, <main>), only that is read. Text in a marked article is kept even where all pages share it.
+(<article>, <main>), only that is read. What is template goes there too.
 """
 
 from __future__ import annotations
@@ -196,7 +196,7 @@ def template_text(blocks: list[Block], template: dict[int, bool]) -> str:
     for b in blocks:
         if b.aside or b.article < marked:
             continue
-        if not b.article and (_key("text", b.path, b.text) in template or template.get(_key("element", b.path), False)):
+        if _key("text", b.path, b.text) in template or template.get(_key("element", b.path), False):
             continue
         kept.append(b.text)
     return "\n\n".join(kept)
@@ -214,8 +214,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 for b in blocks:
                     chars[b.path] += len(b.text)
                     linked[b.path] += b.linked
-                    if not b.article:
-                        texts[b.path, b.text] += 1
+                    texts[b.path, b.text] += 1
                 for p, n in paths.items():
                     out.append((host, page, _key("element", p), _key("element", p.rpartition("/")[0]), n, chars[p], linked[p]))
                 for (p, t), n in texts.items():
