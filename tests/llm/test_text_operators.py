@@ -245,3 +245,19 @@ def test_html_copies_are_no_template(spark):
     rows += [(50 + i, "http://only.example/", copy) for i in range(10)]
     out = texts_of(spark, rows)
     assert all(out[i] == "The same title\n\nThe same story" for i in [*range(30), *range(50, 60)]) and out[30] == "title 0\n\nstory 0"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><h1>Head</h1><p>A long story that goes on and on</p><article>card</article></main>", "Head|A long story that goes on and on|card"),
+        ("<div><p>A long story that goes on and on</p><article>card</article></div>", "A long story that goes on and on|card"),
+        ("<div id='content' class='has-sidebar'><article><p>A long story</p><div class='share'>tell</div></article><div class='sidebar'>side</div></div>", "A long story"),
+        ("<main><h1>Head</h1><div class='legal-guide'><article><p>A long story</p></article></div></main>", "A long story"),
+        ("<div class='legal-guide'><h1>Head</h1><p>A long story</p></div><div class='ad'>buy</div>", "Head|A long story"),
+        ("<div><p>story</p></div><div class='ad'>an advert that is longer</div><footer><p>much</p><p>more text than the story</p></footer>", "story"),
+        ("<article><p>A long story</p></article><section id='comments'><article>me too</article></section>", "A long story"),
+    ],
+)
+def test_html_marks_and_wrappers(page, want):
+    assert html_text.template_text(html_text.parse(f"<body>{page}</body>")[0], {}) == want.replace("|", "\n\n")

@@ -7,9 +7,13 @@ stand in most pages are the candidates of the host's template; a class is valid
 that is itself in the template, and so classes nest. What the template leaves open are its slots: the text under a template
 element that is not itself part of the template.
 
+Pages of a host that are equal to the byte count once. What is template goes, in a marked article as elsewhere.
+
 Of the slots, the article stays: those in elements that hold menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts or styles go by the element's meaning, as do slots that are mostly links; where a page marks its article
-(<article>, <main>), only that is read. What is template goes there too.
+comments, scripts or styles go by the element's meaning, as do slots that are mostly links. Where marked elements
+(<article>, <main>) hold at least half of the slots' unlinked text, only they are read, and so within them. A wrapper
+that by its meaning isn't article still counts as article if it holds the marked element with most of the page's text or,
+where nothing is marked, most of that text itself.
 """
 
 from __future__ import annotations
@@ -68,14 +72,17 @@ class Block:
     path: str
     linked: int
     aside: bool
-    article: int
+    marks: tuple[int, ...]
+    #: The elements around it that by their meaning aren't article.
+    asides: tuple[int, ...] = ()
 
 
 class _Element:
-    __slots__ = ("tag", "path", "aside", "link", "article")
+    __slots__ = ("tag", "path", "aside", "link", "article", "marks", "asides")
 
     def __init__(self, tag: str, path: str, aside: bool, link: bool, article: int) -> None:
         self.tag, self.path, self.aside, self.link, self.article = tag, path, aside, link, article
+        self.marks, self.asides = (), ()
 
 
 def _open(tag: str, attributes: str, up: _Element) -> _Element:
@@ -100,7 +107,7 @@ def _open(tag: str, attributes: str, up: _Element) -> _Element:
         article = 2
     elif tag == "main":
         article = max(article, 1)
-    return _Element(tag, f"{up.path}/{name}", up.aside or off, up.link or tag == "a", article)
+    return _Element(tag, f"{up.path}/{name}", off, up.link or tag == "a", article)
 
 
 def parse(page: str) -> tuple[list[Block], Counter]:
@@ -108,6 +115,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     root = _Element("", "", False, False, 0)
     stack, blocks, paths = [root], [], Counter()
     words: list[str] = []
+    around: list[tuple[int, ...]] = []  # of each marked element: its wrappers that aren't article
+    wrappers: list[str] = []
     linked = 0
 
     def flush() -> None:
@@ -116,7 +125,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             if text := " ".join("".join(words).split()):
                 e = stack[-1]
                 own = next((x for x in reversed(stack) if x.tag in BLOCKS), e)
-                blocks.append(Block(text, own.path, min(linked, len(text)), e.aside, e.article))
+                blocks.append(Block(text, own.path, min(linked, len(text)), False, e.marks, e.asides))
             words.clear()
         linked = 0
 
@@ -177,13 +186,46 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                     del stack[i:]
                     break
         e = _open(tag, m[3], stack[-1])
+        up = stack[-1]
+        e.asides, e.marks = up.asides, up.marks
+        if e.aside:
+            e.asides += (len(wrappers),)
+            wrappers.append(tag)
+        elif e.article > up.article:
+            e.marks += (len(around),)
+            around.append(e.asides)
         paths[e.path] += 1
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append(e)
     flush()
+    held = _held(blocks, around, wrappers)
+    for b in blocks:
+        b.aside = not held.issuperset(b.asides)
     return blocks, paths
 
 
+def _unlinked(blocks: list[Block]) -> int:
+    return sum(len(b.text) - b.linked for b in blocks)
+
+
+def _held(blocks: list[Block], around: list[tuple[int, ...]], wrappers: list[str]) -> frozenset[int]:
+    """The wrappers that hold the article, though by their meaning they aren't article."""
+    total = _unlinked(blocks)
+    in_mark, in_wrapper, count = Counter(), Counter(), Counter()
+    for b in blocks:
+        for m in b.marks:
+            if b.asides == around[m]:
+                in_mark[m] += len(b.text) - b.linked
+        for k in b.asides:
+            in_wrapper[k] += len(b.text) - b.linked
+            count[k] += 1
+    best = max(in_mark, key=lambda m: (in_mark[m], -m), default=None)
+    if best is not None and in_mark[best]:
+        free = any(not b.asides for b in blocks)
+        return frozenset(around[best]) if 2 * in_mark[best] >= total or not free else frozenset()
+    return frozenset(k for k, n in in_wrapper.items() if (wrappers[k] == "form" or wrappers[k] not in ASIDE) and count[k] > 1 and 2 * n > total)
+
+
 def _key(kind: str, path: str, text: str = "") -> int:
     raw = f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass")
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
@@ -191,15 +233,19 @@ def _key(kind: str, path: str, text: str = "") -> int:
 
 def template_text(blocks: list[Block], template: dict[int, bool]) -> str:
     """The article of a page. template: the keys of the host's template -> whether the element's slots are mostly links."""
-    marked = max((b.article for b in blocks if not b.aside), default=0)
-    kept = []
-    for b in blocks:
-        if b.aside or b.article < marked:
-            continue
-        if _key("text", b.path, b.text) in template or template.get(_key("element", b.path), False):
-            continue
-        kept.append(b.text)
-    return "\n\n".join(kept)
+    slots = [b for b in blocks if not b.aside and _key("text", b.path, b.text) not in template and not template.get(_key("element", b.path), False)]
+    return "\n\n".join(b.text for b in _article(slots, 0))
+
+
+def _article(slots: list[Block], depth: int) -> list[Block]:
+    """The slots of the marked elements at this depth if these hold at least half of the unlinked text, or else all."""
+    marked = [b for b in slots if len(b.marks) > depth]
+    if not marked or 2 * _unlinked(marked) < _unlinked(slots):
+        return slots
+    own: dict[int, list[Block]] = {}
+    for b in marked:
+        own.setdefault(b.marks[depth], []).append(b)
+    return [b for part in own.values() for b in _article(part, depth + 1)]
 
 
 def tokens(pages: DataFrame) -> DataFrame:
