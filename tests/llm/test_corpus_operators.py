@@ -149,12 +149,12 @@ def test_spokes_of_a_hub(spark, hubs):
 
 def test_prefixes_of_links_meet():
     rng = np.random.default_rng(4)
-    levels = rng.integers(12, 17, near_dedup.COUNTERS).astype(np.uint8)
+    levels = rng.integers(1, 17, near_dedup.COUNTERS).astype(np.uint8)
     met = 0
     for n in [1, 2, 5, 30, 200] * 40:
-        base = rng.integers(0, 2**32, n, dtype=np.uint32)
-        x, y = (np.unique(np.concatenate([base[rng.random(n) > 0.03], rng.integers(0, 2**32, n // 60, dtype=np.uint32)])) for _ in range(2))
-        u, v = (rng.integers(12, 17, len(z)).astype(np.uint32) for z in (x, y))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([base[rng.random(n) > 0.03], rng.integers(0, 2**64, n // 60, dtype=np.uint64)])) for _ in range(2))
+        u, v = (levels[near_dedup._counter(z)].astype(np.uint32) for z in (x, y))
         if near_dedup.similarity(x.tobytes(), u.tobytes(), y.tobytes(), v.tobytes()) >= 0.8:
             met += 1
             assert set(near_dedup.prefix(x.tobytes(), u.tobytes(), levels, 0.8)) & set(near_dedup.prefix(y.tobytes(), v.tobytes(), levels, 0.8))
@@ -169,6 +169,34 @@ def test_weights_of_long_repeats(spark):
     assert near_dedup.similarity(x["hashes"], x["weights"], y["hashes"], y["weights"]) == 0.1
 
 
+def test_frequencies_count_families_once(spark):
+    """A passage in many different texts gets a low weight, a text with many near copies doesn't."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.random()}"
+    passage, base = [word() for _ in range(20)], [word() for _ in range(60)]
+    texts = [" ".join([*(word() for _ in range(40)), *passage]) for _ in range(400)]
+    texts += [" ".join([*base[:30], word(), *base[30:]]) for _ in range(400)] + [" ".join(word() for _ in range(60)) for _ in range(1200)]
+    levels = near_dedup.idf_levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    own = lambda w: levels[near_dedup._counter(near_dedup.shingles([" ".join(w)])[0])]
+    assert own(passage).max() <= 8 and np.median(own(base[:30])) >= 14 and np.median(own(texts[-1].split())) >= 15
+
+
+def test_copies_of_one_text_with_one_to_five_edits(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        v = base[:]
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            v[at] = f"e{rng.random()}"
+        texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    own = classes_of(texts, near_dedup.idf_levels(df))
+    # a lone text may share no band with the others; no two classes that hold linked texts of one bucket stay apart
+    assert sum(got[i] == own[i] for i in range(150)) >= 148
+
+
 def test_shingles_do_not_depend_on_batches():
     texts = ["One two, three FOUR five six", None, "", "one", "a b c d e f g a b c d e"] * 3
     h, n, ends = near_dedup.shingles(texts)

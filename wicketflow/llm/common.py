@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,19 +11,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows and bytes of an Arrow batch that goes to a Python worker: what a worker makes of a batch is many times its text.
+BATCH_ROWS, BATCH_BYTES = 400, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where that setting is absent (single-machine tests), a new temporary folder is made and set for checkpoint().
+    Where that setting is absent, a new temporary folder is made and set for checkpoint(), which only a local master may do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -35,9 +38,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The folders that staged() has written and drop_staged() has not yet removed.
+_made: list[str] = []
+
+
+def drop_staged(spark: SparkSession, *keep: DataFrame) -> None:
+    """Removes the folders that staged() has written so far, but for those that keep is read from.
+
+    To be called when what was computed from them has been written: a DataFrame that still reads them would fail.
+    """
+    bare = lambda p: re.sub(r"^\w+:/*", "/", p)
+    kept = {bare(f).rpartition("/")[0] for df in keep for f in df.inputFiles()}
+    for path in [p for p in _made if bare(p) not in kept]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 _shipped: set[str] = set()
 
 
@@ -71,6 +92,13 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def refuse_taken(df: DataFrame, *new: str | None) -> None:
+    """Raises ValueError if df has a column of one of the names, in whatever case."""
+    have = {c.lower() for c in df.columns}
+    if taken := [n for n in new if n is not None and n.lower() in have]:
+        raise ValueError(f"df already has {', '.join(taken)}")
+
+
 def utf8(col) -> "F.Column":
     """Bytes of a text in UTF-8; a null text counts as empty."""
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")

@@ -22,9 +22,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
         both = now.select(F.col("hi").alias("v"), F.col("lo").alias("w")).unionByName(now.select(F.col("lo").alias("v"), F.col("hi").alias("w")))
-        least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # checkpointed, so that the join reads two shuffles and a node with many edges is split like any skewed key
+        least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m")).checkpoint()
         large = both.where("w > v").join(least, "v").where("w != m").select(F.col("w").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = large.checkpoint()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).checkpoint()
         small = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct().checkpoint()
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

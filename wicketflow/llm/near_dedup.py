@@ -7,9 +7,10 @@ pair is a link if the weighted Jaccard similarity of the two whole texts is at l
 connected components of the links, with equal texts together.
 
 - Document frequencies are counted over all documents in a table of COUNTERS counters (its size doesn't follow the data),
-  less what other shingles are expected to add to a counter.
-- The inverse document frequency is damped to 12..16 sixteenths: the shingles of a large group of copies are frequent
-  *because* of the copies, and undamped weights would let the few words in which copies differ decide.
+  less what other shingles are expected to add to a counter. They are counted twice: at first each document counts for
+  one, then for one over the median frequency of its own shingles. So a family of copies, whose shingles are frequent
+  *because* of the copies, counts about once, while a passage that otherwise different documents share counts in full.
+- The inverse document frequency is ln((N + SMOOTH) / (df + SMOOTH)), in sixteenths of its largest value.
 - The random numbers of ICWS (two gamma variables and a uniform one) come from a table of 65536 triples, looked up by a
   hash of shingle and sample number; equal draws are told apart by the shingle's hash.
 - A bucket of at most PAIRS texts is compared pair by pair. In a larger one, every text is compared with a pivot, the text
@@ -33,7 +34,9 @@ from wicketflow.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-COUNTERS, BLOCKS = 1 << 18, 64
+COUNTERS, BLOCKS = 1 << 18, 16
+#: Added to document frequencies: below it they hardly differ. Weights are in LEVELS steps.
+SMOOTH, LEVELS = 32, 16
 PAIRS = 8
 #: Bytes of text that are hashed at once.
 CHUNK = 2 << 20
@@ -106,18 +109,28 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def idf_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """For each counter, the damped inverse document frequency in sixteenths (12 to 16) of the shingles that it counts."""
+#: A document's count, so that shares of it are whole numbers.
+_ONE = 1 << 16
+
+
+def _frequencies(texts: DataFrame, before: np.ndarray | None) -> tuple[np.ndarray, float]:
+    """(document frequency of each counter's shingles, number of documents); before: the frequencies of the first count."""
     block = COUNTERS // BLOCKS
+    known = texts.sparkSession.sparkContext.broadcast(before)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(COUNTERS, np.int64), 0
+        total, n, df = np.zeros(COUNTERS, np.int64), 0, known.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n += len(texts)
-            total += np.bincount(_counter(shingles(texts)[0]), minlength=COUNTERS)
+            h, _, ends = shingles(batch.column(0).to_pylist())
+            at, sizes = _counter(h), np.diff(ends)
+            own = np.full(len(sizes), _ONE, np.int64)
+            if df is not None:
+                for i in np.flatnonzero(sizes):
+                    own[i] = _ONE // max(1.0, float(np.median(df[at[ends[i] : ends[i + 1]]])))
+            n += int(own.sum())
+            total += np.bincount(at, weights=np.repeat(own, sizes), minlength=COUNTERS).astype(np.int64)
         if n:
-            rows = [total[i : i + block].astype(np.int64).tobytes() for i in range(0, COUNTERS, block)]
+            rows = [total[i : i + block].tobytes() for i in range(0, COUNTERS, block)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary()), pa.array([n] * BLOCKS, pa.int64())], names=["block", "counts", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +143,22 @@ def idf_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array(docs_of.values(), pa.int64())], names=["block", "counts", "n"])
 
     schema = "block int, counts binary, n long"
-    counted = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null").mapInArrow(count, schema)
-    rows = counted.repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # BLOCKS rows, 2 MB in all
+    rows = texts.mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # BLOCKS rows, 2 MB in all
+    known.destroy()
     if not rows:
-        return np.full(COUNTERS, 16, np.uint8)
-    c = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["block"])]).astype(float)
-    n = max(2, rows[0]["n"])
-    df = np.clip((c * COUNTERS - c.sum()) / (COUNTERS - 1), 1, n)
-    return (12 + np.rint(4 * np.log(n / df) / np.log(n))).astype(np.uint8)
+        return np.ones(COUNTERS), 0.0
+    c = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["block"])]) / _ONE
+    return np.maximum((c * COUNTERS - c.sum()) / (COUNTERS - 1), 1.0), rows[0]["n"] / _ONE
+
+
+def idf_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """For each counter, the inverse document frequency (1 to LEVELS) of the shingles that it counts."""
+    texts = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    first, n = _frequencies(texts, None)
+    df, _ = _frequencies(texts, first)
+    idf = np.log((n + SMOOTH) / (np.minimum(df, n) + SMOOTH))
+    top = np.log((n + SMOOTH) / (1 + SMOOTH))
+    return np.clip(np.rint(LEVELS * idf / top), 1, LEVELS).astype(np.uint8) if top > 0 else np.full(COUNTERS, LEVELS, np.uint8)
 
 
 def _draw(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -153,10 +174,10 @@ _draws_once: list[np.ndarray] = []
 def signatures(h: np.ndarray, tf: np.ndarray, ends: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """BANDS * ROWS samples of each text that has shingles, in order."""
     if not _draws_once:  # for the weights of shingles that occur once
-        _draws_once.append(np.concatenate([_draw(np.arange(DRAWS), np.full(DRAWS, float(w))) for w in range(12, 17)]))
+        _draws_once.append(np.concatenate([_draw(np.arange(DRAWS), np.full(DRAWS, float(w))) for w in range(1, LEVELS + 1)]))
     level = levels[_counter(h)].astype(np.int64)
     many = np.flatnonzero(tf > 1)
-    low, base = h & np.uint64(0xFFFFFFFF), (level - 12) * DRAWS
+    low, base = h & np.uint64(0xFFFFFFFF), (level - 1) * DRAWS
     starts = ends[:-1][np.diff(ends) > 0]
     out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint64)
     weight = (level * tf)[many].astype(float)
@@ -190,13 +211,12 @@ def _bands(docs: DataFrame, levels: Broadcast) -> DataFrame:
 
 
 def _weighted(docs: DataFrame, levels: Broadcast) -> DataFrame:
-    """(node, hashes, weights) with 32-bit shingle hashes in order and weights."""
+    """(node, hashes, weights) with shingle hashes in order and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, tf, ends = shingles(batch.column(1).to_pylist())
             w = (levels.value[_counter(h)] * tf).astype(np.uint32)
-            h = (h >> np.uint64(32)).astype(np.uint32)  # ascending within a text, as h is
             spans = list(zip(ends, ends[1:]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([w[i:j].tobytes() for i, j in spans], pa.binary())],
@@ -208,7 +228,7 @@ def _weighted(docs: DataFrame, levels: Broadcast) -> DataFrame:
 
 def similarity(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     """Weighted Jaccard similarity of two texts' shingles."""
-    x, y = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
+    x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
     u, v = np.frombuffer(wa, np.uint32).astype(np.int64), np.frombuffer(wb, np.uint32).astype(np.int64)
     at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
     same = np.flatnonzero(y[at] == x) if len(y) else np.zeros(0, np.int64)
@@ -218,19 +238,19 @@ def similarity(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
 
 def prefix(h: bytes, w: bytes, levels: np.ndarray, threshold: float) -> np.ndarray:
     """The rarest shingles of a text, by level and hash, so many that the others don't weigh enough for a link."""
-    x = np.frombuffer(h, np.uint32)
-    order = np.lexsort((x, -levels[_counter(x.astype(np.uint64) << np.uint64(32))].astype(np.int64)))
+    x = np.frombuffer(h, np.uint64)
+    order = np.lexsort((x, -levels[_counter(x)].astype(np.int64)))
     u = np.frombuffer(w, np.uint32).astype(np.int64)[order]
-    return x[order[np.cumsum(u) - u <= (1 - threshold) * u.sum() + 1e-6]].view(np.int32)
+    return x[order[np.cumsum(u) - u <= (1 - threshold) * u.sum() + 1e-6]].view(np.int64)
 
 
 def _prefixes(weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [prefix(h, w, levels.value, threshold) for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
 
-    return weighted.select("node", "hashes", "weights").mapInArrow(run, "node binary, prefix array<int>")
+    return weighted.select("node", "hashes", "weights").mapInArrow(run, "node binary, prefix array<long>")
 
 
 def _scored(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -303,6 +323,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         more = staged(_scored(staged(rest, "rest"), weighted).where(F.col("s") >= threshold).select("a", "b"), "links")
         links = links.unionByName(more)
     roots = components(links)
+    levels.destroy()  # all that follows reads written tables
     known = rows.select("doc_id", "node").join(roots, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
     # staged, so that the join below reads two shuffles and a large class is split like any skewed key
     firsts = staged(known.where(F.col("class_node").isNotNull()).groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "firsts")

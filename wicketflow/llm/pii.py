@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wicketflow.llm.common import python_ready
+from wicketflow.llm.common import python_ready, refuse_taken
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -74,8 +74,9 @@ LABELLED = (
     'a = "value" and b = "other"',
     "commit to the plan and keep the password safe",
     "the and of to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through",
-    "worthless | onrein | ndwhst | thouinor | edston | lyesha. | reresh",
-    "word%%% other*** again### more$$$ text&&& lines!! of!! noise!!",
+    "name | place | price | colour | left | right |",
+    "wow!!! really??? no way... *** see ### below $$$ and 100%%% sure",
+    "~~~~ ===== ----- ##### ||||| ///// +++++ >>>>>",
     "Er sagte , daß die Straße und der Garten groß sind .",
     "La maison où nous étions était très belle , et le jardin aussi .",
     "El niño comió la manzana en la mañana con su mamá .",
@@ -156,6 +157,8 @@ def base_spans(text: str) -> list[Span]:
 
 _RUNS = re.compile(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+")
 _EDGES = ".,;:!?"
+#: Signs at a word's end that say nothing of what it is.
+_SIGNS = _EDGES + "#$%&*+-/<=>^_`|~"
 
 
 def _shape_of(run: re.Match) -> str:
@@ -166,16 +169,20 @@ def _shape_of(run: re.Match) -> str:
 
 
 def shape(word: str) -> str:
-    """Capitals X, other letters x, runs of digits by length; all else as it is, but for marks at the end."""
-    return _RUNS.sub(_shape_of, word.rstrip(_EDGES))[:24]
+    """Capitals X, other letters x, runs of digits by length; all else as it is, but for signs at the end."""
+    return _RUNS.sub(_shape_of, word.rstrip(_SIGNS) or word[:1])[:24]
+
+
+def _key(word: str) -> str:
+    return (word.rstrip(_SIGNS) or word).lower()
 
 
 def features(word: str) -> tuple[str, ...]:
-    bare = word.strip("\"'.,;:!?")
+    bare = word.rstrip(_SIGNS).strip("\"'" + _SIGNS)
     n, mixed = len(bare), bool(re.search("[0-9]", bare)) and bool(re.search("[A-Za-z]", bare))
     size = "short" if n < 4 else "middle" if n < 16 else "long"
     dense = "dense" if n >= 16 and bare.isascii() and re.fullmatch(r"[A-Za-z0-9_-]+", bare) and mixed else "plain"
-    return f"shape={shape(word)}", f"size={size}", f"dense={dense}", f"word={word.lower()}", "bias"
+    return f"shape={shape(word)}", f"size={size}", f"dense={dense}", f"word={_key(word)}", "bias"
 
 
 def parse(marked: str) -> tuple[list[str], list[int]]:
@@ -209,8 +216,8 @@ class Crf:
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             if (k := self.kept.get(w)) is None:
-                bare = w.rstrip(_EDGES)
-                if bare.isalpha() and bare.islower() and f"word={w}" not in self.names:  # most words: nothing but their length
+                bare = w.rstrip(_SIGNS)
+                if bare.isalpha() and bare.islower() and f"word={bare}" not in self.names:  # most words: nothing but their length
                     known = self._plain[4 if (n := len(bare)) < 4 else 16 if n < 16 else 17]
                 else:
                     known = tuple(self.names[f] for f in features(w) if f in self.names)
@@ -219,7 +226,7 @@ class Crf:
                     at = list(known)
                     self.rows.append(np.stack([self.own[at].sum(axis=0), self.before[at].sum(axis=0), self.after[at].sum(axis=0)]))
                     self._table = None
-                if len(self.kept) > 300_000:
+                if len(self.kept) > 100_000:
                     self.kept.clear()
                 self.kept[w] = k
             out[i] = k
@@ -404,7 +411,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 def find(df: DataFrame, crf: Crf | None = None, text: str = "text", *, into: str = "pii_spans") -> DataFrame:
     """df with into: (kind, start, end, base) of each span in the whole text, in code points, end exclusive, in order.
 
-    base: whether a fixed pattern found it. A null or empty text has no spans.
+    base: whether a fixed pattern found it. A null or empty text has no spans. Raises ValueError if df has into.
     """
     return _each(df, crf, text, [T.StructField(into, _SPANS, False)], lambda t, own: own)
 
@@ -415,8 +422,7 @@ def redact(df: DataFrame, crf: Crf | None = None, text: str = "text") -> DataFra
 
 
 def _each(df: DataFrame, crf: Crf | None, text: str, fields: list[T.StructField], make) -> DataFrame:
-    if {f.name for f in fields} & set(df.columns):
-        raise ValueError(f"df already has {fields[0].name}")
+    refuse_taken(df, *(f.name for f in fields))
     python_ready(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(crf or train())
 

@@ -82,7 +82,10 @@ WHERE matched >= CASE WHEN n >= {decontamination.WINDOW} THEN {decontamination.N
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The personal data in every document; the counts are those of the fixed patterns."""
+    """The personal data in every document.
+
+    n_email to n_phone count the fixed patterns' spans; n_secret, n_added and n_spans count secrets, what the field added, and all spans.
+    """
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["base"])
 
@@ -92,7 +95,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+    more = [F.size(F.filter("pii_spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), (F.size("pii_spans") - F.size(base)).cast("long").alias("n_added"), F.size("pii_spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined("pii_spans").alias("spans"), *more)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
