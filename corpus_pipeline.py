@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicketflow.llm import bpe, decontamination, language_id, near_dedup, pii
-from wicketflow.llm.common import staged, table
+from wicketflow.llm.common import drop_staged, free_name, staged, table
 
 #: A text is rejected if its language can't be told at all or is less probable than this.
 LEAST_SCORE = 0.5
@@ -20,8 +20,9 @@ LEAST_SCORE = 0.5
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; lang stays as it came. Texts that are null or have no letter go."""
     model = language_id.train(docs, language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
-    told = language_id.identify(docs, model, into="_lang", score="_score")
-    return told.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    told = language_id.identify(docs, model, into=lang, score=score)
+    return told.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage has staged is removed when the next one's input is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        drop_staged(spark, docs)
     return docs
