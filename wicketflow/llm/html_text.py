@@ -2,18 +2,21 @@
 
 A page is a sequence of tokens: its elements by their path (tags and classes from the body down), and its blocks of text
 by path and content. Over the pages of a host, Spark counts each token's occurrence vector (its count in each page) as a
-sum of hashes, so that tokens with equal vectors form a class without any vector being gathered. Classes of tokens that
-stand in most pages are the candidates of the host's template; a class is valid if each of its elements lies in an element
-that is itself in the template, and so classes nest. What the template leaves open are its slots: the text under a template
-element that is not itself part of the template.
-
-Pages of a host that are equal to the byte count once. What is template goes, in a marked article as elsewhere.
-
-Of the slots, the article stays: those in elements that hold menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts or styles go by the element's meaning, as do slots that are mostly links. Where marked elements
-(<article>, <main>) hold at least half of the slots' unlinked text, only they are read, and so within them. A wrapper
-that by its meaning isn't article still counts as article if it holds the marked element with most of the page's text or,
-where nothing is marked, most of that text itself.
+sum of hashes, so that tokens with equal vectors form a class without any vector being gathered. Classes with enough
+tokens (or in all pages) and enough support are the candidates of the host's template; a token is valid if the element
+around it is itself in the template, and so classes nest. What the template leaves open are its slots: all text that is
+not itself part of the template.
+
+The article is the text of the slots in the host's main element: from the root down, the one element a page that holds more
+than half of the open, unlinked text of the element around it, as long as no open top heading is left out. All else goes,
+by structure alone: menus, headers, footers and adverts lie outside it, however they are called. Within it, elements go
+that by their meaning hold notices, adverts, forms, comments, scripts or styles.
+
+Pages of a host that share the longest blocks, three quarters of their text, count once, so that copies of an article in
+other surroundings don't make it template. Hosts with fewer than SUPPORT_PAGES different pages, and pages without their host's main element, are decided by their own tree:
+slots in elements that by their meaning aren't article go; where marked elements (<article>, <main>) hold at least half
+of what is left, only they are read. A wrapper that by its meaning isn't article still counts as article if it holds the
+marked element with most of the page's text or, where nothing is marked, most of that text itself.
 """
 
 from __future__ import annotations
@@ -23,27 +26,37 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicketflow.llm.common import python_ready, small_side, staged
+from wicketflow.llm.common import free_name, python_ready, refuse_taken, small_side, staged
 
 #: Elements that begin and end a block of text; without an end tag; whose content is never text of a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp noembed svg math object canvas audio video".split())
-#: Elements, roles and words of a class or id that mark what isn't the article.
-ASIDE = frozenset("head nav footer aside form button select menu dialog".split())
+#: Elements and roles that mark what isn't the article.
+ASIDE = frozenset("head nav footer aside form label button select menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts menu menus nav navbar navigation"
-    " breadcrumb breadcrumbs sidebar sidebars side widget widgets comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe"
-    " subscription signup login popup modal overlay footer foot masthead topbar toolbar pagination pager skip legal copyright disclaimer announcement".split()
+#: Words of a class or id that mark what isn't the article where they begin or end it; where they stand with
+#: no others than their kind and words of layout; words of layout; words before a name that say it is somewhere else.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr menu menus nav navbar navigation breadcrumb breadcrumbs"
+    " sidebar sidebars comments disqus newsletter popup modal overlay masthead topbar toolbar pagination pager".split()
 )
+WEAK = frozenset(
+    "banner notice notices alert alerts side widget widgets comment reply replies respond share sharing social related recommended recommendations subscribe subscription"
+    " signup login foot footer skip legal copyright disclaimer announcement".split()
+)
+LAYOUT = frozenset(
+    "a box bar block area container wrap wrapper inner outer section list links link item items button buttons icon icons panel content group row col column left right top bottom"
+    " main site page global text post posts story stories article articles more title heading thread first last primary secondary".split()
+)
+ELSEWHERE = frozenset("has no with without is".split())
 #: An element within the first that ends when the second begins, unless an element of the third stands between.
 ENDED_BY = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -54,51 +67,71 @@ ENDED_BY = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-#: A host's template takes tokens of at least this share of its pages, and needs so many pages.
-SUPPORT, PAGES = 0.5, 8
-#: A slot goes if links make up more than this share of its text.
-LINKS = 0.6
+#: A class has to stand in this share of a host's different pages, and in so many; one of fewer tokens, in all of them.
+SUPPORT, SUPPORT_PAGES, CLASS_TOKENS = 0.5, 3, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
-    """A block's text, the path of its element, and what its surroundings say."""
+    """A block's text, the path of its element, the letters of it in links, and what is around it."""
 
     text: str
     path: str
     linked: int
-    aside: bool
+    #: The marked elements around it, and those that by their meaning aren't article, by number.
     marks: tuple[int, ...]
-    #: The elements around it that by their meaning aren't article.
-    asides: tuple[int, ...] = ()
+    asides: tuple[int, ...]
+
+
+@dataclass
+class Page:
+    """A parsed page. paths: how often each element path occurs."""
+
+    blocks: list[Block] = field(default_factory=list)
+    paths: Counter = field(default_factory=Counter)
+    #: Of each path: the elements around its first element, itself too, that by their meaning aren't article; its mark.
+    around: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    marked: dict[str, int] = field(default_factory=dict)
+    #: Of each marked element: the elements around it that by their meaning aren't article. Of each of these: its tag.
+    mark_asides: list[tuple[int, ...]] = field(default_factory=list)
+    wrappers: list[str] = field(default_factory=list)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "aside", "link", "article", "marks", "asides")
+    __slots__ = ("tag", "path", "aside", "link", "article", "marks", "asides", "inline")
 
     def __init__(self, tag: str, path: str, aside: bool, link: bool, article: int) -> None:
         self.tag, self.path, self.aside, self.link, self.article = tag, path, aside, link, article
-        self.marks, self.asides = (), ()
+        self.marks, self.asides, self.inline = (), (), False
+
+
+def _named_aside(name: str) -> bool:
+    """Whether one word of a class or id marks what isn't the article."""
+    parts = _PART.findall(_CAMEL.sub("-", name).lower())
+    if not parts or parts[0] in ELSEWHERE:
+        return False
+    return parts[0] in STRONG or parts[-1] in STRONG or any(p in WEAK for p in parts) and all(p in WEAK or p in STRONG or p in LAYOUT for p in parts)
 
 
 def _open(tag: str, attributes: str, up: _Element) -> _Element:
     name, off, article = tag, tag in ASIDE or tag == "header" and not up.article, up.article
-    if attributes and "=" in attributes:
+    if attributes and not attributes.isspace():
         own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-        marks = f"{own.get('class', '')} {own.get('id', '')}"
-        role = own.get("role", "").lower()
-        if own.get("class"):
-            name = f"{tag}.{own['class'].split()[0] if own['class'].split() else ''}"
+        role, classes = own.get("role", "").lower(), own.get("class", "").split()
+        names = [*classes, *own.get("id", "").split()]
+        if classes:
+            name = f"{tag}.{classes[0]}"
+        if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
+            off = True
         if tag not in ("html", "body", "article", "main"):
-            camel = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower()
-            parts = set(_PART.findall(camel))
-            off = off or role in ROLES or bool(parts & WORDS) or ("header" in parts and not up.article and tag in ("div", "section"))
+            off = off or role in ROLES or any(map(_named_aside, names)) or not up.article and tag in ("div", "section") and any("header" in _PART.findall(x.lower()) for x in names)
         elif tag == "article":
-            off = bool(set(_PART.findall(marks.lower())) & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
+            off = off or bool({p for x in names for p in _PART.findall(x.lower())} & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
         if role == "main":
             article = max(article, 1)
         if "articlebody" in own.get("itemprop", "").lower():
@@ -110,42 +143,40 @@ def _open(tag: str, attributes: str, up: _Element) -> _Element:
     return _Element(tag, f"{up.path}/{name}", off, up.link or tag == "a", article)
 
 
-def parse(page: str) -> tuple[list[Block], Counter]:
-    """The blocks of text of a page in order, and how often each element path occurs."""
+def parse(source: str) -> Page:
+    """The blocks of text of a page in order, and its elements. Text of asides within a block is left out of it."""
+    page = Page()
     root = _Element("", "", False, False, 0)
-    stack, blocks, paths = [root], [], Counter()
+    stack = [root]
     words: list[str] = []
-    around: list[tuple[int, ...]] = []  # of each marked element: its wrappers that aren't article
-    wrappers: list[str] = []
     linked = 0
 
     def flush() -> None:
         nonlocal linked
         if words:
             if text := " ".join("".join(words).split()):
-                e = stack[-1]
-                own = next((x for x in reversed(stack) if x.tag in BLOCKS), e)
-                blocks.append(Block(text, own.path, min(linked, len(text)), False, e.marks, e.asides))
+                own = next((x for x in reversed(stack) if x.tag in BLOCKS), root)
+                page.blocks.append(Block(text, own.path, min(linked, len(text)), own.marks, own.asides))
             words.clear()
         linked = 0
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not stack[-1].inline:
             text = html.unescape(raw)
             words.append(text)
             if stack[-1].link:
                 linked += len(text.strip())
 
-    at, n, lower = 0, len(page), page.lower()
+    at, n, lower = 0, len(source), source.lower()
     if len(lower) != n:  # a letter whose lower case is longer
-        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in page)
+        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in source)
     while True:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(source, at)
         if not m:
-            put(page[at:])
+            put(source[at:])
             break
-        put(page[at : m.start()])
+        put(source[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -162,11 +193,11 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = lower.find(f"</{tag}", at)
-                at = n if end < 0 else (page.find(">", end) + 1 or n)
+                at = n if end < 0 else (source.find(">", end) + 1 or n)
             if tag not in ("svg", "math", "canvas"):
                 words.append(" ")
             continue
-        if tag in ("br", "wbr", "hr") or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
@@ -185,56 +216,45 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                 if stack[i].tag in ends:
                     del stack[i:]
                     break
-        e = _open(tag, m[3], stack[-1])
         up = stack[-1]
+        e = _open(tag, m[3], up)
         e.asides, e.marks = up.asides, up.marks
         if e.aside:
-            e.asides += (len(wrappers),)
-            wrappers.append(tag)
+            e.asides += (len(page.wrappers),)
+            page.wrappers.append(tag)
         elif e.article > up.article:
-            e.marks += (len(around),)
-            around.append(e.asides)
-        paths[e.path] += 1
+            e.marks += (len(page.mark_asides),)
+            page.mark_asides.append(e.asides)
+        e.inline = tag not in BLOCKS and (e.aside or up.inline)
+        page.paths[e.path] += 1
+        page.around.setdefault(e.path, e.asides)
+        page.marked.setdefault(e.path, int(not e.aside and e.article > up.article))
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append(e)
     flush()
-    held = _held(blocks, around, wrappers)
-    for b in blocks:
-        b.aside = not held.issuperset(b.asides)
-    return blocks, paths
+    return page
 
 
 def _unlinked(blocks: list[Block]) -> int:
     return sum(len(b.text) - b.linked for b in blocks)
 
 
-def _held(blocks: list[Block], around: list[tuple[int, ...]], wrappers: list[str]) -> frozenset[int]:
+def _held(page: Page, slots: list[Block]) -> frozenset[int]:
     """The wrappers that hold the article, though by their meaning they aren't article."""
-    total = _unlinked(blocks)
+    total = _unlinked(slots)
     in_mark, in_wrapper, count = Counter(), Counter(), Counter()
-    for b in blocks:
+    for b in slots:
         for m in b.marks:
-            if b.asides == around[m]:
+            if b.asides == page.mark_asides[m]:
                 in_mark[m] += len(b.text) - b.linked
         for k in b.asides:
             in_wrapper[k] += len(b.text) - b.linked
             count[k] += 1
     best = max(in_mark, key=lambda m: (in_mark[m], -m), default=None)
     if best is not None and in_mark[best]:
-        free = any(not b.asides for b in blocks)
-        return frozenset(around[best]) if 2 * in_mark[best] >= total or not free else frozenset()
-    return frozenset(k for k, n in in_wrapper.items() if (wrappers[k] == "form" or wrappers[k] not in ASIDE) and count[k] > 1 and 2 * n > total)
-
-
-def _key(kind: str, path: str, text: str = "") -> int:
-    raw = f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
-
-
-def template_text(blocks: list[Block], template: dict[int, bool]) -> str:
-    """The article of a page. template: the keys of the host's template -> whether the element's slots are mostly links."""
-    slots = [b for b in blocks if not b.aside and _key("text", b.path, b.text) not in template and not template.get(_key("element", b.path), False)]
-    return "\n\n".join(b.text for b in _article(slots, 0))
+        free = any(not b.asides for b in slots)
+        return frozenset(page.mark_asides[best]) if 2 * in_mark[best] >= total or not free else frozenset()
+    return frozenset(k for k, n in in_wrapper.items() if (page.wrappers[k] == "form" or page.wrappers[k] not in ASIDE) and count[k] > 1 and 2 * n > total)
 
 
 def _article(slots: list[Block], depth: int) -> list[Block]:
@@ -248,86 +268,168 @@ def _article(slots: list[Block], depth: int) -> list[Block]:
     return [b for part in own.values() for b in _article(part, depth + 1)]
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, up, n, chars, linked) for each distinct token of each page; pages: (host, page, html)."""
+def _key(kind: str, path: str, text: str = "") -> int:
+    raw = f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+_ROOT = _key("element", "")
+
+
+@dataclass
+class Template:
+    """texts: the keys of a host's blocks of text that are template. main: the key of its main element (the root: none)."""
+
+    texts: frozenset[int] = frozenset()
+    main: int = _ROOT
+
+
+def page_text(page: Page, template: Template) -> str:
+    """The article of a page by its host's template."""
+    slots = [b for b in page.blocks if not template.texts or _key("text", b.path, b.text) not in template.texts]
+    if template.main != _ROOT and (path := next((p for p in page.paths if _key("element", p) == template.main), None)) is not None:
+        held = frozenset(page.around[path])
+        within = [b for b in slots if (b.path == path or b.path.startswith(f"{path}/")) and held.issuperset(b.asides)]
+        if within:
+            return "\n\n".join(b.text for b in within)
+    held = _held(page, slots)
+    return "\n\n".join(b.text for b in _article([b for b in slots if held.issuperset(b.asides)], 0))
+
+
+#: What an element is: an element, a top heading, a marked element, one that by its meaning isn't article.
+_ELEMENT, _HEADING, _MARKED, _OFF = 1, 2, 4, 8
+
+
+def page_key(page: Page) -> int:
+    """A hash of the longest blocks that make up three quarters of a page's text: the same for copies in other surroundings."""
+    order = sorted({b.text for b in page.blocks}, key=lambda t: (-len(t), t))
+    left, own = 3 * sum(map(len, order)), []
+    for t in order:
+        if left <= 0:
+            break
+        own.append(t)
+        left -= 4 * len(t)
+    return _key("page", "", "\0".join(own))
+
+
+def page_tokens(page: Page) -> list[tuple[int, int, int, int, int]]:
+    """(token, up, kind, n, open) of a page's distinct tokens; kind: 0 for text; open: letters of unlinked text within."""
+    inside, texts = Counter(), Counter()
+    for b in page.blocks:
+        size, path = len(b.text) - b.linked, b.path
+        texts[b.path, b.text] += 1
+        inside[""] += size
+        while path:
+            inside[path] += size
+            path = path.rpartition("/")[0]
+    out = [(_ROOT, 0, _ELEMENT, 1, inside[""])]
+    for p, n in page.paths.items():
+        off = len(page.around[p]) > len(page.around.get(p.rpartition("/")[0], ()))
+        kind = _ELEMENT | _HEADING * (p.rpartition("/")[2].partition(".")[0] == "h1") | _MARKED * page.marked[p] | _OFF * off
+        out.append((_key("element", p), _key("element", p.rpartition("/")[0]), kind, n, inside[p]))
+    out += [(_key("text", p, t), _key("element", p), 0, n, n * len(t)) for (p, t), n in texts.items()]
+    return out
+
+
+def nested(own: list[dict], size: int) -> Template:
+    """The template of a host from its candidates (token, up, kind, pages, total, open); size: its different pages."""
+    children: dict[int, list[dict]] = {}
+    for x in own:
+        if x["token"] != _ROOT:
+            children.setdefault(x["up"], []).append(x)
+    root = next((x for x in own if x["token"] == _ROOT), None)
+    if root is None:
+        return Template()
+    # a token is valid if it is reached from the root through elements of the template
+    texts, order, todo = set(), [], [root]
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        for x in children.get(e["token"], ()):
+            if x["kind"]:
+                todo.append(x)
+            else:
+                texts.add(x["token"])
+    left: dict[int, int] = {}
+    heading: dict[int, bool] = {}
+    for e in reversed(order):  # inner elements before those around them
+        k, inner = e["token"], [x for x in children.get(e["token"], ()) if x["kind"]]
+        own_texts = sum(x["open"] for x in children.get(k, ()) if not x["kind"])
+        fixed = own_texts + sum(x["open"] - left[x["token"]] for x in inner)
+        left[k] = max(0, e["open"] - fixed)
+        heading[k] = bool(e["kind"] & _HEADING and left[k] > 0) or any(heading[x["token"]] for x in inner if not x["kind"] & _OFF)
+    at = root
+    while not at["kind"] & _MARKED:
+        one = [x for x in children.get(at["token"], ()) if x["kind"] and not x["kind"] & _OFF and x["total"] == x["pages"]]
+        best = max(one, key=lambda x: (left[x["token"]], x["token"]), default=None)
+        if best is None or 2 * left[best["token"]] <= left[at["token"]] or heading[at["token"]] and not heading[best["token"]]:
+            break
+        at = best
+    return Template(frozenset(texts), at["token"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, texts, main): each host's template; pages: (host, html). Hosts without one have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for host, page, body in zip(*(c.to_pylist() for c in batch.columns)):
-                blocks, paths = parse(body or "")
-                chars, linked, texts = Counter(), Counter(), Counter()
-                for b in blocks:
-                    chars[b.path] += len(b.text)
-                    linked[b.path] += b.linked
-                    texts[b.path, b.text] += 1
-                for p, n in paths.items():
-                    out.append((host, page, _key("element", p), _key("element", p.rpartition("/")[0]), n, chars[p], linked[p]))
-                for (p, t), n in texts.items():
-                    out.append((host, page, _key("text", p, t), _key("element", p), n, 0, 0))
+            for host, body in zip(*(c.to_pylist() for c in batch.columns)):
+                page = parse(body or "")
+                key = page_key(page)
+                out.extend((host, key, *x) for x in page_tokens(page))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.string(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "page", "token", "up", "n", "chars", "linked"])
-
-    return pages.mapInArrow(run, "host string, page long, token long, up long, n long, chars long, linked long")
-
-
-def _different(pages: DataFrame) -> DataFrame:
-    """One of each host's pages of the same content; only those that repeat are shuffled, unless they are many."""
-    repeated = small_side(pages.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").select("host", "page"), "repeated")
-    single = pages.join(repeated, ["host", "page"], "left_anti")
-    return single.unionByName(pages.join(repeated, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "page", "token", "up", "kind", "n", "open"])
 
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [nested(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(t.texts) for t in found], pa.list_(pa.int64())), pa.array([t.main for t in found], pa.int64())], names=["host", "texts", "main"])
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): each host's template as an array of (token, links); pages: (host, page, html), page by content."""
     vector = F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 40)).cast("decimal(38,0)"))
-    root = _key("element", "")
-    pages = _different(pages)
-    each = tokens(pages).groupBy("host", "token", "up").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("size")).where(F.col("size") >= PAGES)
+    tokens = pages.mapInArrow(run, "host string, page long, token long, up long, kind long, n long, open long")
+    once = tokens.groupBy("host", "page", "token", "up").agg(F.max("kind").alias("kind"), F.max("n").alias("n"), F.max("open").alias("open"))
+    each = once.groupBy("host", "token", "up").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), vector.alias("vector"), F.max("kind").alias("kind"), F.sum("open").alias("open"))
+    each = staged(each.where(F.col("pages") >= SUPPORT_PAGES), "tokens")
+    sizes = small_side(each.where(F.col("token") == F.lit(_ROOT)).select("host", F.col("pages").alias("size")), "hosts")  # the root stands in every page
     common = each.join(sizes, "host").where(F.col("pages") >= F.col("size") * SUPPORT)
-    # a class: the tokens of one vector; a token by itself must stand in every page
-    classes = common.groupBy("host", "pages", "total", "vector").agg(
-        F.collect_list(F.struct("token", "up", (F.col("linked") > F.col("chars") * LINKS).alias("links"))).alias("own"), F.max("size").alias("size")
-    )
-    large = classes.where((F.size("own") > 1) | (F.col("pages") == F.col("size")))
+    classes = common.groupBy("host", "size", "pages", "total", "vector").agg(F.collect_list(F.struct("token", "up", "kind", "pages", "total", "open")).alias("own"))
+    large = classes.where((F.size("own") >= CLASS_TOKENS) | (F.col("pages") == F.col("size")))
     # a host's template has at most the tokens of two pages, since each of them stands in half of the pages
-    flat = large.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("own"))
-    ups = F.transform("own", lambda x: x["token"])
-    valid = F.filter("own", lambda x: (x["up"] == F.lit(root)) | F.array_contains(ups, x["up"]))
-    return flat.select("host", F.transform(valid, lambda x: F.struct(x["token"].alias("token"), x["links"].alias("links"))).alias("template"))
+    flat = large.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("own"), F.max("size").alias("size"))
+    return flat.mapInArrow(nest, "host string, texts array<long>, main long")
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", body: str = "html", into: str = "text", broadcast_tokens: int = 500_000) -> DataFrame:
     """pages with into: the main text of each page, blocks joined by an empty line; "" for null, empty or textless pages.
 
-    A null url, or one without a host, belongs to the host "". Hosts of fewer than PAGES different pages have no template: only the
-    elements' meaning decides. Templates of at most broadcast_tokens tokens in all (16 bytes each) are broadcast; beyond,
-    they are joined by host, a hot host being a skewed key that Spark splits.
+    A null url, or one without a host, belongs to the host "". Hosts of fewer than SUPPORT_PAGES different pages have no
+    template: their pages' own elements decide. Rows that repeat are all kept. Raises ValueError if pages has a column into.
+    Templates of at most broadcast_tokens texts and hosts in all (some 20 bytes each) are broadcast; beyond, they are joined
+    by host, a hot host being a skewed key that Spark splits.
     """
-    spark = pages.sparkSession
-    python_ready(spark)
-    if into in pages.columns:
-        raise ValueError(f"df already has {into}")
+    refuse_taken(pages, into)
+    python_ready(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
-    b = F.col(f"`{body}`")
-    known = staged(templates(pages.select(host.alias("host"), F.xxhash64(b).alias("page"), b.alias("html"))), "templates")
-    total = known.agg(F.sum(F.size("template")).alias("n")).first()["n"] or 0
-    known = known.select(F.col("host").alias("_host"), F.col("template").alias("_template"))
-    rows = pages.withColumn("_host", host).join(F.broadcast(known) if total <= broadcast_tokens else known, "_host", "left")
+    own, texts, main = (free_name(pages, x) for x in ("_host", "_texts", "_main"))
+    known = staged(templates(pages.select(host.alias("host"), F.col(f"`{body}`").alias("html"))), "templates")
+    total = known.agg(F.sum(F.size("texts") + F.lit(4)).alias("n")).first()["n"] or 0
+    known = known.select(F.col("host").alias(own), F.col("texts").alias(texts), F.col("main").alias(main))
+    rows = pages.withColumn(own, host).join(F.broadcast(known) if total <= broadcast_tokens else known, own, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, template = None, {}
+        kept: dict[str, Template] = {}
         for batch in batches:
-            hosts, found, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("_host", "_template", body))
-            texts = []
-            for i, (h, page) in enumerate(zip(hosts.to_pylist(), bodies.to_pylist())):
-                if h != last:
-                    last, template = h, {x["token"]: x["links"] for x in found[i].as_py() or ()}
-                texts.append(template_text(parse(page)[0], template) if page else "")
-            keep = [k for k, n in enumerate(batch.schema.names) if n not in ("_host", "_template")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*(batch.schema.names[k] for k in keep), into])
-
-    ordered = rows.select("_host", "_template", *[F.col(f"`{c}`") for c in pages.columns])
+            hosts, found, mains, bodies = batch.columns[0].to_pylist(), batch.columns[1], batch.columns[2].to_pylist(), batch.column(batch.schema.get_field_index(body)).to_pylist()
+            out = []
+            for i, (h, k, source) in enumerate(zip(hosts, mains, bodies)):
+                if h not in kept:
+                    if len(kept) > 1000:
+                        kept.clear()
+                    kept[h] = Template() if k is None else Template(frozenset(found[i].as_py()), k)
+                out.append(page_text(parse(source), kept[h]) if source else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.string())], names=[*batch.schema.names[3:], into])
+
+    ordered = rows.select(own, texts, main, *[F.col(f"`{c}`") for c in pages.columns])
     return ordered.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(into, T.StringType(), False)]))
