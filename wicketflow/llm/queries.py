@@ -43,13 +43,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    page = F.regexp_extract
+    page = lambda c: F.regexp_extract(c, warc.RECORD_ID, 1).try_cast("long")
     return warc.resolved(warc.read_archives(spark, path)).select(
-        page("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"),
+        page("record_id").alias("page_id"),
         "payload_bytes",
         F.col("sha1").alias("payload_digest"),
         "record_type",
-        page("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
+        page("refers_to").alias("refers_to"),
     )
 
 

@@ -1,11 +1,13 @@
 """WARC archives: writing them, and reading them back with segment reassembly.
 
 Writing: each page becomes a response record, or a revisit record where another page with the same payload is the
-response. A response's block is an HTTP message in chunked transfer framing; a block above segment_bytes is cut into a first record and
+response. Record ids hold the page id and the payload's digest, and a running number where a row repeats both, so that
+no two records share one. A response's block is an HTTP message in chunked transfer framing; a block above segment_bytes is cut into a first record and
 continuation records (WARC 1.1, section 7). Spark's text writer writes the files.
 
 Reading: Spark's text reader streams the files and cuts them at ``CR LF CR LF WARC/1.``; pieces are joined again until
-Content-Length is met, so payloads may contain that mark. Segments are grouped by the id of their origin, ordered by segment
+Content-Length is met, so payloads may contain that mark. A file has to be read from its first byte for that: archives that
+aren't compressed and are longer than a split of the reader are refused. Segments are grouped by the id of their origin, ordered by segment
 number, checked for gaps and against the total length, and the chunked framing of the whole block is decoded.
 """
 
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from wicketflow.llm.common import python_ready, small_side, staged, utf8
 
+#: What a written record's id holds: the page id and the payload's digest.
+RECORD_ID = r"^<urn:page:([^:]*):([0-9a-f]{40})(?::\d+)?>$"
+
 #: Payloads under so many bytes are always written in full.
 REVISIT_BYTES = 1000
 SEGMENT_BYTES, CHUNK_BYTES = 16 << 10, 4 << 10
@@ -99,23 +104,33 @@ def write_archives(
     """Writes a record for each row of pages as gzip files under path.
 
     Of rows with equal payloads of REVISIT_BYTES or more, the one with the largest id is the response and the others
-    revisit it; rows that repeat that id with that payload are all responses. A null html is an empty payload; a null id or
-    url is written as ``null`` and an empty URI. A payload's revisits are decided on ids and digests alone; a hot payload is
-    a skewed join key, which Spark splits. A task writes one file.
+    revisit it; rows that repeat that id with that payload are all responses, of which revisits name the first. Rows that
+    repeat an id with other payloads are records of their own. A null html is an empty payload; a null id or url is written
+    as ``null`` and an empty URI. Other columns are not read. A payload's revisits are decided on ids and digests alone; a
+    hot payload is a skewed join key, which Spark splits. A task writes one file.
     """
     python_ready(pages.sparkSession)
     body = utf8(F.col(f"`{html}`"))
     rows = pages.select(
-        F.coalesce(F.col(f"`{page_id}`").cast("string"), F.lit("null")).alias("id"),
+        F.coalesce(F.url_encode(F.col(f"`{page_id}`").cast("string")), F.lit("null")).alias("id"),
         F.col(f"`{page_id}`").alias("order"),
         F.regexp_replace(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"\s", "%20").alias("url"),
         body.alias("payload"),
         F.sha1(body).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
     long = F.length("payload") >= REVISIT_BYTES
-    winners = rows.where(long).groupBy("digest").agg(F.max("order").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decided = rows.join(small_side(winners, "winners"), "digest", "left").withColumn("refers", F.when(long & ~F.col("order").eqNullSafe(F.col("winner")), F.col("winner").cast("string")))
-    decided = decided.select("id", "url", "digest", "refers", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"))
+    # one row for each id and payload, then those that payloads or rows repeat
+    each = staged(rows.groupBy("digest", "id").agg(F.first("order").alias("order"), F.min("row").alias("first"), F.count("*").alias("n"), F.max(long).alias("long")), "payloads")
+    winners = each.where("long").groupBy("digest").agg(F.max(F.struct("order", "id")).alias("w"), F.count("*").alias("ids")).where("ids > 1")
+    winners = winners.select("digest", F.col("w.id").alias("winner"))
+    repeats = each.where("n > 1").select(F.col("digest").alias("digest_"), F.col("id").alias("id_"), "first")
+    decided = rows.join(small_side(winners, "winners"), "digest", "left")
+    decided = decided.join(small_side(repeats, "repeats"), (F.col("digest") == F.col("digest_")) & (F.col("id") == F.col("id_")), "left")
+    refers = F.when(long & (F.col("id") != F.col("winner")), F.concat(F.lit("<urn:page:"), "winner", F.lit(":"), "digest", F.lit(">")))
+    number = F.when(F.col("row") != F.col("first"), F.concat(F.lit(":"), F.col("row").cast("string"))).otherwise("")
+    record_id = F.concat(F.lit("<urn:page:"), "id", F.lit(":"), "digest", number, F.lit(">"))
+    decided = decided.select(record_id.alias("record_id"), "url", "digest", refers.alias("refers"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +138,10 @@ def write_archives(
             for own, uri, digest, refers, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 common = {"WARC-Date": date, "WARC-Target-URI": uri, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}"}
                 if refers is None:
-                    out.extend(response_records(f"<urn:page:{own}>", common, payload, segment_bytes, chunk_bytes))
+                    out.extend(response_records(own, common, payload, segment_bytes, chunk_bytes))
                 else:
-                    profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers}>"}
-                    out.append(_record("revisit", {"WARC-Record-ID": f"<urn:page:{own}>", **common, **profile}, b"HTTP/1.1 200 OK\r\n\r\n"))
+                    profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": refers}
+                    out.append(_record("revisit", {"WARC-Record-ID": own, **common, **profile}, b"HTTP/1.1 200 OK\r\n\r\n"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = decided.mapInArrow(run, "record binary")
@@ -134,35 +149,54 @@ def write_archives(
 
 
 def _stitched(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records (headers, block) from the pieces between marks, in the order of the file."""
-    held = b""
+    """Records (headers, block) from the pieces between marks, in the order of the file.
+
+    A block that is longer or, at the file's end, shorter than its Content-Length raises WarcError.
+    """
+    mark = MARK.encode()
+    held: list[bytes] = []  # the pieces of the record so far
+    headers, size, have = None, 0, 0
     for piece in pieces:
-        held = held + MARK.encode() + piece if held else piece.removeprefix(b"WARC/1.")
-        head, mark, block = held.partition(END)
-        if not mark:
-            continue
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("content-length", -1))
-        if 0 <= size <= len(block):
+        held.append(mark + piece if held else piece.removeprefix(b"WARC/1."))
+        if headers is None:
+            head, end, block = (held[0] if len(held) == 1 else b"".join(held)).partition(END)
+            if not end:
+                continue
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+            held, have = [block], len(block)
+            try:
+                size = int(headers.get("content-length", ""))
+            except ValueError as e:
+                raise WarcError(f"no Content-Length in {headers}") from e
+        else:
+            have += len(held[-1])
+        if have >= size:
+            block = b"".join(held)
+            if block[size:].strip():
+                raise WarcError(f"{headers.get('warc-record-id')} is longer than its Content-Length of {size}")
             yield headers, block[:size]
-            held = b""
-    if held.strip():
+            held, headers = [], None
+    if headers is not None or any(x.strip() for x in held):
         raise WarcError("the last record is shorter than its Content-Length")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, target_uri, payload_digest, refers_to, payload) of each response and revisit under path.
 
-    Segments are joined and framing is decoded; a gap, a wrong total length or broken framing fails the job. A revisit's
-    payload is null; gzip files are read whole by one task each, in a stream. Other record types are passed over. Files are read as streams: memory follows the longest record.
+    Segments are joined and framing is decoded; a gap, a wrong length or broken framing fails the job with WarcError, and
+    so does a file without compression that Spark would read in several splits (compress it, or raise
+    spark.sql.files.maxPartitionBytes). A revisit's payload is null. Other record types are passed over. Each file is read
+    by one task as a stream: memory follows the longest record.
     """
     python_ready(spark)
     text = spark.read.option("lineSep", MARK).text(path)
     pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs() -> Iterator[tuple[str, Iterator[bytes]]]:
+        def runs() -> Iterator[tuple[str, bytes]]:
             for batch in batches:
+                if any(batch.column(1).to_pylist()):
+                    raise WarcError(f"{batch.column(0)[0]} isn't compressed and is longer than a split")
                 yield from zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
 
         rows: list[tuple] = []
@@ -242,11 +276,12 @@ def reassembled(segments: list[dict]) -> bytes:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records with payload_bytes and sha1, a revisit's being those of the response that it refers to."""
+    """records with payload_bytes and sha1, a revisit's being those of the response that it refers to (null: not there)."""
+    first = F.regexp_replace("record_id", r"^(<urn:page:[^:]*:[0-9a-f]{40}):\d+>$", "$1>")
     sized = records.select("record_id", "record_type", "refers_to", "payload_digest", F.length("payload").cast("long").alias("n"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("sha1"))
     sized = staged(sized, "sized")
     rows = sized.where("record_type = 'response'")
     # only revisits are joined, and with a table of their responses, so that a hot one is split like any skewed key
-    known = rows.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("n").alias("rn"), F.max("sha1").alias("rsha1"))
-    revisits = sized.where("record_type = 'revisit'").join(staged(known, "responses"), "refers_to", "left").withColumn("n", F.col("rn")).withColumn("sha1", F.col("rsha1"))
-    return rows.unionByName(revisits.drop("rn", "rsha1")).select("record_id", "record_type", "refers_to", "payload_digest", F.col("n").alias("payload_bytes"), "sha1")
+    known = rows.groupBy(first.alias("refers_to")).agg(F.max(F.struct("n", "sha1")).alias("known"))
+    revisits = sized.where("record_type = 'revisit'").join(staged(known, "responses"), "refers_to", "left").withColumn("n", F.col("known.n")).withColumn("sha1", F.col("known.sha1"))
+    return rows.unionByName(revisits.drop("known")).select("record_id", "record_type", "refers_to", "payload_digest", F.col("n").alias("payload_bytes"), "sha1")
