@@ -1,32 +1,34 @@
 """Exact top-k search by inner product with M-trees.
 
-Inner product becomes distance by one more coordinate: with M the largest norm of a block of vectors, x gets
-sqrt(M^2 - |x|^2) and a query 0, so |q - x|^2 = |q|^2 + M^2 - 2 <q, x>. Each block of vectors, dealt by hash, is an M-tree:
-pages of entries around a routing vector, with covering radius and distance to the parent's routing vector. Queries are
-packed in blocks and meet every tree; a search pops the page with the smallest possible distance first, skips entries
-whose stored distances and the triangle inequality put beyond the k-th best so far, and computes scores in integers.
+Inner product becomes distance by one more coordinate: with M the largest norm of the vectors, x gets
+sqrt(M^2 - |x|^2) and a query 0, so |q - x|^2 = |q|^2 + M^2 - 2 <q, x>. Vectors go to the region of the nearest pivot; each
+region is an M-tree (a large one several, dealt by hash): pages of entries around a routing vector, with covering radius
+and distance to the parent's routing vector. A search pops the page with the smallest possible distance first, skips
+entries whose stored distances and the triangle inequality put beyond the k-th best so far, and computes scores in integers.
 
-Each query starts with the k-th best score among a bounded sample of vectors, so that far pages are never opened.
+The regions are the topmost pages: their pivots and covering radii are a small table, by which a query is sent to the trees
+that may hold a score of at least the k-th best among a bounded sample of vectors, and to no others. Vectors are shuffled
+to their trees once, in copies only where a tree has more queries than one task should answer.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import python_ready, staged
+from wicketflow.llm.common import python_ready, small_side, staged
 
-#: Vectors in a tree and queries in a block, about; entries of a leaf page and of an inner page; vectors of the sample.
-TREE, QUERIES, LEAF, INNER, SAMPLE = 16_384, 512, 256, 16, 1024
+#: Vectors in a tree and queries in a pack, about; entries of a leaf page and of an inner page; vectors of the sample.
+TREE, QUERIES, LEAF, INNER, SAMPLE = 16_384, 8192, 256, 16, 1024
+#: Regions at most, and vectors of the sample for each.
+REGIONS, PER_REGION = 1024, 8
 
 
 @dataclass
@@ -145,58 +147,146 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
 
 
+@dataclass
+class Regions:
+    """Of the vectors of one length: pivots, the largest squared norm, covering radii, trees in each, and the sample."""
+
+    pivots: np.ndarray
+    top: float
+    radius: np.ndarray
+    trees: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    def distances(self, x: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+        """Of vectors x with last as their added coordinate to each pivot."""
+        z = np.column_stack([x, np.broadcast_to(last, len(x))])
+        squares = (z * z).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1)[None, :] - 2 * z @ self.pivots.T
+        return np.sqrt(np.maximum(squares, 0))
+
+    def slack(self) -> float:
+        """More than what rounding does to a distance."""
+        return 1e-6 * (1 + math.sqrt(self.top))
+
+
+def plan(ids: np.ndarray, vectors: np.ndarray, n: int, top: float) -> Regions:
+    """Pivots for n vectors from a sample of them: means of groups, improved in a few rounds."""
+    x = vectors.astype(np.float64)
+    z = np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))])
+    k = int(max(1, min(-(-n // TREE), REGIONS, len(z) // PER_REGION)))
+    pivots = z[np.random.default_rng(0).choice(len(z), k, replace=False)]
+    for _ in range(5):
+        own = ((z[:, None, :] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1) if k < 64 else ((z * z).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * z @ pivots.T).argmin(axis=1)
+        pivots = np.stack([z[own == i].mean(axis=0) if (own == i).any() else pivots[i] for i in range(k)])
+    return Regions(pivots, top, np.zeros(k), np.zeros(k, np.int64), ids, vectors)
+
+
 def top_k(df: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", vector: str = "vector") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query by integer inner product, ties to smaller ids.
 
     vector: array of long; rows where it or the id is null take no part. Vectors meet those of their own length only, a row
     never meets its own id; a query with no other row gives none. An id that repeats is searched for, and found, once a row.
+    Raises ValueError where a score could leave 64 bits.
     """
     spark = df.sparkSession
     python_ready(spark)
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<long>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = staged(rows.where("id is not null and v is not null").withColumn("dim", F.size("v")), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("nq"))
-    sizes = sizes.select("dim", F.ceil(F.col("n") / TREE).cast("int").alias("trees"), F.greatest(F.ceil(F.col("nq") / QUERIES), F.lit(1)).cast("int").alias("packs"))
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "v", "dim").limit(4 * SAMPLE).toPandas()
-    sample = {dim: (g["id"].to_numpy(), np.stack(g["v"].to_numpy())) for dim, g in some.groupby("dim") if dim}
-    known = spark.sparkContext.broadcast(sample)
-    dealt = rows.join(F.broadcast(sizes), "dim").where("dim > 0") if sizes.count() <= 10_000 else rows.join(sizes, "dim").where("dim > 0")
-    spread = F.xxhash64("id", "v", F.spark_partition_id())
-
-    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = build(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()))
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "tree": [int(pdf["tree"].iloc[0])], "body": [pickle.dumps(tree)]})
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-        dim = int(pdf["dim"].iloc[0])
-        bounds = np.full(len(ids), -math.inf)
-        if dim in known.value:
-            other, x = known.value[dim]
-            if float(np.abs(x).max()) * float(np.abs(v).max()) * dim < 2**52 and len(other) > k + 1:
-                s = v.astype(np.float64) @ x.T.astype(np.float64)
-                s[ids[:, None] == other[None, :]] = -math.inf
-                bounds = np.partition(s, -k, axis=1)[:, -k]
-        return pd.DataFrame({"dim": [dim], "trees": [int(pdf["trees"].iloc[0])], "pack": [pickle.dumps((ids, v, bounds))]})
-
-    trees = dealt.withColumn("tree", F.pmod(spread, F.col("trees")).cast("int")).select("dim", "tree", "id", "v").groupBy("dim", "tree").applyInPandas(plant, "dim int, tree int, body binary")
-    asked = dealt.where("q").withColumn("part", F.pmod(spread, F.col("packs")).cast("int")).select("dim", "trees", "part", "id", "v")
-    packs = asked.groupBy("dim", "part").applyInPandas(pack, "dim int, trees int, pack binary")
-    meet = packs.select("dim", F.explode(F.sequence(F.lit(0), F.col("trees") - F.lit(1))).alias("tree"), "pack").join(trees, ["dim", "tree"])
+    rows = staged(rows.where("id is not null and v is not null and size(v) > 0").withColumn("dim", F.size("v")), "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(square).alias("top")).collect()  # a row a length
+    if any(r["top"] >= 2.0**62 for r in lengths):
+        raise ValueError("scores may be beyond 64 bits")
+    most = 8 * PER_REGION * REGIONS
+    want = max(SAMPLE, PER_REGION * max((-(-r["n"] // TREE) for r in lengths), default=1))
+    share = min(1.0, want / max(1, sum(r["n"] for r in lengths)))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "v", "dim").limit(min(4 * want, most)).toPandas()  # bounded by most
+    sample = {dim: (g["id"].to_numpy(), np.stack(g["v"].to_numpy())) for dim, g in some.groupby("dim")}
+    none = lambda dim: (np.zeros(1, np.int64), np.zeros((1, dim), np.int64))
+    regions = {r["dim"]: plan(*sample.get(r["dim"], none(r["dim"])), r["n"], r["top"]) for r in lengths}
+    for dim in regions.keys() - sample.keys():
+        regions[dim].ids, regions[dim].vectors = np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
+    first = spark.sparkContext.broadcast(regions)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, region, far = batch.column(3).to_numpy(), np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for dim in np.unique(dims):
+                own, at = first.value[dim], np.flatnonzero(dims == dim)
+                x = _matrix(batch.column(1).take(pa.array(at)), dim)
+                d = own.distances(x, np.sqrt(np.maximum(own.top - (x * x).sum(axis=1), 0)))
+                region[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(far)], names=["id", "v", "q", "dim", "region", "far"])
+
+    dealt = staged(rows.select("id", "v", "q", "dim").mapInArrow(assign, "id long, v array<long>, q boolean, dim int, region int, far double"), "regions")
+    first.destroy()
+    for r in dealt.groupBy("dim", "region").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toLocalIterator():  # at most REGIONS a length
+        regions[r["dim"]].radius[r["region"]] = r["radius"]
+        regions[r["dim"]].trees[r["region"]] = -(-r["n"] // TREE)
+    known = spark.sparkContext.broadcast(regions)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            bounds, trees = np.full(len(batch), -math.inf), [[] for _ in ids]
+            for dim in np.unique(dims):
+                own, at = known.value[dim], np.flatnonzero(dims == dim)
+                x = _matrix(batch.column(1).take(pa.array(at)), dim)
+                size = (x * x).sum(axis=1) + own.top
+                if len(own.ids) > k + 1 and float(np.abs(own.vectors).max()) * float(np.abs(x).max()) * dim < 2**52:
+                    s = x @ own.vectors.astype(np.float64).T
+                    s[ids[at][:, None] == own.ids[None, :]] = -math.inf
+                    bounds[at] = np.partition(s, -k, axis=1)[:, -k]
+                reach = np.sqrt(np.maximum(size - 2 * bounds[at], 0)) + own.slack()
+                near = own.distances(x, 0.0) - own.radius <= reach[:, None]
+                for i, row in zip(at, near):
+                    trees[i] = [{"region": int(r), "sub": int(j)} for r in np.flatnonzero(row) for j in range(own.trees[r])]
+            kind = pa.list_(pa.struct([("region", pa.int32()), ("sub", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds), pa.array(trees, kind)], names=["id", "v", "dim", "bound", "trees"])
+
+    key = ["dim", "region", "sub"]
+    asked = dealt.where("q").select("id", "v", "dim").mapInArrow(send, "id long, v array<long>, dim int, bound double, trees array<struct<region int, sub int>>")
+    asked = staged(asked.select("id", "v", "dim", "bound", F.explode("trees").alias("t")).select("id", "v", "dim", "bound", "t.region", "t.sub"), "asked")
+    packs = small_side(asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("packs")), "packs")
+    counts = [(dim, i, int(n)) for dim, own in regions.items() for i, n in enumerate(own.trees) if n]
+    trees = F.broadcast(spark.createDataFrame(counts, "dim int, region int, trees int"))
+    body = dealt.join(trees, ["dim", "region"]).withColumn("sub", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), F.col("trees")).cast("int"))
+    body = body.join(packs, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("packs") - F.lit(1))).alias("pack"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("bound"))
+    query = asked.join(packs, key).select(*key, F.pmod(F.xxhash64("id", "v"), F.col("packs")).cast("int").alias("pack"), F.lit(1).alias("kind"), "id", "v", "bound")
+    met = body.unionByName(query).repartition(*key, "pack").sortWithinPartitions(*key, "pack", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, tree = None, [], [], None  # the vectors of a tree come before its queries
         for batch in batches:
             out = []
-            for body, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = pickle.loads(body)
-                if tree.largest < 2**50:
-                    tree.vectors = tree.vectors.astype(np.float64)
-                for own, v, bound in zip(*pickle.loads(queries)):
-                    out.extend((int(own), i, s) for s, i in search(tree, int(own), v, k, float(bound)))
+            v, kinds, own_ids, bounds = batch.column(6), batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(7)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at] and kinds[end] == kinds[at]:
+                    end += 1
+                if keys[at] != now:
+                    now, ids, vectors, tree = keys[at], [], [], None
+                part = np.array(v.slice(at, end - at).to_pylist(), dtype=np.int64)
+                if kinds[at] == 0:
+                    ids.append(own_ids[at:end])
+                    vectors.append(part)
+                elif ids or tree is not None:
+                    if tree is None:
+                        tree = build(np.concatenate(ids), np.concatenate(vectors))
+                        if tree.largest < 2**50:
+                            tree.vectors = tree.vectors.astype(np.float64)
+                        ids, vectors = [], []
+                    for own, q, bound in zip(own_ids[at:end].tolist(), part, bounds.slice(at, end - at).to_pylist()):
+                        out.extend((own, i, s) for s, i in search(tree, own, q, k, bound))
+                at = end
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = meet.select("body", "pack").repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(run, "query_id long, vec_id long, score long")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
