@@ -58,13 +58,14 @@ def grown_shard(key: Column, n_shards: int, seed: int = 0) -> Column:
 
 
 def write_shards(
-    df: DataFrame, key: str, n_shards: int, *, text: str | None = None, seed: int = 0, bucket_bytes: int = 8 << 20, path: str | None = None
+    df: DataFrame, key: str, n_shards: int, *, text: str | None = None, seed: int = 0, bucket_bytes: int = 256 << 20, path: str | None = None
 ) -> Shards:
     """Shuffles df into n_shards folders ``shard=<s>`` of Parquet files under path (default: the shared folder).
 
-    text: the column that makes up the rows' size. bucket_bytes: what a bucket holds on average; the number of buckets
-    follows the input, at least four for each shard, and a task permutes one bucket at a time in memory. Columns of df
-    that are called shard, bucket or place are kept under a name with a further underscore.
+    text: the column that makes up the rows' size. bucket_bytes: what a bucket holds at most on average; there are at least
+    four buckets a shard, and as many as the session's shuffle partitions, so that all cores have work. A task permutes one
+    or two buckets in memory, some four times their bytes each. Columns of df that are called shard, bucket or place,
+    in whatever case, are kept under a name with a further underscore, key and text too.
 
     A null key goes by its own hash, a null text counts no bytes; repeated rows are all kept; an empty df gives no rows.
     """
@@ -75,11 +76,13 @@ def write_shards(
             new = c
             while new.lower() in {x.lower() for x in df.columns} | taken:
                 new += "_"
+            key, text = (new if x is not None and x.lower() == c.lower() else x for x in (key, text))
             df = df.withColumnRenamed(c, new)
-    body = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) if text else F.lit(0)
+    body = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) if text else F.lit(0)
     total = df.agg(F.sum(body + F.lit(64).cast("long")).alias("n")).first()["n"] or 0
-    subs = max(4, math.ceil(total / bucket_bytes / n_shards))
-    hashable = [F.col(f.name) for f in df.schema if not isinstance(f.dataType, T.VariantType) and "map<" not in f.dataType.simpleString()]
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    subs = max(4, math.ceil(spread / n_shards), math.ceil(total / bucket_bytes / n_shards))
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.VariantType) and "map<" not in f.dataType.simpleString()]
     # The input partition keeps copies of one row apart; unlike a running number it is the same when a task runs again.
     row = F.xxhash64(*hashable, F.spark_partition_id(), F.lit(seed))
     scattered = (
