@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -175,24 +176,46 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
+    """Whatever the ids: null, repeated with the same payload, repeated with others, long and short."""
     mark = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     pages = [(1, "http://a/1", "x" * 5000), (2, "http://a/2", "x" * 5000), (3, None, None), (4, "http://b/ 4", ""), (5, "u", "é" * 60_000), (6, "u", mark * 900), (7, "u", "short"), (8, "u", "short"), (9, "u", "0\r\n\r\n" * 4000)]
+    pages += [(5, "u", "é" * 60_000)] * 2 + [(None, "u", "z" * 30_000)] * 2 + [(20, "u", "a" * 2000), (20, "u", "b" * 3000), (19, "u", "a" * 2000), (7, "u", "short"), (21, "u", "c" * 20_000), (21, "u", "d" * 40_000)]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int").repartition(3)
     warc.write_archives(df, str(tmp_path / "w"), segment_bytes=1 << 12, chunk_bytes=1000)
     read = warc.read_archives(spark, str(tmp_path / "w"))
-    rows = {r["record_id"]: r for r in read.collect()}
-    assert len(rows) == len(pages)
-    for i, _, html in pages:
-        r = rows[f"<urn:page:{i}>"]
-        assert r["record_type"] == ("revisit" if i == 1 else "response") and r["refers_to"] == ("<urn:page:2>" if i == 1 else None)
-        if i != 1:
-            assert bytes(r["payload"]).decode() == (html or "")
-    sizes = {r["record_id"]: r["payload_bytes"] for r in warc.resolved(read).collect()}
-    assert all(sizes[f"<urn:page:{i}>"] == len((h or "").encode()) for i, _, h in pages)
+    rows = read.collect()
+    assert len(rows) == len(pages) == len({r["record_id"] for r in rows})
+    raw = [(i, (h or "").encode()) for i, _, h in pages]
+    best = {h: max(-1 if i is None else i for i, x in raw if x == h) for _, h in raw if len(h) >= 1000}
+    page = lambda x: (re.match(warc.RECORD_ID, x)[1] if x else None)
+    want = sorted((str(i) if i is not None else "null", len(h), hashlib.sha1(h).hexdigest(), *(("revisit", str(best[h])) if h in best and i != best[h] and best[h] >= 0 else ("response", "-"))) for i, h in raw)
+    got = sorted((page(r["record_id"]), r["payload_bytes"], r["sha1"], r["record_type"], page(r["refers_to"]) or "-") for r in warc.resolved(read).collect())
+    assert got == want
+    payloads = sorted((page(r["record_id"]), bytes(r["payload"])) for r in rows if r["payload"] is not None)
+    assert payloads == sorted((i if i is None else str(i), h) if i is not None else ("null", h) for (i, h), w in zip(raw, raw) if not (h in best and i != best[h] and best[h] >= 0))
     warc.write_archives(df.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_query_equals_its_contract(spark, tmp_path):
+    from wicketflow.llm import queries
+
+    rows = [(1, "u", "x" * 5000, 0), (2, "u", "x" * 5000, 0), (3, None, None, 0), (5, "u", "a" * 2000, 0), (5, "u", "b" * 3000, 0), (4, "u", "a" * 2000, 0)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, Digest int").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op3_warc(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    x, a, b = "x" * 5000, "a" * 2000, "b" * 3000
+    assert got == sorted([(1, 5000, sha(x), "revisit", 2), (2, 5000, sha(x), "response", None), (3, 0, sha(""), "response", None), (5, 2000, sha(a), "response", None), (5, 3000, sha(b), "response", None), (4, 2000, sha(a), "revisit", 5)])
+
+
+def test_stitching_checks_lengths():
+    head = b"WARC/1.1\r\nContent-Length: 5\r\n\r\n"
+    assert list(warc._stitched(iter([head + b"12345", b"1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"])))[1][1] == b"x"
+    for pieces in ([head + b"123456"], [head + b"1234"], [b"WARC/1.1\r\nA: b\r\n\r\n12345"]):
+        with pytest.raises(warc.WarcError):
+            list(warc._stitched(iter(pieces)))
+
+
 def test_warc_refuses_broken_segments():
     part = lambda n, b, total=None: {"segment": n, "total": total, "block": b}
     assert warc.reassembled([part(1, b"ab"), part(2, b"c", 3)]) == b"abc"
@@ -247,6 +270,48 @@ def test_html_copies_are_no_template(spark):
     assert all(out[i] == "The same title\n\nThe same story" for i in [*range(30), *range(50, 60)]) and out[30] == "title 0\n\nstory 0"
 
 
+def test_template_decides_what_names_do_not_tell(spark):
+    """By structure alone: nothing but the host's template tells the article from what is around it; without it, all stays."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want, free = [], {}, {}
+    for i in range(20):
+        top, story, more, end = line(4), [line(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 5))], line(rng.randrange(3, 9)), line(3)
+        body = "".join(f"<p>{x}</p>" for x in story)
+        rows.append((i, "http://s.example/x", f"<body><div class='a'><p>{more}</p></div><div class='b'><h1>{top}</h1><p>Read this first</p>{body}</div><div class='c'>{end}</div></body>"))
+        want[i] = "\n\n".join([top, *story])
+        free[i] = "\n\n".join([more, top, "Read this first", *story, end])
+    assert texts_of(spark, rows) == want
+    assert {i: html_text.page_text(html_text.parse(h), html_text.Template()) for i, _, h in rows} == free
+
+
+def test_templates_equal_brute_force(spark):
+    """Occurrence vectors, classes and nesting of random hosts, computed page by page."""
+    rng = random.Random(12)
+    names = ["a", "b", "c", "d"]
+
+    def tree(depth):
+        return "".join(f"<div class='{rng.choice(names)}'>{rng.choice(['', 'same', 'other', f'x{rng.random()}'])}{tree(depth - 1) if depth else ''}</div>" for _ in range(rng.randrange(1, 4)))
+
+    shapes = [[tree(2) for _ in range(2)] for _ in range(4)]
+    rows = [(f"h{h}", f"<body>{shapes[h][0]}{rng.choice(['', shapes[h][1], tree(1)])}<p>{rng.random()}</p></body>") for h in range(4) for _ in range(rng.randrange(1, 15))]
+    got = {r["host"]: (set(r["texts"]), r["main"]) for r in html_text.templates(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()}
+    want = {}
+    for host in {h for h, _ in rows}:
+        pages = {}
+        for _, source in (r for r in rows if r[0] == host):
+            p = html_text.parse(source)
+            pages[html_text.page_key(p)] = {t[0]: t for t in html_text.page_tokens(p)}
+        vectors = {t: tuple(p[t][3] if t in p else 0 for p in pages.values()) for t in {t for p in pages.values() for t in p}}
+        sizes = {v: sum(w == v for w in vectors.values()) for v in vectors.values()}
+        good = lambda v: sum(map(bool, v)) >= max(html_text.SUPPORT_PAGES, len(pages) / 2) and (sizes[v] >= 2 or all(v))
+        own = [{"token": t, "up": x[1], "kind": x[2], "pages": sum(map(bool, v)), "total": sum(v), "open": sum(p[t][4] for p in pages.values() if t in p)} for t, v in vectors.items() if good(v) for x in [next(p[t] for p in pages.values() if t in p)]]
+        if own:
+            t = html_text.nested(own, len(pages))
+            want[host] = (set(t.texts), t.main)
+    assert got == want and any(texts for texts, _ in want.values())
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
@@ -257,7 +322,12 @@ def test_html_copies_are_no_template(spark):
         ("<div class='legal-guide'><h1>Head</h1><p>A long story</p></div><div class='ad'>buy</div>", "Head|A long story"),
         ("<div><p>story</p></div><div class='ad'>an advert that is longer</div><footer><p>much</p><p>more text than the story</p></footer>", "story"),
         ("<article><p>A long story</p></article><section id='comments'><article>me too</article></section>", "A long story"),
+        ("<article><p>Hello <span class='ad'>Buy now</span> world <button>Press</button></p></article>", "Hello world"),
+        ("<article><p>first <span class='share'>tell</p><p>second</p></article>", "first|second"),
+        ("<article><section class='legal-history'><p>one</p></section><p class='side-effects'>two</p><div class='widget-free'>three</div></article>", "one|two|three"),
+        ("<article><div class='share-buttons'>x</div><div class='ad-slot'>y</div><div hidden>z</div><label>l</label><div style='display: none'>w</div><p>one</p></article>", "one"),
+        ("<div><p>A list of what we like:</p><ul><li><a href='/'>one long linked line</a><li><a>another linked line</a></ul></div>", "A list of what we like:|one long linked line|another linked line"),
     ],
 )
 def test_html_marks_and_wrappers(page, want):
-    assert html_text.template_text(html_text.parse(f"<body>{page}</body>")[0], {}) == want.replace("|", "\n\n")
+    assert html_text.page_text(html_text.parse(f"<body>{page}</body>"), html_text.Template()) == want.replace("|", "\n\n")

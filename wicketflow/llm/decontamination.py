@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import small_side, utf8
+from wicketflow.llm.common import free_name, small_side, utf8
 
 #: Word positions that count (1) and that are ignored (0).
 MASKS = ("111001011", "1111011", "110100111")
@@ -88,8 +88,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of docs that overlap with no item of benchmark, all columns as they are."""
+    """The rows of docs that overlap with no item of benchmark, all columns as they are, whatever their names."""
+    own_id, own_hash = free_name(docs, "_bad_id"), free_name(docs, "_bad_hash")
     bad = find_overlaps(docs, benchmark, doc_id=doc_id, item_id=item_id, text=text).select("doc_id", "text_hash").distinct()
-    bad = small_side(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")), "contaminated")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(utf8(F.col(f"`{text}`"))) == F.col("_bad_hash"))
+    bad = small_side(bad.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)), "contaminated")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(utf8(F.col(f"`{text}`"))) == F.col(own_hash))
     return docs.join(bad, same, "left_anti")

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import python_ready, small_side, staged
+from wicketflow.llm.common import free_name, python_ready, small_side, staged
 from wicketflow.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -342,12 +342,13 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = classes.groupBy("class_node", "node", "doc_id", "class_id").agg(F.count("*").alias("n")).join(chosen, "class_node")
     stays = (F.col("node") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     rows = staged(rows.select("node", "doc_id", stays.alias("stays"), "n"), "kept")
-    gone = small_side(rows.where(~F.col("stays")).select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")), "gone")
+    own_node, own_id, own_place = (free_name(docs, x) for x in ("_node", "_id", "_place"))
+    gone = small_side(rows.where(~F.col("stays")).select(F.col("node").alias(own_node), F.col("doc_id").alias(own_id)), "gone")
     node = F.unhex(F.md5(F.encode(F.col(f"`{text}`"), "UTF-8")))
-    left = docs.join(gone, (node == F.col("_node")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")), "left_anti")
+    left = docs.join(gone, (node == F.col(own_node)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)), "left_anti")
     if rows.where("stays and n > 1").isEmpty():
         return left
     key = [F.col(f"`{doc_id}`"), node]
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    ordered = left.where(F.col(f"`{text}`").isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
+    ordered = left.where(F.col(f"`{text}`").isNotNull()).withColumn(own_place, place).where(F.col(own_place) == 1).drop(own_place)
     return ordered.unionByName(left.where(F.col(f"`{text}`").isNull()))

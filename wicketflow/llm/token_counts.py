@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,13 +20,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wicketflow.llm.bpe import byte_letters
-from wicketflow.llm.common import python_ready
+from wicketflow.llm.bpe import byte_letters, pieces_of
+from wicketflow.llm.common import python_ready, refuse_taken
 
 #: Fixed value: the word pattern of the vocabulary with word ends. \p{White_Space}: what \s means there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Capitals, as code points, whose small letters the tokenizers library knows and Python doesn't.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITALS = re.compile(f"[{''.join(map(chr, LOWER))}]")
 #: Words whose counts a worker keeps.
-KEPT = 600_000
+KEPT = 200_000
 
 
 class WordBpe:
@@ -77,7 +82,9 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         # letter by letter: str.lower() alone gives a sigma at a word's end another form
         text = text.replace("Σ", "σ").lower()
-        return sum(map(self.kept.__getitem__, self.words.findall(text)))
+        if not text.isascii() and _CAPITALS.search(text):
+            text = text.translate(LOWER)
+        return sum(map(self.kept.__getitem__, pieces_of(self.words, text)))
 
 
 class _Kept(dict):
@@ -100,9 +107,11 @@ def _model(spec: bytes) -> WordBpe:
 
 
 def count_tokens(df: DataFrame, vocab: Broadcast, text: str = "text", *, into: str = "n_tokens") -> DataFrame:
-    """df with into: the number of tokens of the whole text, nothing added or cut off; a null or empty text has none."""
-    if into in df.columns:
-        raise ValueError(f"df already has {into}")
+    """df with into: the number of tokens of the whole text, nothing added or cut off; a null or empty text has none.
+
+    Rows that repeat are all counted. Raises ValueError if df has into, in whatever case.
+    """
+    refuse_taken(df, into)
     python_ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
