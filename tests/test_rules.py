@@ -73,7 +73,8 @@ def test_ties_are_no_losses(spark):
 
 def test_average_tie_percentile(spark):
     d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 5.0)], "k string, v double")
-    got = sorted((x["k"], x["v"] or 0, x["s"]) for x in d.select("k", "v", scores.percent_rank_average(F.col("v"), "k").alias("s")).collect())
+    d = d.select("*", F.row_number().over(scores.Window.orderBy("k", "v")).alias("row"))
+    got = sorted((x["k"], x["v"] or 0, x["v_rank"]) for x in scores.percentiles(d, ["row"], ["k"], {"v": (F.col("v"), False)}).collect())
     assert got[0] == ("a", 0, None) and abs(got[1][2] - 100 / 3) < 1e-9 and abs(got[2][2] - 250 / 3) < 1e-9 and got[4][2] == 50
 
 
@@ -113,7 +114,68 @@ def test_unseen_rows(spark):
     assert [x["k"] for x in sinks.unseen(df, df.where("k = 1"), ["k"]).collect()] == [2]
 
 
-SOME = ["cumulative_innings", "scorecard_batting", "career_batting", "matchups", "team_performance", "venue_stats", "form_score", "impact_score", "audit_deliveries", "stream_dedupe", "flatten_deliveries"]
+def test_percentiles_equal_pandas(spark):
+    """Many rows in few ranges: ties, nulls, the least as the best, one value alone."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"id": range(500), "k": rng.choice(["a", "b"], 500), "x": rng.integers(0, 40, 500).astype(float)})
+    rows.loc[rng.random(500) < 0.1, "x"] = np.nan
+    rows = pd.concat([rows, pd.DataFrame({"id": [500, 501], "k": ["c", "d"], "x": [3.0, np.nan]})])
+    df = spark.createDataFrame(rows).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = scores.percentiles(df, ["id"], ["k"], {"up": (F.col("x"), False), "down": (F.col("x"), True)}, alone=50.0, ranges=7).toPandas().set_index("id")
+    for name, up in (("up_rank", True), ("down_rank", False)):
+        want = rows.set_index("id").groupby("k")["x"].rank(pct=True, ascending=up) * 100
+        want[500] = 50.0
+        assert np.allclose(got[name].reindex(want.index), want, equal_nan=True)
+    places = scores.numbered(df.where("x is not null"), ["k"], [F.col("x"), F.col("id")], ranges=5).toPandas()
+    for _, part in places.groupby("k"):
+        assert part.sort_values(["x", "id"])["n"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_search_terms_and_parts(spark):
+    from wicketflow.operators import identity
+
+    asked = spark.createDataFrame([("cwc 23",), ("cup 2019 x",), ("old 61",), ("",)], "q string")
+    assert [tuple(x) for x in asked.select(*identity.query_terms(F.col("q"))).collect()] == [("cwc", "2023"), ("cup x", "2019"), ("old", "1961"), ("", None)]
+    dim = spark.createDataFrame([(1, "Royal Town", "RT"), (2, "royal city", "RC"), (3, "City", "C"), (4, "CITY", "C2")], "id int, name string, short string")
+    names_ = spark.createDataFrame([("Royal Town",), ("RC",), ("ROYAL CITY",), ("Royal",), ("al to",), ("city",), ("zz",)], "name string")
+    got = {x["name"]: x["id"] for x in identity.team_matches(names_, dim).collect()}
+    assert got == {"Royal Town": 1, "RC": 2, "ROYAL CITY": 2, "Royal": None, "al to": 1, "city": None, "zz": None}
+
+
+def test_scores_of_teams(spark):
+    from wicketflow.operators import identity
+
+    rows = [("A", "B", [("b inning 1", 5, 1, 2.0), ("A inning 1", 9, None, None), ("a inning 2", 3, 2, 1.1)]), ("A", "B", [("first", 7, 1, None), ("second", None, 1, 1.0), ("third", 8, None, 2.0)]), ("A", "B", None)]
+    d = spark.createDataFrame(rows, "a string, b string, s array<struct<inning:string,r:int,w:int,o:double>>")
+    got = [tuple(x) for x in d.select(*identity.scores_by_team(F.col("s"), F.col("a"), F.col("b"))).collect()]
+    assert got == [("9 & 3/2 (1.1 ov)", "5/1 (2.0 ov)"), ("7/1", "8 (2.0 ov)"), (None, None)]
+
+
+def test_official_careers_count_named_players(spark):
+    from wicketflow.operators import records
+
+    info = '"info":{"match_type":"ODI","dates":["2024-01-01"],"teams":["A","B"],"players":{"A":["x","y","z"],"B":["u","w"]}}'
+    balls = '{"batter":"x","bowler":"u","non_striker":"y","runs":{"batter":4,"extras":0,"total":4},"wickets":[{"player_out":"x","kind":"bowled"},{"player_out":"y","kind":"run out"}]}'
+    doc = '{"match_id":"1",' + info + ',"innings":[{"team":"A","overs":[{"over":0,"deliveries":[' + balls + "]}]}]}"
+    docs = spark.createDataFrame([(doc,)], "value string").select(F.from_json("value", matches._DDL).alias("d")).select("d.*")
+    d = matches.flatten(docs)
+    bat = {x["player"]: (x["matches"], x["innings"], x["not_outs"], x["runs"]) for x in records.official_batting(docs, d).collect()}
+    assert bat["z"] == (1, 0, 0, 0) and bat["x"] == (1, 1, 0, 4) and bat["u"] == (1, 0, 0, 0)
+    assert [(x["batter"], x["wickets"]) for x in records.official_matchups(d, 1).collect()] == [("x", 1)]
+    assert records.official_bowling(d).first()["best_figures"] == "1/4"
+
+
+def test_prepared_documents(spark):
+    rows = [("1", ("T20", "international", "male")), ("2", ("T20", "club", "male")), ("3", ("T20", "international", "female"))]
+    docs = spark.createDataFrame(rows, "match_id string, info struct<match_type:string,team_type:string,gender:string>")
+    got = {x["match_id"]: tuple(x["meta"]) for x in matches.prepared(docs).collect()}
+    assert got == {"1": ("T20", "T20I"), "2": ("T20", "T20")} and matches.prepared(docs, gender="all").count() == 3
+
+
+SOME = ["official_batting", "career_bowling_full", "season_impact", "rank_allrounder", "map_player_ids", "verify_sync", "stream_windows", "cumulative_innings", "scorecard_batting", "career_batting", "matchups", "team_performance", "venue_stats", "form_score", "impact_score", "audit_deliveries", "stream_dedupe", "flatten_deliveries"]
 
 
 @pytest.mark.parametrize("name", SOME)

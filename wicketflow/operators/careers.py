@@ -93,11 +93,11 @@ def recent_batting(lines: DataFrame, days: int = 548, asof: Column | None = None
     )
 
 
-def matchups(d: DataFrame, least: int = 10) -> DataFrame:
-    """Batter against bowler in each format, pairs with at least so many balls."""
+def matchups(d: DataFrame, least: int = 10, keys: tuple[str, ...] = ("batter", "bowler", "format")) -> DataFrame:
+    """Batter against bowler in each format (keys: or a finer cut), pairs with at least so many balls."""
     return (
         d.where("batter is not null and bowler is not null and trim(batter) <> '' and trim(bowler) <> ''")
-        .groupBy("batter", "bowler", "format")
+        .groupBy(*keys)
         .agg(
             F.countDistinct("match_id").alias("matches"),
             r.count_if(r.ball_faced()).alias("balls"),

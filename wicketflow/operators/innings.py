@@ -116,7 +116,7 @@ def maidens(d: DataFrame, balls_per_over: int = 6) -> DataFrame:
 
 
 def scorecard_batting(d: DataFrame) -> DataFrame:
-    """The batting card: everyone at the crease, in order of appearance, the striker before the non-striker of a ball."""
+    """The batting card: everyone who comes in to bat, in order of appearance, the striker before the non-striker of a ball."""
     at = F.col("over_number") * 1000 + F.col("ball_in_over")
     keys = [*INNINGS, "batting_team"]
     seen = F.array(
@@ -165,3 +165,22 @@ def dismissal_text(card: DataFrame) -> DataFrame:
         .otherwise(k)
     )
     return card.withColumn("dismissal", text)
+
+
+def by_ranges(d: DataFrame) -> DataFrame:
+    """d with phase, by a join with the table of each format's ranges of overs; formats that aren't listed go by T20."""
+    rows = [(f, "general", 0, 1000) for f in r.MULTI_DAY]
+    for f, (first, second) in r.PHASES.items():
+        rows += [(f, "powerplay", 0, first), (f, "middle", first + 1, second), (f, "death", second + 1, 1000)]
+    ranges = d.sparkSession.createDataFrame(rows, "_f string, phase string, _low int, _high int")
+    own = F.when(F.col("format").isin(*r.MULTI_DAY, *r.PHASES), F.col("format")).otherwise("T20")
+    return d.withColumn("_own", own).join(F.broadcast(ranges), (F.col("_own") == F.col("_f")) & F.col("over_number").between(F.col("_low"), F.col("_high"))).drop("_own", "_f", "_low", "_high")  # a row a phase
+
+
+def denormalised(balls: DataFrame, inn: DataFrame, matches: DataFrame, players: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
+    """Balls with the names that their keys stand for; keys without a name give null. The three last: (id, name)."""
+    out = balls.join(inn.withColumnRenamed("id", "innings_id"), "innings_id").join(matches, "match_id")
+    for names, columns in ((players, ("batter", "bowler", "non_striker", "dismissed_player")), (teams, ("batting_team", "bowling_team", "winner")), (venues, ("venue",))):
+        for c in columns:
+            out = out.join(names.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(c)), f"{c}_id", "left")
+    return out.select("match_id", "innings_number", "over_number", "ball_in_over", "format", "match_date", "venue", "batting_team", "bowling_team", "batter", "bowler", "non_striker", "dismissed_player", "runs_total", "winner")

@@ -5,6 +5,8 @@ Dimension tables are joined, never looped over; what is broadcast is left to Spa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,16 +87,33 @@ def canonical(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 
 def resolve_unambiguous(names: DataFrame, dimension: DataFrame) -> DataFrame:
-    """(name, id): exact match, else without case, else a substring of one candidate only; null where none or several.
+    """(name, id): exact match, else without case, else a part of one candidate's name only; null where none or several.
 
-    names: (name); dimension: (id, name). The substring stage is a theta join, so it sees only what is left over.
+    names: (name); dimension: (id, name). Parts are looked up by their first three letters in an index of all runs of three
+    letters of the dimension's names, and then compared.
     """
     exact = dimension.groupBy("name").agg(F.collect_set("id").alias("e")).where(F.size("e") == 1).select("name", F.get("e", 0).alias("exact"))
     plain = dimension.groupBy(identity_key(F.col("name")).alias("k")).agg(F.collect_set("id").alias("p")).where(F.size("p") == 1).select("k", F.get("p", 0).alias("plain"))
     staged = names.select("name").distinct().join(exact, "name", "left").withColumn("k", identity_key(F.col("name"))).join(plain, "k", "left")
-    left = staged.where("exact is null and plain is null and length(k) >= 3").select("name", "k")
-    near = left.join(dimension.select("id", identity_key(F.col("name")).alias("dk")), F.col("dk").contains(F.col("k"))).groupBy("name").agg(F.collect_set("id").alias("s")).where(F.size("s") == 1).select("name", F.get("s", 0).alias("near"))
-    return staged.join(near, "name", "left").select("name", F.coalesce("exact", "plain", "near").alias("id"))
+    left = staged.where("exact is null and plain is null and length(k) >= 3").select("name", "k", F.substring("k", 1, 3).alias("g"))
+    near = left.join(runs_of(dimension.select("id", identity_key(F.col("name")).alias("text")), 3), "g").where(F.col("text").contains(F.col("k")))
+    part = near.groupBy("name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("near")).where("n = 1").select("name", "near")
+    return staged.join(part, "name", "left").select("name", F.coalesce("exact", "plain", "near").alias("id"))
+
+
+def runs_of(rows: DataFrame, size: int) -> DataFrame:
+    """rows with g: each run of so many letters of text, once a row: an index for parts of texts."""
+    at = F.sequence(F.lit(1), F.length("text") - size + 1)
+    return rows.where(F.length("text") >= size).select("*", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(size))))).alias("g"))
+
+
+def initial_pairs(names: DataFrame) -> DataFrame:
+    """(short, long): names of one surname whose first names are an initial and a word that begins with it. names: (name)."""
+    parts = names.select("name", F.split(identity_key(F.col("name")), " ").alias("w")).where(F.size("w") >= 2).select("name", F.try_element_at("w", F.lit(-1)).alias("surname"), F.get("w", 0).alias("first"))
+    parts = parts.withColumn("letter", F.substring("first", 1, 1)).withColumn("bare", F.regexp_replace("first", "[0-9.]", ""))
+    short = parts.where(F.length("bare") == 1).select("surname", "letter", F.col("name").alias("short"))
+    long = parts.where(F.length("bare") > 1).select("surname", "letter", F.col("name").alias("long"))
+    return short.join(long, ["surname", "letter"]).select("short", "long")
 
 
 def duplicate_names(dimension: DataFrame) -> DataFrame:
@@ -122,7 +141,13 @@ def search(editions: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """
     q = queries.select("query", search_text(F.col("query")).alias("q")).withColumn("year", F.regexp_extract("q", r"\b((?:19|20)[0-9]{2})\b", 1)).withColumn("words", F.trim(F.regexp_replace("q", r"\b(?:19|20)[0-9]{2}\b", "")))
     e = editions.select("id", "name", "season", search_text(F.col("name")).alias("text"), acronym(F.col("name")).alias("short"))
-    both = q.join(e)  # a few typed queries against the editions
+    # what a query can match by: its acronym, its first word, and its first three letters (all of them, if fewer) within a name
+    begins = F.substring("words", 1, 3)
+    asked = q.select("*", F.explode(F.array(F.concat(F.lit("a:"), F.regexp_replace("words", " ", "")), F.concat(F.lit("w:"), F.get(F.split("words", " +"), F.lit(0))), F.concat(F.lit("g:"), begins))).alias("k"))
+    parts = [runs_of(e, n).select("id", F.concat(F.lit("g:"), "g").alias("k")) for n in (1, 2, 3)]
+    own = e.select("id", F.explode(F.array_append(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w)), F.concat(F.lit("a:"), "short"))).alias("k"))
+    hits = asked.join(reduce(DataFrame.unionByName, [own, *parts]), "k").select("query", "id").distinct()
+    both = hits.join(q, "query").join(e, "id")
     words = F.split("words", " +")
     base = (
         F.when(F.col("text") == F.col("words"), 110)

@@ -30,6 +30,22 @@ def duplicates(table: DataFrame, key: str, category: str, check: str, status: st
     return n.select(F.lit(category).alias("category"), F.lit(check).alias("check"), F.when(F.col("n") == 0, "PASS").otherwise(status).alias("status"), "n")
 
 
+def size(table: DataFrame, category: str) -> DataFrame:
+    """The number of rows; a table without any fails."""
+    n = table.agg(F.count("*").alias("n"))
+    return n.select(F.lit(category).alias("category"), F.lit("total").alias("check"), F.when(F.col("n") > 0, "PASS").otherwise("FAIL").alias("status"), "n")
+
+
+def audit_dimension(table: DataFrame, category: str, *, status: str = "FAIL", brackets: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+    """Names that differ by case only, names with brackets, aliases of no one, and the number of rows. table: (id, name); aliases: (id)."""
+    parts = [duplicates(table.select(F.lower(F.trim("name")).alias("name")), "name", category, "duplicate_name", status)]
+    if brackets:
+        parts.append(counted(table, category, {"bracketed_name": F.col("name").rlike(r"[()\[\]]")}))
+    if aliases is not None:
+        parts.append(orphans(aliases, "id", table, "id", category, "orphan_alias"))
+    return audit([*parts, size(table, category)])
+
+
 def audit(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -74,3 +90,30 @@ def remap(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, Data
 def differing(stored: DataFrame, source: DataFrame, key: list[str], value: str) -> DataFrame:
     """Keys whose stored value differs from the source's."""
     return stored.join(source.select(*key, F.col(value).alias("expected")), key).where(~F.col(value).eqNullSafe(F.col("expected"))).select(*key, value, "expected")
+
+
+def safe_not_outs(innings: Column, not_outs: Column) -> Column:
+    """The sum of not-outs, not below 0 and not above that of innings."""
+    return F.least(F.greatest(F.sum(not_outs), F.lit(0)), F.sum(innings)).cast("long")
+
+
+def synced(stored: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
+    """stored with the rows that it lacks and source's values where they differ; rows that source lacks stay."""
+    return stored.join(source.select(*key), key, "left_anti").unionByName(source.select(*stored.columns))
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in tables.items()])
+
+
+def compared(source: dict[str, DataFrame], target: dict[str, DataFrame], references: dict[str, tuple[str, str]]) -> DataFrame:
+    """(table, source, target, orphans): rows of both stores, and rows of target whose reference (column, table) isn't there."""
+    parts = []
+    for k in source:
+        n = table_sizes({k: source[k]}).select(F.col("name").alias("table"), F.col("n").alias("source"))
+        there = table_sizes({k: target[k]}).select(F.col("name").alias("table"), F.col("n").alias("target"))
+        column, other = references.get(k, (None, None))
+        lost = orphans(target[k], column, target[other], column, k, "orphans").select(F.col("category").alias("table"), F.col("n").alias("orphans")) if column else n.select("table", F.lit(0).cast("long").alias("orphans"))
+        parts.append(n.join(there, "table").join(lost, "table"))
+    return reduce(DataFrame.unionByName, parts)

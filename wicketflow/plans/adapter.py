@@ -10,6 +10,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wicketflow.operators import innings
+from wicketflow.sources.shared import staged
+
 #: The common table expressions b, o, e, deliveries, matches and players; {lineitem} is the source.
 CTES = """
 b AS (SELECT *, CAST(FLOOR(l_orderkey/60.0) AS INT) AS m, CASE WHEN l_orderkey % 60 < 30 THEN 1 ELSE 2 END AS inn, CAST(l_quantity AS INT) AS q FROM {lineitem}),
@@ -95,6 +98,15 @@ class Tables:
     def matches(self) -> DataFrame:
         return self._sql("SELECT * FROM matches")
 
+    @cached_property
+    def bat_lines(self) -> DataFrame:
+        """batting_lines(), written once: for queries that read them several times."""
+        return staged(innings.batting_lines(self.deliveries), "batting")
+
+    @cached_property
+    def bowl_lines(self) -> DataFrame:
+        return staged(innings.bowling_lines(self.deliveries), "bowling")
+
     @cached_property
     def players(self) -> DataFrame:
         return self._sql("SELECT * FROM players")

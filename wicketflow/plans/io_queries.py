@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
@@ -13,18 +10,13 @@ from wicketflow.operators import careers as c
 from wicketflow.registry import query
 from wicketflow.sources import matches as m
 from wicketflow.sources import sinks
+from wicketflow.sources.shared import fresh_path as shared
 from wicketflow.streaming import live
 
 CORE = "match_id, innings_number, over_number, ball_in_over, batting_team, bowling_team, batter, bowler, non_striker, runs_batter, runs_extras, runs_total, extra_type, is_wicket, wicket_type, dismissed_player, match_date, season"
 CORE_LIST = CORE.split(", ")
 
 
-def shared(spark, name: str) -> str:
-    """A new path in the cluster's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-io-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def documents(t):
     path = shared(t.spark, "matches")
     m.as_documents(t.deliveries).write.json(path)
@@ -40,9 +32,6 @@ query("scan_match_info", "SELECT match_id, format, season, venue, team_a, team_b
     lambda t: documents(t).select("match_id", F.col("info.match_type").alias("format"), "info.season", "info.venue", F.get("info.teams", 0).alias("team_a"), F.get("info.teams", 1).alias("team_b"))
 )
 query("delivery_count", "SELECT match_id, count(*) AS deliveries FROM deliveries GROUP BY match_id")(lambda t: m.delivery_count(documents(t)))
-query("prepare_profile", "SELECT format, count(*) AS matches, min(match_date) AS first_date, max(match_date) AS last_date FROM matches GROUP BY format")(
-    lambda t: documents(t).groupBy(F.col("info.match_type").alias("format")).agg(F.count("*").alias("matches"), F.min(F.get("info.dates", 0).try_cast("date")).alias("first_date"), F.max(F.get("info.dates", 0).try_cast("date")).alias("last_date"))
-)
 
 
 def by_format(t):
@@ -71,9 +60,6 @@ query("upsert_deliveries", f"SELECT {', '.join(KEY)} FROM deliveries WHERE innin
 query("replace_match_scorecards", "SELECT match_id, CAST(sum(runs_total) AS BIGINT) + CASE WHEN match_id IN ('m1', 'm4') THEN 7 ELSE 0 END AS runs FROM deliveries GROUP BY match_id")(
     lambda t: sinks.replaced_matches(t.deliveries.groupBy("match_id").agg(r.total("runs_total").alias("runs")), t.deliveries.where("match_id in ('m1', 'm4')").groupBy("match_id").agg((r.total("runs_total") + 7).alias("runs")))
 )
-query("upsert_innings", "SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) AS runs FROM deliveries GROUP BY ALL")(
-    lambda t: t.deliveries.groupBy("match_id", "innings_number").agg(r.total("runs_total").alias("runs"))
-)
 query("union_by_name", "SELECT match_id, venue, CAST(NULL AS VARCHAR) AS winner FROM matches UNION ALL SELECT match_id, NULL, winner FROM matches")(
     lambda t: t.matches.select("match_id", "venue").unionByName(t.matches.select("match_id", "winner"), allowMissingColumns=True)
 )
@@ -127,27 +113,31 @@ plain("SELECT DISTINCT event_id, user_id, event_type FROM events")("stream_dedup
 
 
 def stream_latest(t):
-    out, mark = shared(t.spark, "latest"), shared(t.spark, "mark")
-    path = shared(t.spark, "snapshots")
+    out, mark, path = shared(t.spark, "latest"), shared(t.spark, "mark"), shared(t.spark, "snapshots")
     e = t.raw("events").select("user_id", "ts", "event_id", "event_type")
     e.repartition(3).write.parquet(path)
-    q = live.keep_latest(live.source(t.spark, path, e.schema, 1), out, mark, "user_id", "ts")
-    finished(q)
-    last = max(p["batchId"] for p in q.recentProgress)
-    return t.spark.read.schema(e.schema).parquet(f"{out}/v{last}").select("user_id", "event_id", "event_type")
+    finished(live.changes(live.latest(live.source(t.spark, path, e.schema, 1), "user_id", "ts"), out, mark))
+    return live.current(t.spark, out, ["user_id"]).select("user_id", "event_id", "event_type")
 
 
 plain("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")("stream_live_latest", stream_latest)
 
 
 def stream_scoreboard(t):
-    path, mark, name = shared(t.spark, "balls"), shared(t.spark, "mark"), f"scores_{uuid.uuid4().hex[:8]}"
+    path, mark, out = shared(t.spark, "balls"), shared(t.spark, "mark"), shared(t.spark, "scores")
     d = t.deliveries.select("match_id", "innings_number", "runs_total", "is_wicket", "extra_type")
     d.repartition(4).write.parquet(path)
-    out = shared(t.spark, "scores")
-    board = live.scoreboard(live.source(t.spark, path, d.schema, 2))
-    finished(board.writeStream.outputMode("complete").queryName(name).foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start())
-    return t.spark.read.parquet(out)
+    finished(live.changes(live.scoreboard(live.source(t.spark, path, d.schema, 2)), out, mark))
+    return live.current(t.spark, out, ["match_id", "innings_number"])
+
+
+def stream_windows(t):
+    path, mark, out = shared(t.spark, "events"), shared(t.spark, "mark"), shared(t.spark, "windows")
+    e = t.raw("events").select("ts", "event_type", "value")
+    e.repartition(3).write.parquet(path)
+    finished(live.changes(live.windowed_activity(live.source(t.spark, path, e.schema, 1), late="3650 days").select(F.col("window.start").alias("start"), "event_type", "n"), out, mark))
+    return live.current(t.spark, out, ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+plain("SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")("stream_windows", stream_windows)
 query("stream_scoreboard", "SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) AS runs, count_if(is_wicket) AS wickets, count_if(legal) AS balls FROM flags GROUP BY ALL")(stream_scoreboard)

@@ -25,9 +25,8 @@ MATCHUP = "SELECT batter, bowler, format, count(DISTINCT match_id) AS matches, c
 
 
 def parts(t):
-    d = chunked(t.deliveries)
-    one = [c.matchups(d.where(f"chunk = {k}"), least=0) for k in range(4)]
-    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
+    """Matchups of each chunk, in one grouping."""
+    return c.matchups(chunked(t.deliveries), least=0, keys=("batter", "bowler", "format", "chunk"))
 
 
 query("chunk_merge_matchups", f"SELECT *, runs * 100.0::DOUBLE / balls AS strike_rate FROM ({MATCHUP}) WHERE balls >= 10")(lambda t: g.merge_matchups(parts(t)))

@@ -62,13 +62,6 @@ s AS (SELECT a.name, min(d.id) AS id FROM asked a JOIN dim d ON contains(lower(d
 SELECT asked.name, coalesce(ex.id, p.id, s.id) AS id FROM asked LEFT JOIN ex ON ex.name = asked.name LEFT JOIN p ON p.k = lower(asked.name) LEFT JOIN s ON s.name = asked.name""")(
     lambda t: n.resolve_unambiguous(t.raw("supplier").select(F.when(F.col("s_suppkey") % 3 == 0, F.lower("s_name")).otherwise(F.col("s_name")).alias("name")), dimension(t))
 )
-query("resolve_player_unambiguous", DIM + "SELECT lower(name) AS key, min(id) AS id FROM dim GROUP BY lower(name) HAVING count(DISTINCT id) = 1")(
-    lambda t: dimension(t).groupBy(n.identity_key(F.col("name")).alias("key")).agg(F.collect_set("id").alias("ids")).where(F.size("ids") == 1).select("key", F.get("ids", 0).alias("id"))
-)
-query("norm_player", "SELECT o_orderkey, 'Team ' || (o_custkey % 6) AS name FROM orders")(
-    lambda t: n.canonical(t.raw("orders").select("o_orderkey", F.concat(F.lit("team"), (F.col("o_custkey") % 6).cast("string")).alias("name")), "name", t.deliveries.select("batting_team").distinct().select(F.upper("batting_team").alias("alias"), F.regexp_replace("batting_team", "Team", "Team ").alias("name")))
-    .withColumn("name", F.regexp_replace("name", "^team", "Team "))
-)
 for _name, _col in (("resolve_team", "batting_team"), ("resolve_venue", "venue"), ("resolve_competition", "competition"), ("resolve_player", "batter")):
     query(_name, f"SELECT DISTINCT {_col} AS name, CASE WHEN {_col} IN (SELECT max({_col}) FROM deliveries) THEN 'known' ELSE sha256({_col}) END AS id FROM deliveries")(
         lambda t, c=_col: n.get_or_create(t.deliveries.select(F.col(c).alias("name")), t.deliveries.agg(F.max(c).alias("name")).withColumn("id", F.lit("known")), "name").select("name", "id")
@@ -82,9 +75,6 @@ query("merge_identities", f", {BAT_SQL} SELECT CASE WHEN player LIKE '%P10' THEN
 query("identity_report", f", {BAT_SQL} SELECT player, string_agg(DISTINCT format, ',' ORDER BY format) AS formats FROM bl GROUP BY player HAVING count(DISTINCT format) >= 2")(
     lambda t: bat(t).groupBy("player").agg(F.sort_array(F.collect_set("format")).alias("f")).where(F.size("f") >= 2).select("player", F.array_join("f", ",").alias("formats"))
 )
-query("upsert_affiliations", "SELECT DISTINCT batter AS player, batting_team AS team, format FROM deliveries UNION SELECT bowler, bowling_team, format FROM deliveries")(
-    lambda t: t.deliveries.select(F.col("batter").alias("player"), F.col("batting_team").alias("team"), "format").union(t.deliveries.select("bowler", "bowling_team", "format")).distinct()
-)
 query("union_roles", "SELECT batter AS player, match_id FROM deliveries UNION SELECT bowler, match_id FROM deliveries")(lambda t: t.deliveries.select(F.col("batter").alias("player"), "match_id").union(t.deliveries.select("bowler", "match_id")).distinct())
 query("player_registry", "SELECT batter AS player FROM deliveries UNION SELECT bowler FROM deliveries")(lambda t: t.deliveries.select(F.col("batter").alias("player")).union(t.deliveries.select("bowler")).distinct())
 query("referenced_players", "SELECT batter AS player FROM deliveries UNION SELECT bowler FROM deliveries UNION SELECT non_striker FROM deliveries UNION SELECT dismissed_player FROM deliveries WHERE dismissed_player IS NOT NULL")(
@@ -144,13 +134,9 @@ query("data_completeness", DEFECTS + "SELECT format, count(*) AS n, count(batter
     lambda t: bad(t).groupBy("format").agg(F.count("*").alias("n"), F.count("batter").alias("with_batter"), F.count("extra_type").alias("with_extra"), F.count("fielder").alias("with_fielder"))
 )
 query("validate_rejects", DEFECTS + "SELECT CASE WHEN batter IS NULL THEN 'no batter' ELSE 'negative runs' END AS reason, count(*) AS n FROM bad WHERE batter IS NULL OR runs_total < 0 GROUP BY ALL")(lambda t: i.rejected(bad(t)).groupBy("reason").agg(F.count("*").alias("n")))
-query("detect_inflation", f", {CARD_SQL}, x AS (SELECT match_id, innings_number, CAST(sum(runs * CASE WHEN match_id LIKE '%7' THEN 3 ELSE 1 END) AS BIGINT) AS card_runs FROM full_card GROUP BY ALL), y AS (SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) AS runs FROM deliveries GROUP BY ALL) SELECT * FROM x JOIN y USING (match_id, innings_number) WHERE card_runs > runs * 1.5")(
-    lambda t: q.card_against_innings(i.scorecard_batting(t.deliveries).withColumn("runs", F.col("runs") * F.when(F.col("match_id").like("%7"), 3).otherwise(1)), i.innings_totals(t.deliveries))
-)
 query("fix_innings_totals", "SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) + 5 AS runs, CAST(sum(runs_total) AS BIGINT) AS expected FROM deliveries WHERE match_id LIKE '%9' GROUP BY ALL")(
     lambda t: q.differing(i.innings_totals(t.deliveries).withColumn("runs", F.col("runs") + F.when(F.col("match_id").like("%9"), 5).otherwise(0)).select("match_id", "innings_number", "runs"), i.innings_totals(t.deliveries), ["match_id", "innings_number"], "runs")
 )
-query("purge_matches", "SELECT match_id, count(*) AS n FROM deliveries WHERE match_id NOT IN ('m1', 'm2') GROUP BY ALL")(lambda t: t.deliveries.join(t.matches.where("match_id in ('m1', 'm2')").select("match_id"), "match_id", "left_anti").groupBy("match_id").agg(F.count("*").alias("n")))
 query("anti_stale_aggregates", f", {BAT_SQL} SELECT player, match_id, runs FROM bl WHERE match_id IN (SELECT match_id FROM matches WHERE result_type = 'win')")(lambda t: bat(t).join(t.matches.where("result_type = 'win'").select("match_id"), "match_id", "left_semi").select("player", "match_id", "runs"))
 query("backfill_result_type", "SELECT match_id, CASE WHEN winner IS NOT NULL THEN 'win' WHEN format = 'Test' THEN 'draw' ELSE 'no_result' END AS result_type FROM matches")(
     lambda t: t.matches.select("match_id", F.when(F.col("winner").isNotNull(), "win").when(F.col("format") == "Test", "draw").otherwise("no_result").alias("result_type"))
@@ -164,4 +150,3 @@ query("clamp_stats", f", {BAT_SQL}, cb AS ({career_bat_sql('player, format')}) S
 query("sync_tables_remap", "SELECT match_id, 'X' || venue AS venue FROM matches WHERE venue <> 'V6'")(
     lambda t: q.remap(t.matches.select("match_id", "venue"), "venue", t.matches.where("venue <> 'V6'").select(F.col("venue").alias("old_id")).distinct().withColumn("new_id", F.concat(F.lit("X"), F.col("old_id"))))[0].select("match_id", "venue")
 )
-query("verify_idempotency", f", {BAT_SQL} SELECT 0 AS differing")(lambda t: bat(t).exceptAll(bat(t)).agg(F.count("*").cast("int").alias("differing")))

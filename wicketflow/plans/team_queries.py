@@ -140,5 +140,3 @@ query("list_teams", records() + " ORDER BY win_rate DESC, team LIMIT 20")(lambda
 query("semi_venue_members", "SELECT DISTINCT venue FROM matches v WHERE EXISTS (SELECT 1 FROM matches x WHERE x.venue = v.venue AND x.team_a = 'Team0' AND x.team_b = 'Team1')")(
     lambda t: t.matches.select("venue").distinct().join(t.matches.where("team_a = 'Team0' and team_b = 'Team1'").select("venue"), "venue", "left_semi")
 )
-query("team_reconcile", records("format", ""))(lambda t: o.team_records(sides(t), "format"))
-query("venue_reconcile", f",{VM} SELECT venue, format, matches, chases_won, toss_wins FROM vm")(lambda t: o.venue_matches(t.matches).select("venue", "format", "matches", "chases_won", "toss_wins"))

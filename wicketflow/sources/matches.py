@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: The kinds of extras in the order in which a ball's extra type is decided.
 EXTRAS = (("wides", "wide"), ("noballs", "noball"), ("byes", "bye"), ("legbyes", "legbye"), ("penalty", "penalty"))
 
+#: The fields of a document.
 _DDL = (
     "match_id string, info struct<match_type:string,team_type:string,gender:string,balls_per_over:int,dates:array<string>,season:string,venue:string,city:string,teams:array<string>,"
     "players:map<string,array<string>>,registry:struct<people:map<string,string>>,toss:struct<winner:string,decision:string>,"
@@ -31,7 +32,7 @@ def read_matches(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_zip(spark: SparkSession, *paths: str) -> DataFrame:
     """The same from ZIP archives of documents; an archive is one task's memory."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    files = _archives(spark, *paths)
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,6 +46,14 @@ def read_zip(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select("d.*", "file").withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1)))
 
 
+def _archives(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, content) of ZIP files, or of the archives that write_zips() has put into Parquet."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    if not whole.where("path like '%.parquet'").isEmpty():
+        return spark.read.parquet(*paths).select(F.concat(F.col("_metadata.file_path"), F.lit("#"), F.monotonically_increasing_id().cast("string")).alias("path"), "content")
+    return whole.select("path", "content")
+
+
 def result_type(outcome: str = "info.outcome") -> F.Column:
     text = F.lower(F.regexp_replace(F.coalesce(F.col(f"{outcome}.result"), F.lit("")), " ", "_"))
     return F.when(F.col(f"{outcome}.winner").isNotNull(), "win").when(text.isin("tie", "draw", "no_result", "abandoned"), text).otherwise("no_result")
@@ -74,6 +83,63 @@ def flatten(matches: DataFrame) -> DataFrame:
     )
 
 
+def prepared(matches: DataFrame, *, gender: str = "male") -> DataFrame:
+    """Documents of one gender (``all``: of any) with meta: the format as it came, and as it counts here.
+
+    Twenty-over matches between countries are T20I.
+    """
+    rows = matches if gender == "all" else matches.where(F.col("info.gender") == gender)
+    came = F.col("info.match_type")
+    counts = F.when((came == "T20") & (F.col("info.team_type") == "international"), "T20I").otherwise(came)
+    return rows.withColumn("meta", F.struct(came.alias("original_match_type"), counts.alias("prepared_format"))).withColumn("info", F.col("info").withField("match_type", counts))
+
+
+def problems(matches: DataFrame) -> DataFrame:
+    """(problem, n): documents without an id, without innings, with innings that lack team or overs, and sound ones; one pass."""
+    inn = F.coalesce("innings", F.array())
+    checks = {
+        "missing_match_id": F.col("match_id").isNull(), "missing_innings": F.size(inn) == 0, "innings_without_team": F.exists(inn, lambda x: x["team"].isNull()),
+        "innings_without_overs": F.exists(inn, lambda x: x["overs"].isNull()), "valid": F.col("match_id").isNotNull() & (F.size(inn) > 0) & ~F.exists(inn, lambda x: x["team"].isNull() | x["overs"].isNull()),
+    }
+    one = matches.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in checks.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(k).alias("n")) for k in checks])))
+
+
+def profile(matches: DataFrame) -> DataFrame:
+    """Numbers and dates of documents by format, gender and type of team."""
+    day = F.get("info.dates", 0).try_cast("date")
+    return matches.groupBy(F.col("info.match_type").alias("format"), "info.gender", "info.team_type").agg(F.count("*").alias("matches"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
+
+
+def first_files(matches: DataFrame, n: int) -> DataFrame:
+    """The documents of the first n files by name."""
+    return matches.join(matches.select("file").distinct().orderBy("file").limit(n), "file", "left_semi")
+
+
+def registries(matches: DataFrame) -> DataFrame:
+    """(name, team, ids): the register's ids of each name in a team's elevens."""
+    squads = matches.select(F.col("info.registry.people").alias("people"), F.explode("info.players").alias("team", "names")).select("people", "team", F.explode("names").alias("name"))
+    return squads.select("name", "team", F.col("people")[F.col("name")].alias("id")).groupBy("name", "team").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def write_zips(documents: DataFrame, path: str, each: int) -> None:
+    """Documents (value: JSON text) as ZIP archives of about so many under path, one binary file an archive."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for batch in batches:
+            held.extend(batch.column(0).to_pylist())
+        if held:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for k, text in enumerate(held):
+                    z.writestr(f"{k}.json", text)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["content"])
+
+    parts = max(1, -(-documents.count() // each))
+    documents.select("value").repartition(parts).mapInArrow(pack, "content binary").write.parquet(path)
+
+
 def delivery_count(matches: DataFrame) -> DataFrame:
     """Balls per document from the sizes of the nested arrays, without an explode."""
     zero = F.lit(0)

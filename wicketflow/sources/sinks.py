@@ -17,6 +17,11 @@ def replace_formats(df: DataFrame, path: str, key: list[str]) -> None:
     rows.select(*key, *([] if "format" in key else ["format"]), "r.*").select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("format").parquet(path)
 
 
+def swapped_formats(old: DataFrame, new: DataFrame, formats: list[str]) -> DataFrame:
+    """old with the rows of formats gone and new's in their place, also where new has none: to be written to a new path."""
+    return old.where(~F.col("format").isin(*formats)).unionByName(new.where(F.col("format").isin(*formats)))
+
+
 def unseen(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """The rows of df, one a key, whose key isn't in existing."""
     return df.dropDuplicates(key).join(existing.select(*key), key, "left_anti")

@@ -25,7 +25,7 @@ def deduplicated(stream: DataFrame, time: str, key: list[str], late: str = "1 da
 
 
 def scoreboard(stream: DataFrame) -> DataFrame:
-    """Running totals of each innings; update mode."""
+    """Running totals of each innings, for update mode: what changes in a batch comes out."""
     return stream.groupBy("match_id", "innings_number").agg(r.total("runs_total").alias("runs"), r.count_if(F.col("is_wicket")).alias("wickets"), r.count_if(r.legal_ball()).alias("balls"))
 
 
@@ -34,16 +34,26 @@ def windowed_activity(stream: DataFrame, time: str = "ts", width: str = "1 hour"
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str, key: str, time: str) -> StreamingQuery:
-    """The latest row of each key under path/v<batch>, a new version each batch; a batch that runs again writes the same."""
+def changes(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what an aggregation changes in each batch under path/epoch=<batch>; a batch that runs again writes the same.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}"))
-        rest = [c for c in batch.columns if c not in (key, time)]
-        latest = rows.groupBy(key).agg(F.max(F.struct(time, *rest)).alias("r")).select(key, "r.*").select(*batch.columns)
-        latest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+    Only changed keys are written; Spark's state store holds the rest. current() reads the newest row of each key.
+    """
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The newest row of each key of what changes() has written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*key, "epoch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*key, "r.*")
+
+
+def latest(stream: DataFrame, key: str, time: str) -> DataFrame:
+    """The latest row of each key; ties go to the largest of the other columns."""
+    rest = [c for c in stream.columns if c not in (key, time)]
+    return stream.groupBy(key).agg(F.max(F.struct(time, *rest)).alias("r")).select(key, "r.*")
