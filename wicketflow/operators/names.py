@@ -134,27 +134,53 @@ def merge_ids(table: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     return table.join(m, column, "left").withColumn(column, F.coalesce("to_id", column)).drop("to_id")
 
 
-def search(editions: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """The n best editions for each query; editions: (id, name, season), queries: (query).
+def alias_or_create(names: DataFrame, existing: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, id): by alias without case, else by name, else a new id from the name. existing: (id, name); aliases: (alias, id)."""
+    known = aliases.select(identity_key(F.col("alias")).alias("_k"), F.col("id").alias("_alias")).dropDuplicates(["_k"])
+    own = existing.select("name", F.col("id").alias("_own"))
+    out = names.select("name").where("name is not null").distinct().withColumn("_k", identity_key(F.col("name"))).join(known, "_k", "left").join(own, "name", "left")
+    return out.select("name", F.coalesce("_alias", "_own", F.sha2("name", 256)).alias("id"))
 
-    alias or exact name 110, acronym 95, substring 80, all words 70, plus 25 where the query names the season.
+
+def entities(d: DataFrame, bowls: int = 30) -> DataFrame:
+    """(kind, name, role, first_team) of all players, teams and venues: bowlers have bowled so many balls; the team of the first match."""
+    pos = F.concat(F.col("match_date").cast("string"), "match_id")
+    both = d.select(F.col("batter").alias("name"), F.lit(0).alias("bowled"), F.col("batting_team").alias("team"), pos.alias("pos")).unionByName(d.select(F.col("bowler").alias("name"), F.lit(1).alias("bowled"), F.col("bowling_team").alias("team"), pos.alias("pos")))
+    players = both.groupBy("name").agg(F.when(F.sum("bowled") >= bowls, "bowler").otherwise("batter").alias("role"), F.min_by("team", "pos").alias("first_team"))
+    rest = [d.select(F.lit(k).alias("kind"), F.col(c).alias("name"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("first_team")).distinct() for k, c in (("team", "batting_team"), ("venue", "venue"))]
+    return reduce(DataFrame.unionByName, [players.select(F.lit("player").alias("kind"), "name", "role", "first_team"), *rest])
+
+
+def search(editions: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """The n best editions for each query; editions: (id, name, short, season, matches), queries: (query), aliases: (alias, name).
+
+    alias 120, name or short name 110, acronym 95, part of the name (four letters or more) 80, all words (two or more) 70; a
+    query that names a season finds only its editions, with 25 more. Ties: later seasons, then more matches, then ids.
+    Editions are found by keys that each kind of match shares with its query, and then scored; those without matches never.
     """
-    q = queries.select("query", search_text(F.col("query")).alias("q")).withColumn("year", F.regexp_extract("q", r"\b((?:19|20)[0-9]{2})\b", 1)).withColumn("words", F.trim(F.regexp_replace("q", r"\b(?:19|20)[0-9]{2}\b", "")))
-    e = editions.select("id", "name", "season", search_text(F.col("name")).alias("text"), acronym(F.col("name")).alias("short"))
-    # what a query can match by: its acronym, its first word, and its first three letters (all of them, if fewer) within a name
-    begins = F.substring("words", 1, 3)
-    asked = q.select("*", F.explode(F.array(F.concat(F.lit("a:"), F.regexp_replace("words", " ", "")), F.concat(F.lit("w:"), F.get(F.split("words", " +"), F.lit(0))), F.concat(F.lit("g:"), begins))).alias("k"))
-    parts = [runs_of(e, n).select("id", F.concat(F.lit("g:"), "g").alias("k")) for n in (1, 2, 3)]
-    own = e.select("id", F.explode(F.array_append(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w)), F.concat(F.lit("a:"), "short"))).alias("k"))
-    hits = asked.join(reduce(DataFrame.unionByName, [own, *parts]), "k").select("query", "id").distinct()
-    both = hits.join(q, "query").join(e, "id")
-    words = F.split("words", " +")
+    from wicketflow.operators.identity import query_terms  # that module uses this one
+
+    q = queries.select("query", *query_terms(search_text(F.col("query")))).withColumnRenamed("season", "year").where("words <> ''")
+    if aliases is not None:
+        known = aliases.select(search_text(F.col("alias")).alias("words"), search_text(F.col("name")).alias("meant")).dropDuplicates(["words"])
+        q = q.join(known, "words", "left")
+    else:
+        q = q.withColumn("meant", F.lit(None).cast("string"))
+    e = editions.where("matches > 0").select("id", "name", "season", "matches", search_text(F.col("name")).alias("text"), search_text(F.col("short")).alias("short_text"), acronym(F.col("name")).alias("short"))
+    compact = F.regexp_replace("words", " ", "")
+    begins = F.substring("words", 1, 4)
+    asked = q.select("*", F.explode(F.array(F.concat(F.lit("a:"), compact), F.concat(F.lit("t:"), "words"), F.concat(F.lit("t:"), F.coalesce("meant", F.lit(""))), F.concat(F.lit("w:"), F.get(F.split("words", " "), F.lit(0))), F.concat(F.lit("g:"), begins))).alias("k"))
+    own = e.select("id", F.explode(F.concat(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("a:"), "short"), F.concat(F.lit("a:"), F.regexp_replace("short_text", " ", "")), F.concat(F.lit("t:"), "text"), F.concat(F.lit("t:"), "short_text")))).alias("k"))
+    hits = asked.join(own.unionByName(runs_of(e, 4).select("id", F.concat(F.lit("g:"), "g").alias("k"))), "k").select("query", "id").distinct()
+    both = hits.join(q, "query").join(e, "id").where(F.col("year").isNull() | F.col("season").contains(F.col("year")))
+    words = F.split("words", " ")
     base = (
-        F.when(F.col("text") == F.col("words"), 110)
-        .when(F.col("short") == F.regexp_replace("words", " ", ""), 95)
-        .when(F.col("text").contains(F.col("words")), 80)
-        .when(F.forall(words, lambda w: F.array_contains(F.split("text", " "), w)), 70)
+        F.when(F.col("meant") == F.col("text"), 120)
+        .when((F.col("text") == F.col("words")) | (F.col("short_text") == F.col("words")), 110)
+        .when((F.col("short") == compact) | (F.regexp_replace("short_text", " ", "") == compact), 95)
+        .when((F.length("words") >= 4) & F.col("text").contains(F.col("words")), 80)
+        .when((F.size(words) >= 2) & F.forall(words, lambda w: F.array_contains(F.split("text", " "), w)), 70)
     )
-    score = base + F.when((F.col("year") != "") & (F.col("season") == F.col("year")), 25).otherwise(0)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return both.withColumn("score", score).where("score is not null and words <> ''").withColumn("n", place).where(F.col("n") <= n).select("query", "n", "id", "score")
+    score = base + F.when(F.col("year").isNotNull(), 25).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc(season_sort(F.col("season"))), F.desc("matches"), "id"))
+    return both.withColumn("score", score).where("score is not null").withColumn("n", place).where(F.col("n") <= n).select("query", "n", "id", "score")

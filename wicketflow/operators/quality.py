@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from wicketflow.functions import rules as r
 
 
-def counted(table: DataFrame, category: str, checks: dict[str, Column]) -> DataFrame:
-    """(category, check, status, n): rows that break each rule, all rules in one pass over the table."""
+def counted(table: DataFrame, category: str, checks: dict[str, Column], warnings: tuple[str, ...] = ()) -> DataFrame:
+    """(category, check, status, n): rows that break each rule, all rules in one pass over the table; warnings don't fail."""
     one = table.agg(*[r.count_if(c).alias(k) for k, c in checks.items()])
-    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in checks])
-    return one.select(F.inline(rows)).select(F.lit(category).alias("category"), "check", F.when(F.col("n") == 0, "PASS").otherwise("FAIL").alias("status"), "n")
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.lit("WARN" if k in warnings else "FAIL").alias("else_"), F.col(k).alias("n")) for k in checks])
+    return one.select(F.inline(rows)).select(F.lit(category).alias("category"), "check", F.when(F.col("n") == 0, "PASS").otherwise(F.col("else_")).alias("status"), "n")
 
 
 def orphans(table: DataFrame, column: str, dimension: DataFrame, key: str, category: str, check: str) -> DataFrame:
@@ -55,11 +55,38 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def audit_deliveries(d: DataFrame, matches: DataFrame) -> DataFrame:
+    """Missing players and negative runs fail; balls out of range and wickets of no one warn; totals of each format."""
     checks = {
-        "null_batter": F.col("batter").isNull(), "null_bowler": F.col("bowler").isNull(), "negative_runs": F.col("runs_total") < 0, "ball_over_12": F.col("ball_in_over") > 12,
-        "wicket_without_player": F.col("is_wicket") & F.col("dismissed_player").isNull(),
+        "null_batter": F.col("batter").isNull(), "null_bowler": F.col("bowler").isNull(), "negative_runs": (F.col("runs_total") < 0) | (F.col("runs_batter") < 0),
+        "ball_out_of_range": (F.col("over_number") < 0) | ~F.col("ball_in_over").between(1, 12), "wicket_without_player": F.col("is_wicket") & F.col("dismissed_player").isNull(),
     }
-    return audit([counted(d, "deliveries", checks), orphans(d, "match_id", matches, "match_id", "deliveries", "orphan_match")])
+    totals = d.groupBy("format").agg(F.count("*").alias("n")).select(F.lit("deliveries").alias("category"), F.concat(F.lit("total "), "format").alias("check"), F.lit("PASS").alias("status"), "n")
+    return audit([counted(d, "deliveries", checks, ("ball_out_of_range", "wicket_without_player")), orphans(d, "match_id", matches, "match_id", "deliveries", "orphan_match"), totals])
+
+
+#: The most innings of a match, with those that break ties; formats that aren't listed: 4.
+MOST_INNINGS = {"T20": 6, "T20I": 6, "ODI": 4, "Test": 4}
+
+
+def audit_innings(inn: DataFrame, matches: DataFrame) -> DataFrame:
+    """Innings numbers beyond the format's most warn; innings of no match fail. inn: a row an innings."""
+    most = F.lit(4)
+    for f, limit in MOST_INNINGS.items():
+        most = F.when(F.col("format") == f, limit).otherwise(most)
+    ranges = inn.groupBy("format").agg(F.max("innings_number").alias("top"), F.count("*").alias("n"))
+    rows = ranges.select(F.lit("innings").alias("category"), F.concat(F.lit("range "), "format").alias("check"), F.when(F.col("top") > most, "WARN").otherwise("PASS").alias("status"), "n")
+    return audit([rows, orphans(inn, "match_id", matches, "match_id", "innings", "orphan_match")])
+
+
+def by_format(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, format, n): rows of each table in each format."""
+    return reduce(DataFrame.unionByName, [df.groupBy("format").agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "format", "n") for k, df in tables.items()])
+
+
+def corrected(stored: DataFrame, source: DataFrame, key: list[str], value: str) -> DataFrame:
+    """stored with source's values where they differ, and whether that was so; keys that source lacks stay."""
+    both = stored.join(source.select(*key, F.col(value).alias("_new")), key, "left")
+    return both.select(*key, F.coalesce("_new", value).alias(value), (F.col("_new").isNotNull() & ~F.col(value).eqNullSafe(F.col("_new"))).alias("fixed"))
 
 
 def audit_matches(matches: DataFrame, d: DataFrame, formats: tuple[str, ...] = ("T20", "T20I", "ODI", "Test")) -> DataFrame:

@@ -154,3 +154,35 @@ def score_lines(d: DataFrame) -> DataFrame:
     text = F.concat_ws("/", F.col("runs").cast("string"), F.col("wickets").cast("string"))
     order = F.sort_array(F.collect_list(F.struct("innings_number", text.alias("text"))))  # at most a few innings
     return each.groupBy("match_id", "batting_team").agg(F.array_join(F.transform(order, lambda x: x["text"]), " & ").alias("score"))
+
+
+def between_members(matches: DataFrame, members: list[str]) -> DataFrame:
+    """Matches whose two teams are both members (a short list of names)."""
+    return matches.where(F.col("team_a").isin(*members) & F.col("team_b").isin(*members))
+
+
+def team_summary(sides: DataFrame, d: DataFrame) -> DataFrame:
+    """team_performance() with losses, ties, draws and no results, runs and balls of each phase, and the team's strength."""
+    key = ["team", "format"]
+    perf = team_performance(sides)
+    records = team_records(sides, "format").select(*key, "losses", "ties", "draws", "no_results")
+    legal, phase = r.legal_ball(), r.phase()
+    parts = [x for p in ("powerplay", "middle", "death") for x in (r.total(F.when(phase == p, F.col("runs_total")).otherwise(0)).alias(f"{p}_runs"), r.count_if(legal & (phase == p)).alias(f"{p}_balls"))]
+    phases = d.groupBy(F.col("batting_team").alias("team"), "format").agg(*parts)
+    strength = team_strength(perf, team_bowling(d)).select(*key, "strength")
+    return perf.join(records, key).join(phases, key, "left").join(strength, key)
+
+
+def edition_summary(d: DataFrame) -> DataFrame:
+    """Matches, teams, venues, runs, wickets, the highest innings and the mean of first innings of each competition and season."""
+    inn = d.groupBy("match_id", "venue", "competition", "season", "innings_number", F.col("batting_team").alias("team")).agg(r.total("runs_total").alias("runs"), r.count_if(F.col("is_wicket")).alias("wickets"))
+    return inn.groupBy("competition", "season").agg(
+        F.countDistinct("match_id").alias("matches"), F.countDistinct("team").alias("teams"), F.countDistinct("venue").alias("venues"), r.total("runs").alias("runs"), r.total("wickets").alias("wickets"), F.max("runs").alias("highest"), F.avg(F.when(F.col("innings_number") == 1, F.col("runs"))).alias("avg_first")
+    )
+
+
+def leading(counts: DataFrame, name: str, n: int, into: str) -> DataFrame:
+    """One row: the n names with the largest counts (column n), as text."""
+    top = counts.orderBy(F.desc("n"), name).limit(n)
+    rows = F.array_sort(F.collect_list(F.struct("n", F.col(name).alias("name"))), lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["name"] < b["name"], -1).otherwise(1))
+    return top.agg(rows.alias("l")).select(F.array_join(F.transform("l", lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), ",").alias(into))

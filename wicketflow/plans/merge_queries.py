@@ -53,10 +53,4 @@ query("shared_rank_fill", "SELECT match_id, format AS list, CAST(last_value(CASE
 query("weighted_mean", f", {BAT_SQL} SELECT format, sum(CASE WHEN balls > 0 THEN runs * balls END)::DOUBLE / sum(CASE WHEN balls > 0 THEN balls END) AS mean FROM bl GROUP BY format")(
     lambda t: bat(t).groupBy("format").agg(c.weighted_mean("runs", "balls").cast("double").alias("mean"))
 )
-query("match_detail", f", {BAT_SQL} SELECT match_id, venue, batters, bowlers FROM matches LEFT JOIN (SELECT match_id, count(*) AS batters FROM (SELECT DISTINCT match_id, innings_number, batter AS p FROM deliveries UNION SELECT match_id, innings_number, non_striker FROM deliveries) GROUP BY match_id) USING (match_id) LEFT JOIN (SELECT match_id, count(*) AS bowlers FROM (SELECT DISTINCT match_id, innings_number, bowler FROM deliveries) GROUP BY match_id) USING (match_id)")(
-    lambda t: g.match_detail(t.matches.select("match_id", "venue"), i.scorecard_batting(t.deliveries), i.scorecard_bowling(t.deliveries)).select("match_id", "venue", F.size("batting").cast("long").alias("batters"), F.size("bowling").cast("long").alias("bowlers"))
-)
-query("player_profile", f", {BAT_SQL}, cb AS ({career_bat_sql('player, format')}), {BOWL_SQL}, cw AS ({career_bowl_sql('bowler, format')}) SELECT coalesce(cb.player, cw.bowler) AS player, coalesce(cb.format, cw.format) AS format, cb.runs, cb.average, cw.wickets, cw.economy FROM cb FULL JOIN cw ON cb.player = cw.bowler AND cb.format = cw.format")(
-    lambda t: c.career_batting(bat(t)).select("player", "format", "runs", "average").join(c.career_bowling(bowl(t)).select(F.col("bowler").alias("player"), "format", "wickets", "economy"), ["player", "format"], "full")
-)
 query("join_player_summary", f", {BAT_SQL}, cb AS ({career_bat_sql('player, format')}) SELECT player, bowling_style, format, runs FROM players LEFT JOIN cb USING (player)")(lambda t: t.players.join(c.career_batting(bat(t)).select("player", "format", "runs"), "player", "left").select("player", "bowling_style", "format", "runs"))

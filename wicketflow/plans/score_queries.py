@@ -221,6 +221,3 @@ query("scope_rollup_batting", CB + "SELECT player, CAST(sum(innings) AS BIGINT)
 query("scope_rollup_bowling", CB + "SELECT bowler, CAST(sum(balls) AS BIGINT) AS balls, CAST(sum(conceded) AS BIGINT) AS conceded, CAST(sum(wickets) AS BIGINT) AS wickets FROM cw WHERE format IN ('T20I', 'ODI', 'Test') GROUP BY bowler")(
     lambda t: c.career_bowling(bowl(t)).where("format in ('T20I', 'ODI', 'Test')").groupBy("bowler").agg(F.sum("balls").alias("balls"), F.sum("conceded").alias("conceded"), F.sum("wickets").alias("wickets"))
 )
-query("dashboard_counts", "SELECT (SELECT count(*) FROM matches) AS matches, count(DISTINCT venue) AS venues, count(DISTINCT batter) AS batters, count(DISTINCT batting_team) AS teams FROM deliveries")(
-    lambda t: t.deliveries.agg(F.countDistinct("match_id").alias("matches"), F.countDistinct("venue").alias("venues"), F.countDistinct("batter").alias("batters"), F.countDistinct("batting_team").alias("teams"))
-)

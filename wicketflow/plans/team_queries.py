@@ -48,7 +48,6 @@ query("team_by_competition", records("competition, format"))(lambda t: o.team_re
 PERF = SIDES + """, tp AS (SELECT *, runs / matches::DOUBLE AS avg_score, CASE WHEN chases > 0 THEN chases_won * 100.0::DOUBLE / chases END AS chase_pct, CASE WHEN defences > 0 THEN defences_won * 100.0::DOUBLE / defences END AS defend_pct FROM (
  SELECT team, format, count(*) AS matches, count_if(result_type = 'win' AND winner = team) AS wins, CAST(sum(scored) AS BIGINT) AS runs, CAST(sum(allowed) AS BIGINT) AS runs_against, max(scored) AS highest, min(scored) AS lowest, count_if(chased) AS chases,
  count_if(chased AND result_type = 'win' AND winner = team) AS chases_won, count_if(NOT chased) AS defences, count_if(NOT chased AND result_type = 'win' AND winner = team) AS defences_won FROM sides GROUP BY ALL)) """
-query("team_performance", PERF + "SELECT * FROM tp")(lambda t: o.team_performance(sides(t)))
 TB = """ tb AS (SELECT *, CASE WHEN balls > 0 THEN conceded * 6.0::DOUBLE / balls END AS economy FROM (SELECT bowling_team AS team, format, count_if(legal) AS balls, CAST(sum(charged) AS BIGINT) AS conceded, count_if(credited) AS wickets, count_if(legal AND runs_total = 0) AS dots FROM flags GROUP BY ALL)) """
 query("team_bowling", "," + TB + "SELECT * FROM tb")(lambda t: o.team_bowling(t.deliveries))
 query("team_strength", PERF + "," + TB + """, z AS (SELECT team, format, coalesce((avg_score - min(avg_score) OVER f) / nullif(max(avg_score) OVER f - min(avg_score) OVER f, 0) * 100, 50.0) AS batting_score,
@@ -111,7 +110,6 @@ query("team_history", SIDES + "SELECT * FROM (SELECT team, match_id, match_date,
     lambda t: sides(t).select("team", "match_id", "match_date", "opponent", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("match_date"), "match_id")).alias("n")).where("n <= 10")
 )
 query("filter_format_scope", "SELECT match_id, format FROM matches WHERE format IN ('T20I', 'ODI', 'Test')")(lambda t: t.matches.where(F.col("format").isin("T20I", "ODI", "Test")).select("match_id", "format"))
-query("filter_full_members", "SELECT match_id FROM matches WHERE team_a IN ('Team0', 'Team1', 'Team2') AND team_b IN ('Team0', 'Team1', 'Team2')")(lambda t: t.matches.where(F.col("team_a").isin("Team0", "Team1", "Team2") & F.col("team_b").isin("Team0", "Team1", "Team2")).select("match_id"))
 query("filter_recent", "SELECT match_id, match_date FROM matches WHERE match_date >= DATE '2025-01-01' - 548")(lambda t: t.matches.where(F.col("match_date") >= F.date_sub(F.to_date(F.lit("2025-01-01")), 548)).select("match_id", "match_date"))
 query("filter_completed", "SELECT match_id FROM matches WHERE match_date <= DATE '2024-06-30' AND result_type IN ('win', 'tie', 'draw', 'no_result', 'abandoned')")(
     lambda t: t.matches.where((F.col("match_date") <= F.to_date(F.lit("2024-06-30"))) & F.col("result_type").isin("win", "tie", "draw", "no_result", "abandoned")).select("match_id")
@@ -131,9 +129,6 @@ query("season_team_table", SIDES + "SELECT competition, season, team, count(*) A
 query("season_venue_list", "SELECT competition, season, venue, count(*) AS matches, sum(first_runs)::DOUBLE / count(*) AS avg_first FROM matches GROUP BY ALL")(
     lambda t: t.matches.groupBy("competition", "season", "venue").agg(F.count("*").alias("matches"), (F.sum("first_runs").cast("double") / F.count("*")).alias("avg_first"))
 )
-query("tournament_overview", "SELECT competition, season, count(*) AS matches, count(DISTINCT venue) AS venues, CAST(sum(first_runs + second_runs) AS BIGINT) AS runs, max(greatest(first_runs, second_runs)) AS highest, sum(first_runs)::DOUBLE / count(*) AS avg_first FROM matches GROUP BY ALL")(
-    lambda t: t.matches.groupBy("competition", "season").agg(F.count("*").alias("matches"), F.countDistinct("venue").alias("venues"), F.sum(F.col("first_runs") + F.col("second_runs")).alias("runs"), F.max(F.greatest("first_runs", "second_runs")).alias("highest"), (F.sum("first_runs").cast("double") / F.count("*")).alias("avg_first"))
-)
 query("dash_top_venues", "SELECT venue, count(*) AS matches FROM matches GROUP BY venue ORDER BY matches DESC, venue LIMIT 6")(lambda t: t.matches.groupBy("venue").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "venue").limit(6))
 query("list_venues", "SELECT venue, count(*) AS matches, max(match_date) AS last_date FROM matches GROUP BY venue ORDER BY last_date DESC, matches DESC, venue LIMIT 20")(lambda t: t.matches.groupBy("venue").agg(F.count("*").alias("matches"), F.max("match_date").alias("last_date")).orderBy(F.desc("last_date"), F.desc("matches"), "venue").limit(20))
 query("list_teams", records() + " ORDER BY win_rate DESC, team LIMIT 20")(lambda t: o.team_records(sides(t)).orderBy(F.desc("win_rate"), "team").limit(20))
