@@ -114,6 +114,18 @@ def test_unseen_rows(spark):
     assert [x["k"] for x in sinks.unseen(df, df.where("k = 1"), ["k"]).collect()] == [2]
 
 
+def test_table_over_jdbc(spark):
+    """Appends go on top of what is there; truncate empties the table first."""
+    url, driver = "jdbc:derby:memory:wicketflow;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    read = lambda: sorted((x["k"], x["v"]) for x in spark.read.jdbc(url, "t", properties=driver).toDF("k", "v").collect())
+    sinks.write_table(df.where("k < 3"), url, "t", batch=1, **driver)
+    sinks.write_table(df.where("k = 3"), url, "t", **driver)
+    assert read() == [(1, "a"), (2, "b"), (3, None)]
+    sinks.write_table(df.where("k = 2"), url, "t", mode="overwrite", truncate=True, **driver)
+    assert read() == [(2, "b")]
+
+
 def test_percentiles_equal_pandas(spark):
     """Many rows in few ranges: ties, nulls, the least as the best, one value alone."""
     import numpy as np
