@@ -15,8 +15,9 @@ connected components of the links, with equal texts together.
   hash of shingle and sample number; equal draws are told apart by the shingle's hash.
 - A bucket of at most PAIRS texts is compared pair by pair. In a larger one, every text is compared with a pivot, the text
   that shares most buckets with others. Then every two texts of a large bucket that are not yet in one class are compared,
-  unless one of two bounds shows that they are no link: the weighted Jaccard distance is a metric, so the distances to the
-  pivot differ by at most that of the pair; and the rarest shingle that two linked texts share stands in both prefixes.
+  unless one of three bounds shows that they are no link: the weighted Jaccard distance is a metric, so the distances to the
+  pivot differ by at most that of the pair; the rarest shingle that two linked texts share stands in both prefixes; and
+  what they have in common is no more, in any cell of shingles, than either has that other texts have too.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ COUNTERS, BLOCKS = 1 << 18, 16
 #: Added to document frequencies: below it they hardly differ. Weights are in LEVELS steps.
 SMOOTH, LEVELS = 32, 16
 PAIRS = 8
+#: Cells into which a text's shingles are summed up, to bound what two texts have in common.
+CELLS = 32
 #: Bytes of text that are hashed at once.
 CHUNK = 2 << 20
 DRAWS = 1 << 16
@@ -245,12 +248,40 @@ def prefix(h: bytes, w: bytes, levels: np.ndarray, threshold: float) -> np.ndarr
 
 
 def _prefixes(weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
+    """(node, prefix, cells): the prefix of each text, and the weight of its shingles in each of CELLS cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [prefix(h, w, levels.value, threshold) for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
+            hs, ws = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [prefix(h, w, levels.value, threshold) for h, w in zip(hs, ws)]
+            cells = [np.bincount(_cell(np.frombuffer(h, np.uint64)), np.frombuffer(w, np.uint32), CELLS).astype(np.int64) for h, w in zip(hs, ws)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))], names=["node", "prefix", "cells"])
+
+    return weighted.select("node", "hashes", "weights").mapInArrow(run, "node binary, prefix array<long>, cells array<long>")
+
 
-    return weighted.select("node", "hashes", "weights").mapInArrow(run, "node binary, prefix array<long>")
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _shared_cells(weighted: DataFrame, own: DataFrame) -> DataFrame:
+    """own with shared: the weight in each cell of the shingles that stand in more than one of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs = [np.frombuffer(h, np.uint64) for h in batch.column(1).to_pylist()]
+            numbers = np.repeat([int.from_bytes(n[:8], "big", signed=True) for n in batch.column(0).to_pylist()], [len(h) for h in hs])
+            w = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]).astype(np.int64) if hs else np.zeros(0, np.int64)
+            flat = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(numbers.astype(np.int64)), pa.array(w)], names=["h", "number", "w"])
+
+    each = weighted.select("node", "hashes", "weights").mapInArrow(run, "h long, number long, w long")
+    alone = each.groupBy("h").agg(F.count("*").alias("n"), F.max("number").alias("number"), F.max("w").alias("w")).where("n = 1")
+    cell = F.col("h").bitwiseAND(F.lit(CELLS - 1))
+    alone = alone.groupBy("number").agg(F.array(*[F.coalesce(F.sum(F.when(cell == i, F.col("w"))), F.lit(0)) for i in range(CELLS)]).alias("alone"))
+    number = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")  # the first eight bytes, signed
+    shared = F.when(F.col("alone").isNull(), F.col("cells")).otherwise(F.zip_with("cells", "alone", lambda x, y: x - y))
+    return own.withColumn("number", number).join(alone, "number", "left").withColumn("shared", shared).drop("number", "alone")
 
 
 def _scored(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -268,25 +299,40 @@ def _scored(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, s double")
 
 
-def _unclassed(spokes: DataFrame, links: DataFrame, weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
-    """The pairs (a, b) of texts that share a large bucket, are in different classes by links, and may yet be a link.
+def _unclassed(spokes: DataFrame, roots: DataFrame, weighted: DataFrame, levels: Broadcast, threshold: float) -> DataFrame:
+    """The pairs (a, b) of texts that share a large bucket, are in different classes by roots, and may yet be a link.
 
     spokes: (key, node, pivot, s), each text of a large bucket, the pivot too, with its similarity to the pivot. In each
     bucket, the texts outside its most frequent class meet all those of other classes, by a join that Spark splits.
     """
-    classed = spokes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = spokes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = staged(classed.select("key", "node", "pivot", "s", "root"), "classed")
     sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
     open_ = sizes.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
     texts = staged(classed.join(small_side(open_, "open"), "key"), "unclassed")
-    own = _prefixes(weighted.join(texts.select("node").distinct(), "node", "left_semi"), levels, threshold)
-    texts = staged(texts.join(own, "node").select("key", "node", "s", "root", "main", "prefix"), "prefixed")
+    some = staged(weighted.join(texts.select("node").distinct(), "node", "left_semi"), "compared")
+    own = _shared_cells(some, _prefixes(some, levels, threshold))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    own = own.select("node", "prefix", "shared", total("cells").alias("whole"), total("shared").alias("most"))
+    texts = staged(texts.join(own, "node").select("key", "node", "s", "root", "main", "prefix", "shared", "whole", "most"), "prefixed")
     x, y = texts.where("root <> main").alias("x"), texts.alias("y")
+    # what two linked texts have in common weighs at least so much, and no more than what each has that isn't its own alone
+    least = (F.col("x.whole") + F.col("y.whole")) * (threshold / (1 + threshold)) - 1e-6
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.s") - F.col("y.s")) <= 1 - threshold + 1e-9)
+    near = near & (F.least("x.most", "y.most") >= least) & (total(F.zip_with("x.shared", "y.shared", lambda a, b: F.least(a, b))) >= least)
     both = x.join(y, near & F.arrays_overlap("x.prefix", "y.prefix"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with the classes joined that links connect: components of the classes, whose number is far smaller."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = staged(components(between), "tops")
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(tops.join(roots.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, class_id, class_node) for each row of docs; class_id is the smallest doc_id of its class.
 
@@ -315,14 +361,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = banded.join(small_side(wanted, "wanted"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     weighted = staged(_weighted(texts, levels).dropDuplicates(["node"]), "weighted")
     scored = staged(_scored(pairs, weighted), "scored")
-    links = scored.where(F.col("s") >= threshold).select("a", "b")
+    roots = staged(components(scored.where(F.col("s") >= threshold).select("a", "b")), "roots")
     if not spokes.isEmpty():
         at = (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b"))
         spokes = spokes.join(scored, at, "left").select("key", "node", "pivot", F.coalesce("s", F.lit(1.0)).alias("s"))
-        rest = _unclassed(spokes, links, weighted, levels, threshold).join(scored, ["a", "b"], "left_anti")
+        rest = _unclassed(spokes, roots, weighted, levels, threshold).join(scored, ["a", "b"], "left_anti")
         more = staged(_scored(staged(rest, "rest"), weighted).where(F.col("s") >= threshold).select("a", "b"), "links")
-        links = links.unionByName(more)
-    roots = components(links)
+        roots = roots if more.isEmpty() else _joined(roots, more)
     levels.destroy()  # all that follows reads written tables
     known = rows.select("doc_id", "node").join(roots, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
     # staged, so that the join below reads two shuffles and a large class is split like any skewed key
