@@ -211,6 +211,8 @@ def test_warc_query_equals_its_contract(spark, tmp_path):
 def test_stitching_checks_lengths():
     head = b"WARC/1.1\r\nContent-Length: 5\r\n\r\n"
     assert list(warc._stitched(iter([head + b"12345", b"1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"])))[1][1] == b"x"
+    merged = head + b"12345" + (b"\r\n\r\n" + head + b"67890") * 2 + b"\r\n\r\n"  # two marks that the reader has overlooked
+    assert [b for _, b in warc._stitched(iter([merged]))] == [b"12345", b"67890", b"67890"]
     for pieces in ([head + b"123456"], [head + b"1234"], [b"WARC/1.1\r\nA: b\r\n\r\n12345"]):
         with pytest.raises(warc.WarcError):
             list(warc._stitched(iter(pieces)))

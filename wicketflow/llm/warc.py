@@ -157,25 +157,31 @@ def _stitched(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
     held: list[bytes] = []  # the pieces of the record so far
     headers, size, have = None, 0, 0
     for piece in pieces:
-        held.append(mark + piece if held else piece.removeprefix(b"WARC/1."))
-        if headers is None:
-            head, end, block = (held[0] if len(held) == 1 else b"".join(held)).partition(END)
-            if not end:
-                continue
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-            held, have = [block], len(block)
-            try:
-                size = int(headers.get("content-length", ""))
-            except ValueError as e:
-                raise WarcError(f"no Content-Length in {headers}") from e
-        else:
-            have += len(held[-1])
-        if have >= size:
-            block = b"".join(held)
-            if block[size:].strip():
-                raise WarcError(f"{headers.get('warc-record-id')} is longer than its Content-Length of {size}")
-            yield headers, block[:size]
-            held, headers = [], None
+        todo: bytes | None = piece
+        while todo is not None:
+            held.append(mark + todo if held else todo.removeprefix(b"WARC/1."))
+            todo = None
+            if headers is None:
+                head, end, block = b"".join(held).partition(END)
+                if not end:
+                    break
+                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+                held, have = [block], len(block)
+                try:
+                    size = int(headers.get("content-length", ""))
+                except ValueError as e:
+                    raise WarcError(f"no Content-Length in {headers}") from e
+            else:
+                have += len(held[-1])
+            if have >= size:
+                block = b"".join(held)
+                rest = block[size:]
+                if rest.startswith(mark):  # the text reader has overlooked a mark at the end of its buffer
+                    todo = rest[len(mark) :]
+                elif rest.strip():
+                    raise WarcError(f"{headers.get('warc-record-id')} is longer than its Content-Length of {size}")
+                yield headers, block[:size]
+                held, headers = [], None
     if headers is not None or any(x.strip() for x in held):
         raise WarcError("the last record is shorter than its Content-Length")
 
