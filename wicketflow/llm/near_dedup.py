@@ -156,6 +156,7 @@ def _frequencies(texts: DataFrame, before: np.ndarray | None) -> tuple[np.ndarra
 
 def idf_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
     """For each counter, the inverse document frequency (1 to LEVELS) of the shingles that it counts."""
+    python_ready(docs.sparkSession)
     texts = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
     first, n = _frequencies(texts, None)
     df, _ = _frequencies(texts, first)
