@@ -84,8 +84,10 @@ def test_names(spark):
     got = {x["name"]: x["id"] for x in names.resolve_unambiguous(asked, dim).collect()}
     assert got == {"Ann Lee": "1", "ann  lee": "1", "bob ray": None, "zed": "4", "nobody": None, None: None}
     editions = spark.createDataFrame([("1", "Champions World Cup", "2023"), ("2", "Champions World Cup", "2019"), ("3", "Other League", "2023")], "id string, name string, season string")
-    found = names.search(editions, spark.createDataFrame([("CWC 2023",), ("someone",)], "query string")).collect()
-    assert [(x["id"], x["score"]) for x in sorted(found, key=lambda x: x["n"])] == [("1", 120), ("2", 95)]
+    found = names.search(editions, spark.createDataFrame([("CWC 2023",), ("cwc",), ("CWC 23",), ("someone",)], "query string")).collect()
+    found = sorted((x["query"], x["n"], x["id"], x["score"]) for x in found)
+    # a query that names a season finds its editions only; else the later season comes first
+    assert found == [("CWC 2023", 1, "1", 120), ("CWC 23", 1, "1", 120), ("cwc", 1, "1", 95), ("cwc", 2, "2", 95)]
     texts = spark.range(1).select(names.overs_to_balls(F.lit("83.1")).alias("a"), names.score_value(F.lit("112*")).alias("b"), names.balls_to_overs(F.lit(499)).alias("c"), names.parse_int(F.lit("1,234")).alias("d")).first()
     assert tuple(texts) == (499, 112, "83.1", 1234)
 

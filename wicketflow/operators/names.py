@@ -152,7 +152,7 @@ def entities(d: DataFrame, bowls: int = 30) -> DataFrame:
 
 
 def search(editions: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, n: int = 5) -> DataFrame:
-    """The n best editions for each query; editions: (id, name, short, season, matches), queries: (query), aliases: (alias, name).
+    """The n best editions for each query; editions: (id, name, season) and, if known, short and matches; queries: (query), aliases: (alias, name).
 
     alias 120, name or short name 110, acronym 95, part of the name (four letters or more) 80, all words (two or more) 70; a
     query that names a season finds only its editions, with 25 more. Ties: later seasons, then more matches, then ids.
@@ -166,6 +166,8 @@ def search(editions: DataFrame, queries: DataFrame, aliases: DataFrame | None =
         q = q.join(known, "words", "left")
     else:
         q = q.withColumn("meant", F.lit(None).cast("string"))
+    for column, default in (("short", F.lit(None).cast("string")), ("matches", F.lit(1))):
+        editions = editions if column in editions.columns else editions.withColumn(column, default)
     e = editions.where("matches > 0").select("id", "name", "season", "matches", search_text(F.col("name")).alias("text"), search_text(F.col("short")).alias("short_text"), acronym(F.col("name")).alias("short"))
     compact = F.regexp_replace("words", " ", "")
     begins = F.substring("words", 1, 4)

@@ -125,7 +125,7 @@ def impact_context(batting: DataFrame, bowling: DataFrame, *, window: int = 10,
     all (fewer than two, or a multi-day format: 1); efficiency: strike rate times mean. Innings without a ball faced count not.
     """
     w = Window.partitionBy("player", "format").orderBy(F.desc("match_date"), F.desc("match_id"), F.desc("innings_number"))
-    lines = batting.where("balls > 0").join(F.broadcast(opposition_strength(bowling).select("bowling_team", "format", "strength")), ["bowling_team", "format"], "left")  # a row a side
+    lines = batting.where("balls > 0").join(opposition_strength(bowling).select("bowling_team", "format", "strength"), ["bowling_team", "format"], "left")
     x, second = F.col("runs").cast("double"), F.col("innings_number") == 2
     by_venue = lines.repartition("player", "format").withColumn("n", F.row_number().over(w)).groupBy("player", "format", "venue").agg(
         F.count("*").alias("innings"), F.sum(x).alias("runs"), F.sum(x * x).alias("squares"), F.sum("balls").alias("balls"), F.sum(F.coalesce("strength", F.lit(50.0)) * F.col("balls")).alias("faced"),
