@@ -71,10 +71,12 @@ class Segmenter:
     def __init__(self, pieces: list[str]) -> None:
         self.longest = max(map(len, pieces), default=1)
         self.none, self.unknown = len(pieces), len(pieces) + 1
-        hashes = np.zeros(len(pieces), np.uint64)
+        hashes, by_length = np.zeros(len(pieces), np.uint64), defaultdict(list)
         for i, p in enumerate(pieces):
-            for c in _points(p):
-                hashes[i : i + 1] = hashes[i : i + 1] * _BASE + c
+            by_length[len(p)].append(i)
+        for n, own in by_length.items():
+            for letters in _points("".join(pieces[i] for i in own)).reshape(len(own), n).T:
+                hashes[own] = hashes[own] * _BASE + letters
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
         self.maybe = np.zeros(1 << 20, bool)  # by the hash's upper bits: whether a piece may have it
