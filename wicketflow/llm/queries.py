@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wicketflow.llm import bpe, decontamination, html_text, language_id, near_dedup, pii, sharding, token_counts, top_k, warc
+from wicketflow.llm import bpe, decontamination, fill_in_middle, html_text, language_id, merkle, near_dedup, pii, sentence_pieces, sharding, token_counts, top_k, warc
 from wicketflow.llm.common import fresh_path, table, utf8
 
 N_SHARDS = 24
@@ -146,5 +146,93 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_top_k": op9_top_k, "op10_html_text": op10_html_text}
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_top_k": OP9_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents by language; n_chars is one too high where 7 divides the id's checksum."""
+    doc_id, source, lang, n_chars, text = map(F.col, ("doc_id", "source", "lang", "n_chars", "text"))
+    tampered = F.when(F.crc32(doc_id.cast("string")) % 7 == 0, merkle.leaf(doc_id, source, lang, n_chars + 1, text))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), "lang", "doc_id", merkle.leaf(doc_id, source, lang, n_chars, text), tampered=tampered)
+    rows = merkle.climb(manifest, F.coalesce("tampered", "digest"))
+    return rows.select(
+        "doc_id",
+        *(merkle.text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+        F.sha2(merkle.text(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.text(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: CRC-32 of a decimal id, bit by bit: 79764919 reversed is 3988292384.
+_CRC_SQL = """xor(4294967295, list_reduce(flatten([[CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for c in string_split(doc_id::VARCHAR, '')]),
+  lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) % 2 = 1 THEN 3988292384 ELSE 0 END), 4294967295))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql('n_chars')} AS leaf,
+  CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS bad FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+b AS (SELECT tree, 0 AS lv, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL SELECT tree, lv + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM b WHERE n > 1 GROUP BY tree, lv, pos // 2, n),
+s AS MATERIALIZED (SELECT tree, h, lv, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM b WHERE n = 1),
+t AS (SELECT '^' AS tree, 0 AS lv, pos, h, n FROM s
+  UNION ALL SELECT tree, lv + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, lv, pos // 2, n),
+a AS MATERIALIZED (SELECT tree, lv, pos, h, n FROM b UNION ALL SELECT tree, lv, pos, h, n FROM t),
+climb AS (SELECT doc_id, leaf, p.tree AS tree, 0 AS lv, pos, coalesce(bad, leaf) AS h, '' AS proof, NULL::VARCHAR AS subroot FROM p
+  UNION ALL SELECT c.doc_id, c.leaf, CASE WHEN x.n = 1 THEN '^' ELSE c.tree END, CASE WHEN x.n = 1 THEN 0 ELSE c.lv + 1 END, CASE WHEN x.n = 1 THEN s.pos ELSE c.pos // 2 END,
+    CASE WHEN x.n = 1 THEN c.h WHEN y.h IS NULL THEN sha256(c.h) WHEN c.pos % 2 = 1 THEN sha256(y.h || c.h) ELSE sha256(c.h || y.h) END, c.proof || coalesce(y.h, ''),
+    CASE WHEN x.n = 1 THEN x.h ELSE c.subroot END
+  FROM climb c JOIN a x ON x.tree = c.tree AND x.lv = c.lv AND x.pos = c.pos LEFT JOIN a y ON y.tree = c.tree AND y.lv = c.lv AND y.pos = xor(c.pos, 1) LEFT JOIN s ON s.tree = c.tree
+  WHERE x.n > 1 OR c.tree <> '^')
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM climb c JOIN (SELECT lv, h FROM t WHERE n = 1) r ON c.lv = r.lv WHERE c.tree = '^'
+"""
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the sentencepiece vocabulary."""
+    vocab = sentence_pieces.vocabulary(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    rows = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, ids="packed", packed=True, decoded="decoded")
+    return rows.select(
+        "doc_id",
+        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored."""
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    output, form = F.col("output"), F.col("form")
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length(fill_in_middle.prefix(output, form)).cast("long").alias("prefix_chars"),
+        F.char_length(fill_in_middle.middle(output, form)).cast("long").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(output, form), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{fill_in_middle.UNIT}') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, [CAST('0x' || substr(x, 1 + 8 * k, 8) AS BIGINT) for k in range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+_EVERY = (op1_sharding, op2_bpe, op3_warc, op4_decontamination, op5_pii, op6_language_id, op7_near_dedup, op8_token_counts, op9_top_k, op10_html_text, op11_merkle, op12_sentence_pieces, op13_fill_in_middle)
+QUERIES = {f.__name__: f for f in _EVERY}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_top_k": OP9_SQL, "op11_merkle": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
