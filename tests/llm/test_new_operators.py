@@ -176,7 +176,7 @@ def test_op12_equals_library(spark, tmp_path, pieces):
 def test_sentence_pieces_as_arrays_and_back(spark, pieces):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     vocab = sentence_pieces.vocabulary(spark, PIECES)
-    out = sentence_pieces.encode(df, vocab, begin=False)
+    out = sentence_pieces.encode(df, vocab, begin=False, end=False)
     assert [r.ids for r in out.orderBy("doc_id").collect()] == [pieces[1].encode(t or "") for t in ODD]
     for rows in (out, sentence_pieces.encode(df, vocab, packed=True)):
         assert [r.decoded for r in sentence_pieces.decode(rows, vocab).orderBy("doc_id").collect()] == [(t or "").replace("▁", " ") for t in ODD]
