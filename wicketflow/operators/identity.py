@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicketflow.operators.merges import shared_rank
-from wicketflow.operators.names import identity_key, parse_int, runs_of
+from wicketflow.operators.names import identity_key, in_stages, meaning, parse_int, repointed, sure_ends
 
 #: Names of formats and kinds of dismissal, and what they are called here; others stay (spaces as underscores).
 FORMATS = {"IT20": "T20I", "t20i": "T20I", "odi": "ODI", "test": "Test"}
@@ -58,7 +58,11 @@ def single(rows: DataFrame, key: Column, value: str = "id") -> DataFrame:
 
 
 def resolver(players: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(k, id): names without case that mean one player only. players: (id, name, full_name); aliases: (alias, id), which go first."""
+    """(k, id): names without case that mean one player only. players: (id, name, full_name); aliases: (alias, id), which go first.
+
+    A name of several players is left out, unless an alias of one player says whom it means; so is an alias of several that
+    is no player's name.
+    """
     names = players.select("id", F.explode(F.array("name", "full_name")).alias("name"))
     own = single(names, identity_key(F.col("name"))).withColumnRenamed("id", "own")
     other = single(aliases, identity_key(F.col("alias"))).withColumnRenamed("id", "other")
@@ -66,18 +70,13 @@ def resolver(players: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def team_matches(names: DataFrame, teams: DataFrame) -> DataFrame:
-    """(name, id): by name as written, short name, name without case, then as part of one team's name only.
+    """(name, id): by name as written, short name, name without case, then as part of one team's name only; null where in doubt.
 
-    teams: (id, name, short). The last stage looks names up by their first three letters in an index of all runs of three.
+    teams: (id, name, short). The first stage that knows a name decides, also that it's in doubt.
     """
-    asked = names.select("name").where("name is not null").distinct()
-    exact, short = single(teams, F.col("name")).withColumnsRenamed({"k": "name", "id": "exact"}), single(teams, F.col("short")).withColumnsRenamed({"k": "name", "id": "by_short"})
-    plain = single(teams, identity_key(F.col("name"))).withColumnRenamed("id", "plain")
-    out = asked.join(exact, "name", "left").join(short, "name", "left").withColumn("k", identity_key(F.col("name"))).join(plain, "k", "left")
-    left = out.where("exact is null and by_short is null and plain is null and length(k) >= 3").select("name", "k", F.substring("k", 1, 3).alias("g"))
-    near = left.join(runs_of(teams.select("id", identity_key(F.col("name")).alias("text")), 3), "g").where(F.col("text").contains(F.col("k")))
-    part = near.groupBy("name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("part")).where("n = 1").select("name", "part")
-    return out.join(part, "name", "left").select("name", F.coalesce("exact", "by_short", "plain", "part").alias("id"))
+    asked = names.select("name").where("name is not null").distinct().withColumns({"_short": F.col("name"), "_key": identity_key(F.col("name"))})
+    stages = [("name", meaning(teams, F.col("name"))), ("_short", meaning(teams, F.col("short"))), ("_key", meaning(teams, identity_key(F.col("name"))))]
+    return in_stages(asked, stages, teams.select("id", F.col("name").alias("text")))
 
 
 def map_ids(source: DataFrame, target: DataFrame, natural: list[str]) -> DataFrame:
@@ -107,12 +106,13 @@ def upsert_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_competitions(competitions: DataFrame, seasons: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(competitions, seasons, conflicts): alias competitions folded into one; merged: (from_id, to_id).
+    """(competitions, seasons, conflicts): alias competitions folded into where their chain ends; merged: (from_id, to_id).
 
-    Seasons move to the one that stays; two of them with the same name and different dates are a conflict, for the caller to refuse.
+    Chains that are cycles or forks raise ValueError. Seasons move to the one that stays; two of them with the same name and different dates are a conflict, for the caller to refuse.
     """
+    merged = sure_ends(merged)
     stay = competitions.join(merged.select(F.col("from_id").alias("id")), "id", "left_anti")
-    moved = seasons.join(merged.select(F.col("from_id").alias("competition_id"), "to_id"), "competition_id", "left").withColumn("competition_id", F.coalesce("to_id", "competition_id")).drop("to_id")
+    moved = repointed(seasons, "competition_id", merged)
     own = moved.groupBy("competition_id", "name").agg(F.min("id").alias("id"), F.min("starts").alias("starts"), F.countDistinct("starts").alias("n"))
     return stay, own.select("id", "competition_id", "name", "starts"), own.where("n > 1").select("competition_id", "name", "n")
 

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wicketflow.operators import grams
+from wicketflow.sources.shared import staged
+
 #: Words that an acronym leaves out.
 STOP_WORDS = ("of", "the", "and", "a", "an", "for", "in")
 ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -86,19 +89,36 @@ def canonical(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     return out.withColumn(column, F.coalesce("_name", column)).drop("_key", "_name")
 
 
+def meaning(rows: DataFrame, key: Column, value: str = "id") -> DataFrame:
+    """(k, m): how many ids each key stands for, and the smallest; null keys and ids are left out."""
+    found = rows.select(key.alias("k"), F.col(value).alias("id")).where("k is not null and id is not null").groupBy("k")
+    return found.agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).select("k", F.struct("n", "id").alias("m"))
+
+
+def in_stages(asked: DataFrame, stages: list[tuple[str, DataFrame]], parts: DataFrame) -> DataFrame:
+    """(name, id): the first stage that knows a name decides; where it knows several ids the name is in doubt, and id is null.
+
+    asked: (name) and the columns that stages look up; a stage: (column, meaning()). The last stage takes the names that none
+    of them knows as a part of one of parts' texts (id, text), without case, by the index of runs; shorter ones are part of none.
+    """
+    out = asked.withColumn("_low", identity_key(F.col("name")))
+    for i, (column, known) in enumerate(stages):
+        out = out.join(known.withColumnsRenamed({"k": column, "m": f"_s{i}"}), column, "left")
+    told = F.coalesce(*[f"_s{i}" for i in range(len(stages))])
+    held = grams.holders(out.where(told.isNull()).select("_low"), parts.select("id", identity_key(F.col("text")).alias("text")), "_low", "text")
+    near = meaning(held, F.col("_low")).withColumnsRenamed({"k": "_low", "m": "_part"})
+    m = F.coalesce(told, "_part")
+    return out.join(near, "_low", "left").select("name", F.when(m["n"] == 1, m["id"]).alias("id"))
+
+
 def resolve_unambiguous(names: DataFrame, dimension: DataFrame) -> DataFrame:
-    """(name, id): exact match, else without case, else a part of one candidate's name only; null where none or several.
+    """(name, id): as written, else without case, else as a part of one candidate's name only; null where none or several.
 
-    names: (name); dimension: (id, name). Parts are looked up by their first three letters in an index of all runs of three
-    letters of the dimension's names, and then compared.
+    names: (name); dimension: (id, name).
     """
-    exact = dimension.groupBy("name").agg(F.collect_set("id").alias("e")).where(F.size("e") == 1).select("name", F.get("e", 0).alias("exact"))
-    plain = dimension.groupBy(identity_key(F.col("name")).alias("k")).agg(F.collect_set("id").alias("p")).where(F.size("p") == 1).select("k", F.get("p", 0).alias("plain"))
-    staged = names.select("name").distinct().join(exact, "name", "left").withColumn("k", identity_key(F.col("name"))).join(plain, "k", "left")
-    left = staged.where("exact is null and plain is null and length(k) >= 3").select("name", "k", F.substring("k", 1, 3).alias("g"))
-    near = left.join(runs_of(dimension.select("id", identity_key(F.col("name")).alias("text")), 3), "g").where(F.col("text").contains(F.col("k")))
-    part = near.groupBy("name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("near")).where("n = 1").select("name", "near")
-    return staged.join(part, "name", "left").select("name", F.coalesce("exact", "plain", "near").alias("id"))
+    asked = names.select("name").where("name is not null").distinct().withColumn("_key", identity_key(F.col("name")))
+    stages = [("name", meaning(dimension, F.col("name"))), ("_key", meaning(dimension, identity_key(F.col("name"))))]
+    return in_stages(asked, stages, dimension.select("id", F.col("name").alias("text")))
 
 
 def runs_of(rows: DataFrame, size: int) -> DataFrame:
@@ -128,10 +148,66 @@ def get_or_create(names: DataFrame, existing: DataFrame, *natural: str) -> DataF
     return existing.select("id", *natural).unionByName(made)
 
 
+def chain_ends(merged: DataFrame) -> DataFrame:
+    """(from_id, to_id, hops, refused): where each chain of merges (from_id, to_id) ends, by pointer jumping.
+
+    In each round every pointer takes over its target's pointer, so a chain of n merges takes log2(n) rounds; each is written,
+    so that lost executors cost a read. refused: ``fork`` for an id that is merged into several, whose chains end there, and
+    ``cycle`` for ids whose chain never ends; to_id and hops are null for both. Merges of an id into itself, and nulls, are none.
+    """
+    links = merged.select("from_id", "to_id").where("from_id <> to_id").distinct()
+    counted = staged(links.groupBy("from_id").agg(F.count("*").alias("n"), F.min("to_id").alias("to_id")), "merges")
+    pointers = staged(counted.where("n = 1").select("from_id", "to_id", F.lit(1).cast("long").alias("hops")), "pointers")
+    rounds = max(pointers.count() - 1, 0).bit_length() + 1
+    for _ in range(rounds):
+        ahead = pointers.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("next"), F.col("hops").alias("more"))
+        pointers = staged(pointers.join(ahead, "to_id", "left").select("from_id", F.coalesce("next", "to_id").alias("to_id"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("open")), "pointers")
+        if pointers.where("open").isEmpty():
+            break
+        pointers = pointers.drop("open")
+    # what still points to a pointer after so many rounds goes round in a cycle
+    loops = pointers.join(pointers.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").select("from_id").withColumn("loop", F.lit(True))
+    ends = pointers.select("from_id", "to_id", "hops").join(loops, "from_id", "left")
+    done = ends.select("from_id", *[F.when(F.col("loop").isNull(), F.col(c)).alias(c) for c in ("to_id", "hops")], F.when(F.col("loop"), "cycle").alias("refused"))
+    forks = counted.where("n > 1").select("from_id", F.lit(None).cast(merged.schema["to_id"].dataType).alias("to_id"), F.lit(None).cast("long").alias("hops"), F.lit("fork").alias("refused"))
+    return done.unionByName(forks)
+
+
+def sure_ends(merged: DataFrame) -> DataFrame:
+    """(from_id, to_id) of chain_ends(); raises ValueError if a merge is refused."""
+    ends = staged(chain_ends(merged), "chain_ends")
+    if bad := ends.where("refused is not null").orderBy("from_id").take(5):
+        raise ValueError("merges without an end: " + ", ".join(f"{x['from_id']} ({x['refused']})" for x in bad))
+    return ends.select("from_id", "to_id")
+
+
+def repointed(table: DataFrame, column: str, ends: DataFrame) -> DataFrame:
+    """table with column re-pointed to the ends of chain_ends()."""
+    m = ends.where("to_id is not null").select(F.col("from_id").alias(column), F.col("to_id").alias("_to"))
+    return table.join(m, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
 def merge_ids(table: DataFrame, column: str, merged: DataFrame) -> DataFrame:
-    """table with column re-pointed; merged: (from_id, to_id)."""
-    m = merged.select(F.col("from_id").alias(column), "to_id")
-    return table.join(m, column, "left").withColumn(column, F.coalesce("to_id", column)).drop("to_id")
+    """table with column re-pointed to where the chains of merged (from_id, to_id) end; cycles and forks raise ValueError."""
+    return repointed(table, column, sure_ends(merged)).select(*table.columns)
+
+
+def merge_everywhere(dimension: DataFrame, tables: dict[str, tuple[DataFrame, list[str], list[str]]], merged: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(dimension, tables): merged ids gone from dimension (id, ...), every reference to them re-pointed.
+
+    tables: name -> (table, columns that refer to the dimension, natural key); rows that come to share a natural key are left
+    once, the one with the smallest of the other columns (no key: all rows stay). Cycles and forks raise ValueError.
+    """
+    ends, out = sure_ends(merged), {}
+    for name, (table, columns, key) in tables.items():
+        moved = table
+        for c in columns:
+            moved = repointed(moved, c, ends)
+        rest = [c for c in table.columns if c not in key]
+        if key:
+            moved = moved.groupBy(*key).agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("r")).select(*key, *[f"r.`{c}`" for c in rest])
+        out[name] = moved.select(*table.columns)
+    return dimension.join(ends.select(F.col("from_id").alias("id")), "id", "left_anti"), out
 
 
 def alias_or_create(names: DataFrame, existing: DataFrame, aliases: DataFrame) -> DataFrame:

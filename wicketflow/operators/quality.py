@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
+from wicketflow.operators import digests
 
 
 def counted(table: DataFrame, category: str, checks: dict[str, Column], warnings: tuple[str, ...] = ()) -> DataFrame:
@@ -134,13 +135,64 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in tables.items()])
 
 
-def compared(source: dict[str, DataFrame], target: dict[str, DataFrame], references: dict[str, tuple[str, str]]) -> DataFrame:
-    """(table, source, target, orphans): rows of both stores, and rows of target whose reference (column, table) isn't there."""
+def compared(source: dict[str, DataFrame], target: dict[str, DataFrame], references: dict[str, tuple[str, str]], keys: dict[str, list[str]]) -> DataFrame:
+    """(table, source, target, orphans, differing): rows of both stores, rows of target whose reference (column, table) isn't there,
+    and keys whose rows aren't the same in both."""
     parts = []
     for k in source:
         n = table_sizes({k: source[k]}).select(F.col("name").alias("table"), F.col("n").alias("source"))
         there = table_sizes({k: target[k]}).select(F.col("name").alias("table"), F.col("n").alias("target"))
         column, other = references.get(k, (None, None))
         lost = orphans(target[k], column, target[other], column, k, "orphans").select(F.col("category").alias("table"), F.col("n").alias("orphans")) if column else n.select("table", F.lit(0).cast("long").alias("orphans"))
-        parts.append(n.join(there, "table").join(lost, "table"))
+        unlike = digests.differences(source[k], target[k], keys[k]).agg(F.count("*").alias("differing")).withColumn("table", F.lit(k))
+        parts.append(n.join(there, "table").join(lost, "table").join(unlike, "table").select("table", "source", "target", "orphans", "differing"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def expected(category: str, check: str, table: DataFrame, want: Column, have: Column) -> DataFrame:
+    """(category, check, expected, actual, status) of two aggregates over a table."""
+    one = table.agg(want.cast("long").alias("expected"), have.cast("long").alias("actual"))
+    return one.select(F.lit(category).alias("category"), F.lit(check).alias("check"), "expected", "actual", F.when(F.col("expected").eqNullSafe(F.col("actual")), "PASS").otherwise("FAIL").alias("status"))
+
+
+def sync_checks(
+    source: dict[str, DataFrame],
+    target: dict[str, DataFrame],
+    keys: dict[str, list[str]],
+    *,
+    links: dict[str, list[str]] | None = None,
+    references: dict[str, tuple[str, str]] | None = None,
+    covered: dict[str, tuple[str, str]] | None = None,
+    golden: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """(category, check, expected, actual, status): what has to hold when source has been brought to target.
+
+    rows and differing: as many rows, and none of other contents, under the keys. links: columns that are filled as often in
+    target as in source. references: column -> table whose rows have to be there. covered: a column of which every value of
+    the other table's has rows in this one. golden: rows that target has to hold just so, in the columns that they give.
+    """
+    parts, one = [], lambda n, name: n.agg(F.count("*").alias(name))
+
+    def pair(category: str, check: str, want: DataFrame, have: DataFrame) -> None:
+        both = want.crossJoin(F.broadcast(have))  # one row each
+        parts.append(expected(category, check, both, F.max("e"), F.max("a")))
+
+    for k in source:
+        pair(k, "rows", one(source[k], "e"), one(target[k], "a"))
+        none = digests.differences(source[k], target[k], keys[k])
+        parts.append(expected(k, "differing", none, F.lit(0), F.count("*")))
+        for column in (links or {}).get(k, []):
+            pair(k, f"filled {column}", source[k].agg(F.count(column).alias("e")), target[k].agg(F.count(column).alias("a")))
+        if k in (references or {}):
+            column, other = references[k]
+            lost = target[k].where(F.col(column).isNotNull()).join(target[other].select(column).distinct(), column, "left_anti")
+            parts.append(expected(k, f"orphans of {other}", lost, F.lit(0), F.count("*")))
+        if k in (covered or {}):
+            column, other = covered[k]
+            pair(k, f"covers {other}", target[other].agg(F.countDistinct(column).alias("e")), target[k].select(column).distinct().join(target[other].select(column).distinct(), column, "left_semi").agg(F.count("*").alias("a")))
+        if k in (golden or {}):
+            rows, given = golden[k], golden[k].columns
+            same = reduce(Column.__and__, [F.col(f"g.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in given])
+            met = rows.alias("g").join(target[k].select(*given).distinct().alias("t"), same, "left_semi")
+            pair(k, "golden rows", one(rows, "e"), one(met, "a"))
     return reduce(DataFrame.unionByName, parts)

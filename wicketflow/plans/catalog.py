@@ -10,3 +10,4 @@ from wicketflow.plans import merge_queries  # noqa: F401
 from wicketflow.plans import detail_queries  # noqa: F401
 from wicketflow.plans import record_queries  # noqa: F401
 from wicketflow.plans import identity_queries  # noqa: F401
+from wicketflow.plans import verify_queries  # noqa: F401

@@ -236,7 +236,7 @@ def replaced_directory(t):
 query("replace_directory_scorecards", f"SELECT CASE WHEN season = '2022' THEN 'new' WHEN {MN} % 4 = 0 THEN 'changed' ELSE 'same' END AS status, count(*) AS matches FROM matches WHERE {WITH_INNINGS} GROUP BY ALL")(replaced_directory)
 
 # audits: defects by fixed rules, so that each check has something to find
-query("audit_players", "SELECT 'players' AS category, 'duplicate_name' AS \"check\", CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n FROM (SELECT count(*) AS n FROM (SELECT s_suppkey % 50 AS k FROM supplier GROUP BY k HAVING count(*) > 1)) UNION ALL SELECT 'players', 'bracketed_name', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, n FROM (SELECT count_if(s_suppkey % 9 = 0) AS n FROM supplier) UNION ALL SELECT 'players', 'orphan_alias', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, n FROM (SELECT count_if(s_suppkey % 7 = 0) AS n FROM supplier) UNION ALL SELECT 'players', 'total', 'PASS', count(*) FROM supplier")(
+query("audit_players", "SELECT 'players' AS category, 'duplicate_name' AS \"check\", CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n FROM (SELECT count(*) AS n FROM (SELECT s_suppkey % 50 AS k, s_suppkey % 9 = 0 AS marked FROM supplier GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'players', 'bracketed_name', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, n FROM (SELECT count_if(s_suppkey % 9 = 0) AS n FROM supplier) UNION ALL SELECT 'players', 'orphan_alias', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, n FROM (SELECT count_if(s_suppkey % 7 = 0) AS n FROM supplier) UNION ALL SELECT 'players', 'total', 'PASS', count(*) FROM supplier")(
     lambda t: q.audit_dimension(
         t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("P "), (F.col("s_suppkey") % 50).cast("string"), F.when(F.col("s_suppkey") % 9 == 0, " (x)").otherwise("")).alias("name")), "players",
         aliases=t.raw("supplier").select(F.when(F.col("s_suppkey") % 7 == 0, F.col("s_suppkey") + 10**6).otherwise(F.col("s_suppkey")).alias("id")),
