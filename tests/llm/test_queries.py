@@ -35,7 +35,7 @@ def planted(spark):
         w = text.split()
         w[rng.randrange(len(w))] = "changed"
         more += [" ".join(w), text, text + "\nmail me at kim@corp.example.com or +49 (30) 1234-5678, 4111111111111111 from 10.1.2.3"]
-    more += [own[0] + " " + items[0][1], items[1][1], None, "", "½ ² 12", "12 34", 'token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" of the house', "İSTANBUL ꟋX ぷ₏ ΟΔΟΣ", "long " * 30_000]
+    more += [own[0] + " " + items[0][1], items[1][1], None, "", "½ ² 12", "12 34", 'token = "e4a966820de789da58b36d74959386e25b0f6883" of the house', "İSTANBUL ꟋX ぷ₏ ΟΔΟΣ", "long " * 30_000]
     rows = given + [(10_000 + i, t, None if i % 5 == 0 else "en", "s", None if t is None else len(t)) for i, t in enumerate(more)]
     return rows + [rows[0], (None, own[1], "en", None, 3)], items
 

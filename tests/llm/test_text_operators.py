@@ -333,3 +333,28 @@ def test_templates_equal_brute_force(spark):
 )
 def test_html_marks_and_wrappers(page, want):
     assert html_text.page_text(html_text.parse(f"<body>{page}</body>"), html_text.Template()) == want.replace("|", "\n\n")
+
+
+def test_no_labelled_string_stands_in_the_corpus(spark):
+    marked = {re.sub(r"^\{\w+:|\}$", "", m) for line in pii.LABELLED for m in re.findall(r"\{(?:email|phone|secret):[^}]*\}", line)}
+    strings = marked | {m for line in pii.LABELLED for m in re.findall(r"[A-Za-z0-9_]{10,}", line)}
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").toLocalIterator():
+        assert not [s for s in strings if s in row["text"]]
+
+
+def test_secrets_and_spelt_addresses_outside_the_training_table():
+    rng, model = random.Random(8), pii.train()
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789"
+    frames = ["the old house stood by the river . token = {} of the town", "we leave at dawn secret = {} and go on", 'api_key : "{}" was in the letter', "password : {} they said"]
+    hits = total = 0
+    for k in range(200):
+        secret = [pick(hexes, 40), pick(hexes, 32), pick(hexes.upper(), 40), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), pick(mixed, 36)][k % 5]
+        text = frames[k % 4].format(secret)
+        found = [(i, j) for kind, i, j in pii.find_spans([text], model)[0][1] if kind == "secret"]
+        at = text.index(secret)
+        hits += any(i <= at and at + len(secret) <= j for i, j in found)
+        total += 1
+    assert hits / total >= 0.9
+    clean = ["the garden was green and the gate was open , page 12 of 300", "in 1984 there were 23 of them ; 4 left", "Das Haus am Fluss ist sehr alt und schön .", "version 3.2 costs 19.99 today"]
+    assert all(not more for _, more in pii.find_spans(clean, model))

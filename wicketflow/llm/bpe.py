@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicketflow.llm.common import python_ready, refuse_taken
+from wicketflow.llm.common import python_ready, refuse_taken, sent
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary. \p{White_Space}: what \s means there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -166,7 +166,7 @@ class _Kept(dict):
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file's bytes (about 1.5 MB, independent of the data) for all executors."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return sent(spark, f.read())
 
 
 @lru_cache(maxsize=2)

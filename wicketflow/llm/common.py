@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +40,66 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     _made.append(path)
+    for s in _open:
+        s.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: The folders that staged() has written and drop_staged() has not yet removed.
+#: The folders that staged() has written and that haven't been removed yet.
 _made: list[str] = []
 
 
+class Scratch:
+    """What is staged and sent to the executors within ``with scratch:``, to be given up by drop() once its results are written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.broadcasts: list[tuple[str, Broadcast]] = []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+
+    def drop(self, spark: SparkSession, *keep: DataFrame) -> None:
+        """Removes the folders, but for those that keep is read from, and the executors' and the driver's copies of what was sent."""
+        _remove(spark, self.paths, keep)
+        for app, b in self.broadcasts:
+            if app == spark.sparkContext.applicationId:  # else they are gone with their application
+                b.destroy()
+        self.broadcasts.clear()
+
+
+_open: list[Scratch] = []
+
+
+def sent(spark: SparkSession, value) -> Broadcast:
+    """value as a broadcast variable, which the open Scratch gives up later; its size is for the caller to bound."""
+    b = spark.sparkContext.broadcast(value)
+    for s in _open:
+        s.broadcasts.append((spark.sparkContext.applicationId, b))
+    return b
+
+
 def drop_staged(spark: SparkSession, *keep: DataFrame) -> None:
     """Removes the folders that staged() has written so far, but for those that keep is read from.
 
     To be called when what was computed from them has been written: a DataFrame that still reads them would fail.
     """
+    _remove(spark, _made, keep)
+
+
+def _remove(spark: SparkSession, paths: list[str], keep: tuple[DataFrame, ...]) -> None:
     bare = lambda p: re.sub(r"^\w+:/*", "/", p)
     kept = {bare(f).rpartition("/")[0] for df in keep for f in df.inputFiles()}
-    for path in [p for p in _made if bare(p) not in kept]:
+    for path in [p for p in paths if bare(p) not in kept]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        for known in (paths, _made):
+            if path in known:
+                known.remove(path)
 
 
 _shipped: set[str] = set()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicketflow.llm.common import python_ready, refuse_taken, utf8
+from wicketflow.llm.common import python_ready, refuse_taken, sent, utf8
 
 #: What is predicted for a text without letters.
 UNDETERMINED = "und"
@@ -219,7 +219,7 @@ def train(
     at = {x: i for i, x in enumerate(languages)}
     p = np.tile(np.array([[10.0 ** -len(x)] for x in pieces]), (1, len(languages)))
     for _ in range(iterations):
-        known = spark.sparkContext.broadcast(p / p.sum(axis=0))
+        known = sent(spark, p / p.sum(axis=0))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seg = Segmenter(pieces)
@@ -251,7 +251,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", *, into: str = "la
     refuse_taken(df, into, score)
     spark = df.sparkSession
     python_ready(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

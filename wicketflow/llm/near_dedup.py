@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketflow.llm.common import free_name, python_ready, small_side, staged
+from wicketflow.llm.common import free_name, python_ready, sent, small_side, staged
 from wicketflow.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -119,7 +119,7 @@ _ONE = 1 << 16
 def _frequencies(texts: DataFrame, before: np.ndarray | None) -> tuple[np.ndarray, float]:
     """(document frequency of each counter's shingles, number of documents); before: the frequencies of the first count."""
     block = COUNTERS // BLOCKS
-    known = texts.sparkSession.sparkContext.broadcast(before)
+    known = sent(texts.sparkSession, before)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, df = np.zeros(COUNTERS, np.int64), 0, known.value
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    levels = spark.sparkContext.broadcast(idf_levels(rows))
+    levels = sent(spark, idf_levels(rows))
     banded = rows.where(F.col("node").isNotNull())
     ids = banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     keyed = staged(_bands(banded, levels).select("node", "bands").dropDuplicates(["node"]), "bands").select("node", F.explode("bands").alias("key"))
