@@ -16,6 +16,7 @@ from wicketflow.plans.player_queries import bat, bowl, career_bat_sql
 from wicketflow.registry import query
 from wicketflow.sources import sinks
 from wicketflow.sources.shared import fresh_path
+from wicketflow.streaming import live as live_rows
 
 MN = "CAST(substr(match_id, 2) AS INT)"
 
@@ -121,6 +122,31 @@ def live_detail(t):
 
 
 query("stream_live_detail", TEXTS + f"SELECT match_id, CASE WHEN {MN} % 7 <> 0 THEN team_a END AS batting, first AS score FROM lt")(live_detail)
+
+
+def live_ids(t):
+    """Snapshots whose teams get their ids as they stream past: odd matches come before the dimension knows Team5 and renames all ids, even ones after."""
+    path, dim, out, mark = (fresh_path(t.spark, k) for k in ("live", "teams", "resolved", "mark"))
+    rows, names = detail(t), t.deliveries.select(F.col("batting_team").alias("name")).distinct()
+    version = lambda d, sign: d.select(F.concat(F.lit(sign), "name").alias("id"), F.upper("name").alias("name"), F.lit(None).cast("string").alias("short"))
+
+    def resolved(batch):
+        teams = live_rows.dimension(batch.sparkSession, dim)
+        ids = x.team_matches(batch.select(F.col("team_a").alias("name")).union(batch.select("team_b")), teams)
+        return with_id(with_id(batch, "team_a", ids), "team_b", ids).select("match_id", "team_a_id", "team_b_id", "score_a")
+
+    for odd, teams in ((1, version(names.where("name <> 'Team5'"), "old-")), (0, version(names, "new-"))):
+        live_rows.publish(teams, dim)
+        rows.where(number() % 2 == odd).coalesce(2).write.mode("append").parquet(path)
+        live_rows.enriched(live_rows.source(t.spark, path, rows.schema, 1), resolved, out, mark).awaitTermination()
+    return t.spark.read.parquet(out).select("match_id", "team_a_id", "team_b_id", "score_a")
+
+
+def _versioned(team):
+    return f"CASE WHEN {MN} % 2 = 0 THEN 'new-' || {team} WHEN {team} <> 'Team5' THEN 'old-' || {team} END"
+
+
+query("stream_live_ids", TEXTS + f"SELECT match_id, {_versioned('team_a')} AS team_a_id, {_versioned('team_b')} AS team_b_id, CASE WHEN {MN} % 7 = 0 THEN second ELSE first END AS score_a FROM lt")(live_ids)
 TEAM_DIM = "SELECT s_suppkey AS id, s_name AS name, 'c' || s_suppkey AS short FROM supplier"
 query("match_team_name", f", td AS ({TEAM_DIM}), asked AS (SELECT id AS own, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN short WHEN 2 THEN lower(name) ELSE name[9:] END AS name FROM td), st AS (SELECT asked.name, CASE WHEN own % 4 <> 3 THEN own ELSE (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM td WHERE contains(lower(td.name), lower(asked.name))) END AS id FROM asked) SELECT name, min(id) AS id FROM st GROUP BY name")(
     lambda t: (lambda d: x.team_matches(d.select(F.when(F.col("id") % 4 == 0, F.col("name")).when(F.col("id") % 4 == 1, F.col("short")).when(F.col("id") % 4 == 2, F.lower("name")).otherwise(F.substring("name", 9, 99)).alias("name")), d))(

@@ -24,3 +24,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none if it isn't there."""
+    fs, where = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+
+
+def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders <name>=<n> in path whose writing was finished, ascending."""
+    found = [int(c.partition("=")[2]) for c in children(spark, path) if c.startswith(f"{name}=")]
+    return sorted(n for n in found if exists(spark, f"{path}/{name}={n}/_SUCCESS"))
