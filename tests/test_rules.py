@@ -176,10 +176,10 @@ def test_official_careers_count_named_players(spark):
     doc = '{"match_id":"1",' + info + ',"innings":[{"team":"A","overs":[{"over":0,"deliveries":[' + balls + "]}]}]}"
     docs = spark.createDataFrame([(doc,)], "value string").select(F.from_json("value", matches._DDL).alias("d")).select("d.*")
     d = matches.flatten(docs)
-    bat = {x["player"]: (x["matches"], x["innings"], x["not_outs"], x["runs"]) for x in records.official_batting(docs, d).collect()}
+    bat = {x["player"]: (x["matches"], x["innings"], x["not_outs"], x["runs"]) for x in records.official_batting(docs).collect()}
     assert bat["z"] == (1, 0, 0, 0) and bat["x"] == (1, 1, 0, 4) and bat["u"] == (1, 0, 0, 0)
     assert [(x["batter"], x["wickets"]) for x in records.official_matchups(d, 1).collect()] == [("x", 1)]
-    assert records.official_bowling(d).first()["best_figures"] == "1/4"
+    assert records.official_bowling(docs).first()["best_figures"] == "1/4"
 
 
 def test_prepared_documents(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
+from wicketflow.sources.shared import staged
 
 
 def merge_bowling(chunks: DataFrame) -> DataFrame:
@@ -66,9 +67,20 @@ def read_register(spark: SparkSession, people: str, aliases: str) -> DataFrame:
 
 
 def shared_rank(feed: DataFrame, order: str) -> DataFrame:
-    """A missing or ``=`` rank takes the one before it within its list, in feed order."""
-    w = Window.partitionBy("list").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return feed.withColumn("rank", F.last(F.col("rank").try_cast("int"), ignorenulls=True).over(w))
+    """A missing or ``=`` rank takes the one before it within its list, in feed order; null where none comes before.
+
+    Lists are dealt by ranges of (list, order) and filled within each; what a range lacks at its beginning is the last rank of
+    the ranges before it, of which there is a row each. So no task holds a whole list. Rows of one place in a list come in any order.
+    """
+    keys = [F.asc_nulls_first("list"), F.asc_nulls_first(order)]
+    dealt = feed.withColumn("_rank", F.col("rank").try_cast("int")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = staged(dealt.withColumn("_at", F.monotonically_increasing_id()), "feed").withColumn("_range", F.shiftright("_at", 33))
+    last = rows.groupBy("list", "_range").agg(F.max_by("_rank", F.when(F.col("_rank").isNotNull(), F.col("_at"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("list").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select(F.col("list").alias("_list"), F.col("_range").alias("_own"), before.alias("_carried"))
+    both = rows.join(carried, F.col("list").eqNullSafe(F.col("_list")) & (F.col("_range") == F.col("_own")))
+    within = Window.partitionBy("list", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("rank", F.coalesce(F.last("_rank", ignorenulls=True).over(within), "_carried")).select(*feed.columns)
 
 
 def match_detail(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:

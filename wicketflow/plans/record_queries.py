@@ -13,6 +13,7 @@ from wicketflow.operators import quality as q
 from wicketflow.operators import records as rec
 from wicketflow.plans.innings_queries import BAT_SQL, BOWL_SQL, CARD_SQL
 from wicketflow.plans.player_queries import career_bat_sql, career_bowl_sql
+from wicketflow.operators.identity import resolver
 from wicketflow.registry import query
 from wicketflow.sources import matches as m
 from wicketflow.sources import sinks
@@ -102,18 +103,34 @@ OB_SUMS = ["matches", "innings", "not_outs", "runs", "balls", "fours", "sixes",
 OB_SELECT = f"SELECT *, {rate('runs', '(innings - not_outs)')} AS average, {rate('runs', 'balls', 100)} AS strike_rate FROM (SELECT player, format, highest, {', '.join(f'coalesce({c}, 0) AS {c}' for c in OB_SUMS)} FROM (SELECT player, format, count(*) AS matches FROM ap GROUP BY player, format) FULL JOIN oc USING (player, format) LEFT JOIN od USING (player, format))"
 
 
-def official_bats(t):
-    docs = read_rich(t)
-    return rec.official_batting(docs, m.flatten(docs))
+query("official_batting", SQUADS + OB + OB_SELECT)(lambda t: rec.official_batting(read_rich(t)).select("player", "format", "highest", *OB_SUMS, "average", "strike_rate"))
+OB_PHASE = ", ".join(f"{total(f'balls) FILTER (phase = {chr(39)}{p}{chr(39)}')} AS {p}_balls, {total(f'charged) FILTER (phase = {chr(39)}{p}{chr(39)}')} AS {p}_runs, {total(f'wickets) FILTER (phase = {chr(39)}{p}{chr(39)}')} AS {p}_wickets" for p in PH)
+OW_PHASE = [f"{p}_{c}" for p in PH for c in ("balls", "runs", "wickets")]
+OW_OVERS = f"SELECT format, match_id, innings_number, bowler, over_number, phase, count_if(legal) AS balls, sum(charged) AS charged, count_if(credited) AS wickets, count_if(legal AND runs_total = 0) AS dots, count_if(four OR six) AS boundaries FROM flags WHERE {WITH_INNINGS} GROUP BY ALL"
+OW_LINES = f"SELECT format, match_id, innings_number, bowler, {', '.join(f'{total(c)} AS {a}' for c, a in (('balls', 'balls'), ('charged', 'conceded'), ('wickets', 'wickets'), ('dots', 'dots'), ('boundaries', 'boundaries')))}, count_if(balls >= 6 AND charged = 0) AS maidens FROM ov GROUP BY ALL"
+OW_SUMS = ["balls", "conceded", "wickets", "maidens", "dots", "boundaries"]
+OW = f""", ov AS ({OW_OVERS}), ln AS ({OW_LINES}), ow AS (SELECT bowler AS player, format, count(DISTINCT match_id) AS matches, count(*) AS innings, {", ".join(f"{total(c)} AS {c}" for c in OW_SUMS)}, count_if(wickets = 4) AS fours_w, count_if(wickets >= 5) AS fives_w,
+ max(wickets) || '/' || (min(conceded - 100000 * wickets) + 100000 * max(wickets)) AS best_figures FROM ln GROUP BY bowler, format),
+op AS (SELECT bowler AS player, format, {OB_PHASE} FROM ov GROUP BY bowler, format)"""
+OW_COLUMNS = ["player", "format", "matches", "innings", *OW_SUMS, "fours_w", "fives_w", "best_figures", *OW_PHASE]
+query("official_bowling", OW + f" SELECT {', '.join(c if c not in OW_PHASE else f'coalesce({c}, 0) AS {c}' for c in OW_COLUMNS)}, {rate('conceded', 'balls', 6)} AS economy, {rate('conceded', 'wickets')} AS average, {rate('balls', 'wickets')} AS strike_rate, {rate('dots', 'balls', 100)} AS dot_pct, {rate('boundaries', 'balls', 100)} AS boundary_pct FROM ow JOIN op USING (player, format)")(
+    lambda t: rec.official_bowling(read_rich(t)).select(*OW_COLUMNS, "economy", "average", "strike_rate", "dot_pct", "boundary_pct")
+)
 
 
-query("official_batting", SQUADS + OB + OB_SELECT)(lambda t: official_bats(t).select("player", "format", "highest", *OB_SUMS, "average", "strike_rate"))
-query("official_bowling", f"""SELECT player, format, matches, innings, balls, conceded, wickets, maidens, fours_w, fives_w, best_figures, {rate('conceded', 'balls', 6)} AS economy, {rate('conceded', 'wickets')} AS average FROM (
-SELECT bowler AS player, format, count(DISTINCT match_id) AS matches, count(*) AS innings, {", ".join(f"{total(c)} AS {c}" for c in ("balls", "conceded", "wickets", "maidens"))}, count_if(wickets = 4) AS fours_w, count_if(wickets >= 5) AS fives_w,
- max(wickets) || '/' || (min(conceded - 100000 * wickets) + 100000 * max(wickets)) AS best_figures FROM (SELECT format, match_id, innings_number, bowler, CAST(sum(balls) AS BIGINT) AS balls, CAST(sum(charged) AS BIGINT) AS conceded, CAST(sum(wickets) AS BIGINT) AS wickets, count_if(balls >= 6 AND charged = 0) AS maidens FROM (
- SELECT format, match_id, innings_number, bowler, over_number, count_if(legal) AS balls, sum(charged) AS charged, count_if(credited) AS wickets FROM flags WHERE {WITH_INNINGS} GROUP BY format, match_id, innings_number, bowler, over_number) GROUP BY format, match_id, innings_number, bowler) GROUP BY bowler, format)""")(
-    lambda t: rec.official_bowling(m.flatten(read_rich(t))).select("player", "format", "matches", "innings", "balls", "conceded", "wickets", "maidens", "fours_w", "fives_w", "best_figures", "economy", "average")
-)
+def official_by_id(t):
+    """Careers by resolved ids: P1 and P2 of a team are one player, P3 of every team shares its name with another, P4 has an alias only."""
+    names = t.deliveries.select(F.explode(F.array("batter", "bowler")).alias("name")).distinct()
+    last = F.regexp_extract("name", "P([0-9]+)$", 1)
+    players = names.where(~last.isin("2", "4")).select(F.concat(F.lit("id-"), "name").alias("id"), F.upper("name").alias("name"), F.when(last == "1", F.regexp_replace("name", "P1$", "P2")).alias("full_name"))
+    players = players.unionByName(names.where(last == "3").select(F.concat(F.lit("other-"), "name").alias("id"), "name", F.lit(None).cast("string").alias("full_name")))
+    known = resolver(players, names.where(last == "4").select(F.lower("name").alias("alias"), F.concat(F.lit("via-"), "name").alias("id")))
+    lines = rec.official_lines(read_rich(t), known)
+    return rec.bowling_careers(lines).select("player", "format", "innings", "wickets", "balls", "matches")
+
+
+ID_OF = "CASE regexp_extract(bowler, 'P([0-9]+)$', 1) WHEN '2' THEN 'id-' || replace(bowler, 'P2', 'P1') WHEN '4' THEN 'via-' || bowler WHEN '3' THEN NULL ELSE 'id-' || bowler END"
+query("official_by_id", f", ov AS ({OW_OVERS}), ln AS ({OW_LINES}) SELECT {ID_OF} AS player, format, count(*) AS innings, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(balls) AS BIGINT) AS balls, count(DISTINCT match_id) AS matches FROM ln WHERE {ID_OF} IS NOT NULL GROUP BY ALL")(official_by_id)
 OM = f"om AS (SELECT batter, bowler, format, count_if(faced) AS balls, {total('runs_batter')} AS runs, count_if(credited AND dismissed_player = batter) AS wickets, count_if(faced AND runs_total = 0) AS dots, count_if(four OR six) AS boundaries, count_if(six) AS sixes FROM flags WHERE {WITH_INNINGS} GROUP BY batter, bowler, format HAVING count_if(faced) >= 10)"
 query("official_matchups", f", {OM} SELECT *, {rate('runs', 'balls', 100)} AS strike_rate, {rate('runs', 'wickets')} AS average FROM om")(lambda t: rec.official_matchups(m.flatten(read_rich(t))))
 
@@ -171,15 +188,41 @@ query("flatten_batch_variant", f"SELECT match_id, count(*) AS balls, count(DISTI
 
 
 def zipped(t):
-    """Documents in ZIP archives of some hundred each, read straight from them."""
+    """Documents in ZIP archives of some two hundred each, members dealt to tasks by 64 KB."""
     path, zips = rich(t), fresh_path(t.spark, "zips")
-    m.write_zips(t.spark.read.text(path).select("value"), zips, 200)
-    return m.read_zip(t.spark, zips)
+    written = m.write_zips(t.spark.read.text(path).select("value"), zips, 200)
+    written.write.parquet(f"{zips}-list")  # writes the archives
+    return m.read_zip(t.spark, zips, task_bytes=1 << 16)
 
 
 query("scan_zip_scorecards", f"SELECT match_id, format FROM matches WHERE {MN} % 5 <> 0")(lambda t: zipped(t).where("info.gender = 'male'").select("match_id", F.col("info.match_type").alias("format")))
 
 
+def prepare_counts(t):
+    """(count, n) of a preparation in which every thirteenth document is cut off."""
+    n = F.regexp_extract("value", '"match_id":"m([0-9]+)"', 1).cast("int")
+    lines = t.spark.read.text(rich(t)).select(F.concat(F.lit("m"), n.cast("string"), F.lit(".json")).alias("file"), F.when(n % 13 == 4, F.substring("value", 1, 200)).otherwise(F.col("value")).alias("value"))
+    path = fresh_path(t.spark, "prepared")
+    counts = m.write_prepared(lines, path)
+    counts["read_again"] = t.spark.read.json(path).where("meta.prepared_format is not null").count()
+    return t.spark.createDataFrame(sorted(counts.items()), "count string, n long")
+
+
+CUT, MALE, REMAPPED = f"{MN} % 13 = 4", f"{MN} % 5 <> 0", f"format = 'T20' AND {MN} % 3 = 0"
+query("prepare_counts", " UNION ALL ".join(f"SELECT '{k}' AS count, count_if({c}) AS n FROM matches" for k, c in {"total": "true", "malformed": CUT, "filtered_out": f"NOT ({CUT}) AND NOT ({MALE})", "format_remapped": f"NOT ({CUT}) AND {MALE} AND {REMAPPED}", "written": f"NOT ({CUT}) AND {MALE}", "read_again": f"NOT ({CUT}) AND {MALE}"}.items()))(prepare_counts)
+
+
+def two_roots(t):
+    """Documents of two roots, of which the second holds every tenth match again."""
+    roots, docs = [fresh_path(t.spark, "root") for _ in range(2)], read_rich(t)
+    for root, some in zip(roots, (docs, docs.where(F.substring("match_id", 2, 9).cast("int") % 10 == 1))):
+        some.write.json(root)
+    return m.several_sources(m.read_lines(t.spark, *roots)).select("match_id", "n", F.size("files").cast("long").alias("files"))
+
+
+query("duplicate_documents", f"SELECT match_id, CAST(2 AS BIGINT) AS n, CAST(2 AS BIGINT) AS files FROM matches WHERE {MN} % 10 = 1")(two_roots)
+
+
 def register(t):
     """A register in two CSV files, people and their other names."""
     path = fresh_path(t.spark, "register")

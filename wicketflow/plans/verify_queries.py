@@ -11,6 +11,7 @@ from wicketflow.functions import rules as r
 from wicketflow.operators import digests, grams
 from wicketflow.operators import identity as x
 from wicketflow.operators import innings as i
+from wicketflow.operators import keys
 from wicketflow.operators import names as n
 from wicketflow.operators import quality as q
 from wicketflow.plans.innings_queries import BAT_SQL
@@ -156,3 +157,79 @@ def twice(t):
 
 
 query("verify_idempotency", "SELECT CAST(0 AS BIGINT) AS differing, count(*) AS rows, (SELECT CAST(sum(runs_batter) AS BIGINT) FROM deliveries) AS runs FROM (SELECT DISTINCT match_id, innings_number, p FROM (SELECT match_id, innings_number, unnest([batter, non_striker]) AS p FROM deliveries) WHERE p IS NOT NULL)")(twice)
+
+
+# tables that refer to one another: competitions, matches, innings, lines; venues beside them, which a match can be without
+REFERENCES = [keys.Reference("lines", "innings_id", "innings"), keys.Reference("innings", "match_id", "matches"), keys.Reference("matches", "competition_id", "competitions"), keys.Reference("matches", "venue_id", "venues", required=False)]
+
+
+def graph(t):
+    d, inn = t.deliveries, F.concat_ws("-", "match_id", F.col("innings_number").cast("string"))
+    return {
+        "lines": d.groupBy(inn.alias("innings_id"), "batter").agg(F.count("*").alias("balls")),
+        "innings": d.select(inn.alias("id"), "match_id").distinct(),
+        "matches": t.matches.select(F.col("match_id").alias("id"), F.col("competition").alias("competition_id"), F.col("venue").alias("venue_id")),
+        "competitions": t.matches.select(F.col("competition").alias("id")).distinct(),
+        "venues": t.matches.select(F.col("venue").alias("id")).distinct(),
+    }
+
+
+def summed(tables, rejected):
+    """(table, reason, n): rows kept, under no reason, and rejected ones under theirs."""
+    kept = keys.total({k: v.withColumn("reason", F.lit("kept")) for k, v in tables.items()}, "reason")
+    return kept.unionByName(keys.total(rejected, "reason"))
+
+
+def remapped_graph(t):
+    """One call brings five tables to new ids: competition 2, venue V3 and every thirteenth match have none."""
+    tables = graph(t)
+    new = lambda k, where: tables[k].where(where).select(F.col("id").alias("old_id"), F.concat(F.lit("x:"), "id").alias("new_id"))
+    ids = {"competitions": new("competitions", "id <> 'Cup 2'"), "venues": new("venues", "id <> 'V3'"), "matches": new("matches", "CAST(substr(id, 2) AS INT) % 13 <> 6")}
+    out, rejected = keys.remapped(tables, REFERENCES, ids)
+    emptied = out["matches"].where("venue_id IS NULL").agg(F.count("*").alias("n")).select(F.lit("matches").alias("table"), F.lit("without venue").alias("reason"), "n")
+    renamed = out["matches"].where("id LIKE 'x:m%' AND competition_id LIKE 'x:Cup%'").agg(F.count("*").alias("n")).select(F.lit("matches").alias("table"), F.lit("renamed").alias("reason"), "n")
+    moved = out["innings"].where("match_id LIKE 'x:m%'").agg(F.count("*").alias("n")).select(F.lit("innings").alias("table"), F.lit("renamed").alias("reason"), "n")
+    return summed(out, rejected).unionByName(emptied).unionByName(renamed).unionByName(moved)
+
+
+LINES = ", line AS (SELECT match_id, innings_number, batter FROM deliveries GROUP BY ALL), inn AS (SELECT DISTINCT match_id, innings_number FROM deliveries), mm AS (SELECT match_id, competition, venue, CAST(substr(match_id, 2) AS INT) AS k FROM matches) "
+GOOD = "k % 13 <> 6 AND competition <> 'Cup 2'"
+query("remap_references", LINES + f"""SELECT 'competitions' AS "table", CASE WHEN competition = 'Cup 2' THEN 'no id' ELSE 'kept' END AS reason, count(DISTINCT competition) AS n FROM mm GROUP BY 2
+UNION ALL SELECT 'venues', CASE WHEN venue = 'V3' THEN 'no id' ELSE 'kept' END, count(DISTINCT venue) FROM mm GROUP BY 2
+UNION ALL SELECT 'matches', CASE WHEN k % 13 = 6 THEN 'no id' WHEN competition = 'Cup 2' THEN 'no competitions: competition_id' ELSE 'kept' END, count(*) FROM mm GROUP BY 2
+UNION ALL SELECT 'innings', CASE WHEN {GOOD} THEN 'kept' ELSE 'no matches: match_id' END, count(*) FROM inn JOIN mm USING (match_id) GROUP BY 2
+UNION ALL SELECT 'lines', CASE WHEN {GOOD} THEN 'kept' ELSE 'no innings: innings_id' END, count(*) FROM line JOIN mm USING (match_id) GROUP BY 2
+UNION ALL SELECT 'matches', 'without venue', count(*) FROM mm WHERE {GOOD} AND venue = 'V3' UNION ALL SELECT 'matches', 'renamed', count(*) FROM mm WHERE {GOOD} UNION ALL SELECT 'innings', 'renamed', count(*) FROM inn JOIN mm USING (match_id) WHERE {GOOD}""")(remapped_graph)
+
+
+def purged_graph(t):
+    """One call takes out a competition, a venue and some innings with all that hangs on them: rows left, and rows gone at each level."""
+    tables = graph(t)
+    gone = {"competitions": tables["competitions"].where("id = 'Cup 1'"), "venues": tables["venues"].where("id = 'V2'"), "innings": tables["innings"].where("id LIKE '%5-2'")}
+    left, lost = keys.purged(tables, REFERENCES, gone)
+    kept = keys.total({k: v.withColumn("level", F.lit(-1)) for k, v in left.items()}, "level")
+    empty = left["matches"].where("venue_id IS NULL").agg(F.count("*").alias("n")).select(F.lit("matches").alias("table"), F.lit(-2).alias("level"), "n")
+    return kept.unionByName(keys.total(lost, "level")).unionByName(empty)
+
+
+LEVEL = "CASE WHEN inn.match_id LIKE '%5' AND inn.innings_number = 2 THEN 0 WHEN competition = 'Cup 1' THEN 2 ELSE -1 END"
+query("purge_references", LINES + f"""SELECT 'competitions' AS "table", CAST(CASE WHEN competition = 'Cup 1' THEN 0 ELSE -1 END AS INT) AS level, count(DISTINCT competition) AS n FROM mm GROUP BY 2
+UNION ALL SELECT 'venues', CASE WHEN venue = 'V2' THEN 0 ELSE -1 END, count(DISTINCT venue) FROM mm GROUP BY 2 UNION ALL SELECT 'matches', CASE WHEN competition = 'Cup 1' THEN 1 ELSE -1 END, count(*) FROM mm GROUP BY 2
+UNION ALL SELECT 'matches', -2, count(*) FROM mm WHERE competition <> 'Cup 1' AND venue = 'V2' UNION ALL SELECT 'innings', {LEVEL}, count(*) FROM inn JOIN mm USING (match_id) GROUP BY 2
+UNION ALL SELECT 'lines', CASE WHEN {LEVEL} < 0 THEN -1 ELSE {LEVEL} + 1 END, count(*) FROM line AS inn JOIN mm USING (match_id) GROUP BY 2""")(purged_graph)
+
+
+def upserted(t):
+    """New matches with ids for their names: teams are required, venue and winner aren't; the season of 2022 is stored already."""
+    d, m = t.matches, number()
+    team = d.select(F.explode(F.array("team_a", "team_b")).alias("name")).distinct().where("name <> 'Team5'").select("name", F.concat(F.lit("t:"), "name").alias("id"))
+    venue = d.select(F.col("venue").alias("name")).distinct().where("name <> 'V6'").select("name", F.concat(F.lit("v:"), "name").alias("id"))
+    won, first = F.col("winner").isNotNull(), F.col("winner") == F.col("team_a")
+    rows = d.where("season <> '2022'").withColumn("win_type", keys.win_type(F.when(won & (m % 16 == 3), 1), F.when(won & first, F.col("first_runs") - F.col("second_runs")), F.when(won & (~first | (m % 5 == 0)), 10 - F.col("second_wickets"))))
+    good, bad = keys.with_ids(rows, {"team_a": (team, True), "team_b": (team, True), "venue": (venue, False), "winner": (team, False)})
+    columns = ["match_id", "team_a_id", "team_b_id", "venue_id", "winner_id", "win_type"]
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select(*columns, "reason")
+
+
+query("upsert_match_keys", f"""SELECT match_id, CASE WHEN team_a <> 'Team5' THEN 't:' || team_a END AS team_a_id, CASE WHEN team_b <> 'Team5' THEN 't:' || team_b END AS team_b_id, CASE WHEN venue <> 'V6' THEN 'v:' || venue END AS venue_id, CASE WHEN winner <> 'Team5' THEN 't:' || winner END AS winner_id,
+CASE WHEN winner IS NULL THEN NULL WHEN {MN} % 16 = 3 THEN 'innings' WHEN winner = team_a AND first_runs <> second_runs THEN 'runs' WHEN (winner <> team_a OR {MN} % 5 = 0) AND second_wickets <> 10 THEN 'wickets' END AS win_type, CASE WHEN team_a = 'Team5' THEN 'team_a' WHEN team_b = 'Team5' THEN 'team_b' END AS reason FROM matches WHERE season <> '2022'""")(upserted)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from wicketflow.sources import archives
+
 #: The kinds of extras in the order in which a ball's extra type is decided.
 EXTRAS = (("wides", "wide"), ("noballs", "noball"), ("byes", "bye"), ("legbyes", "legbye"), ("penalty", "penalty"))
 
@@ -30,28 +27,43 @@ def read_matches(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.withColumn("file", file).withColumn("match_id", F.coalesce("match_id", F.regexp_extract(file, r"([^/]+?)(?:\.[A-Za-z]+)*$", 1)))
 
 
-def read_zip(spark: SparkSession, *paths: str) -> DataFrame:
-    """The same from ZIP archives of documents; an archive is one task's memory."""
-    files = _archives(spark, *paths)
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Documents under paths, one a line, with their file."""
+    return spark.read.schema(_DDL).json(list(paths)).withColumn("file", F.col("_metadata.file_path"))
+
+
+def read_zip(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The same from ZIP archives of documents at or under path; an archive's documents are dealt to several tasks."""
+    rows = archives.read_members(spark, path, ending=".json", **options).withColumn("d", F.from_json(F.col("content").cast("string"), _DDL))
+    return rows.select("d.*", F.concat_ws("!", "archive", "member").alias("file")).withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1)))
 
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".json"):
-                            yield pa.RecordBatch.from_arrays([pa.array([f"{path}!{name}"]), pa.array([z.read(name).decode("utf-8", "replace")])], names=["file", "body"])
 
-    rows = files.mapInArrow(unzip, "file string, body string").withColumn("d", F.from_json("body", _DDL))
-    return rows.select("d.*", "file").withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1)))
+def several_sources(matches: DataFrame) -> DataFrame:
+    """(match_id, n, files): matches whose document lies in several files, of one root or of many. matches: read_matches()."""
+    return matches.groupBy("match_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("file")).alias("files")).where("n > 1")
 
 
-def _archives(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, content) of ZIP files, or of the archives that write_zips() has put into Parquet."""
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    if not whole.where("path like '%.parquet'").isEmpty():
-        return spark.read.parquet(*paths).select(F.concat(F.col("_metadata.file_path"), F.lit("#"), F.monotonically_increasing_id().cast("string")).alias("path"), "content")
-    return whole.select("path", "content")
+def write_prepared(lines: DataFrame, path: str, *, gender: str = "male", remap: bool = True) -> dict[str, int]:
+    """Writes the documents of lines (file, value: JSON text) that prepared() takes, and counts what became of all, in one pass.
+
+    Counts: total, malformed (no JSON object with info), filtered_out (of another gender), format_remapped (of those written),
+    written. The id of a document without one is its file's stem. remap: whether twenty-over matches between countries become
+    T20I. Counts come from an observation of the pass that writes; nothing is read twice.
+    """
+    parsed = lines.select("file", F.from_json("value", f"{_DDL}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    malformed = F.coalesce(F.col("d._corrupt").isNotNull(), F.lit(True)) | F.col("d.info").isNull()
+    other = ~malformed & (F.lit(False) if gender == "all" else ~F.coalesce(F.col("d.info.gender") == gender, F.lit(False)))
+    came = F.col("d.info.match_type")
+    moved = ~malformed & ~other & (came == "T20") & (F.col("d.info.team_type") == "international") & F.lit(remap)
+    told = parsed.select("file", "d", malformed.alias("malformed"), other.alias("other"), F.coalesce(moved, F.lit(False)).alias("moved"))
+    counts = Observation()
+    fields = {"total": F.lit(True), "malformed": F.col("malformed"), "filtered_out": F.col("other"), "format_remapped": F.col("moved"), "written": ~F.col("malformed") & ~F.col("other")}
+    seen = told.observe(counts, *[F.count(F.when(c, 1)).alias(k) for k, c in fields.items()])
+    docs = seen.where("NOT malformed AND NOT other").select("file", "moved", "d.*").drop("_corrupt")
+    format_ = F.when(F.col("moved"), "T20I").otherwise(F.col("info.match_type"))
+    docs = docs.withColumn("meta", F.struct(F.col("info.match_type").alias("original_match_type"), format_.alias("prepared_format"))).withColumn("info", F.col("info").withField("match_type", format_))
+    docs.withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1))).drop("file", "moved").write.json(path)
+    return {k: counts.get[k] for k in fields}
 
 
 def result_type(outcome: str = "info.outcome") -> F.Column:
@@ -122,22 +134,11 @@ def registries(matches: DataFrame) -> DataFrame:
     return squads.select("name", "team", F.col("people")[F.col("name")].alias("id")).groupBy("name", "team").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def write_zips(documents: DataFrame, path: str, each: int) -> None:
-    """Documents (value: JSON text) as ZIP archives of about so many under path, one binary file an archive."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        for batch in batches:
-            held.extend(batch.column(0).to_pylist())
-        if held:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for k, text in enumerate(held):
-                    z.writestr(f"{k}.json", text)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["content"])
-
+def write_zips(documents: DataFrame, path: str, each: int) -> DataFrame:
+    """Documents (value: JSON text) as ZIP archives of about so many under path; (archive, members) of each."""
     parts = max(1, -(-documents.count() // each))
-    documents.select("value").repartition(parts).mapInArrow(pack, "content binary").write.parquet(path)
+    rows = documents.select("value", F.concat(F.sha1("value"), F.lit(".json")).alias("name")).repartition(parts)
+    return archives.write_archives(rows, "name", "value", path)
 
 
 def delivery_count(matches: DataFrame) -> DataFrame:
