@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
 from wicketflow.operators import careers as c
+from wicketflow.operators import directory as y
 from wicketflow.operators import innings as i
 from wicketflow.operators import merges as g
 from wicketflow.operators import names as n
@@ -68,10 +69,8 @@ query("player_registry", "SELECT player AS name, upper(player[1]) AS initials, p
 query("entity_discovery", "SELECT 'player' AS kind, name, CASE WHEN count(*) FILTER (role = 'b') >= 30 THEN 'bowler' ELSE 'batter' END AS role, arg_min(team, pos) AS first_team FROM (SELECT batter AS name, 'a' AS role, batting_team AS team, match_date::VARCHAR || match_id AS pos FROM deliveries UNION ALL SELECT bowler, 'b', bowling_team, match_date::VARCHAR || match_id FROM deliveries) GROUP BY name UNION ALL SELECT DISTINCT 'team', batting_team, NULL, NULL FROM deliveries UNION ALL SELECT DISTINCT 'venue', venue, NULL, NULL FROM deliveries")(
     lambda t: n.entities(t.deliveries)
 )
-query("season_backfill", "SELECT match_id, sha256(competition || '|' || year(match_date)) AS season_id FROM matches")(
-    lambda t: (lambda seasons: t.matches.select("match_id", "competition", F.year("match_date").cast("string").alias("season")).join(seasons, ["competition", "season"]).select("match_id", F.col("id").alias("season_id")))(
-        n.get_or_create(t.matches.select("competition", F.year("match_date").cast("string").alias("season")), t.matches.where("false").select(F.lit("").alias("id"), "competition", F.lit("").alias("season")), "competition", "season")
-    )
+query("season_backfill", "SELECT match_id, CASE WHEN year(match_date) = 2022 THEN 'stored ' || competition ELSE sha256(competition || '|' || year(match_date)) END AS season_id FROM matches")(
+    lambda t: y.season_ids(t.matches, t.matches.where("year(match_date) = 2022").select(F.concat(F.lit("stored "), "competition").alias("id"), "competition", F.lit("2022").alias("season")).distinct())[0]
 )
 query("resolve_competition", "SELECT DISTINCT competition AS name, CASE WHEN competition = 'Cup 0' THEN 'known' ELSE sha256(competition) END AS id FROM matches")(
     lambda t: n.get_or_create(n.canonical(t.matches.select(F.when(F.col("competition") == "Cup 2", " CUP  two").otherwise(F.col("competition")).alias("name")), "name", t.matches.select(F.lit("cup two").alias("alias"), F.lit("Cup 2").alias("name")).distinct()), t.matches.where("competition = 'Cup 0'").select(F.lit("known").alias("id"), F.col("competition").alias("name")).distinct(), "name")

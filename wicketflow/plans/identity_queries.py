@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
 from wicketflow.operators import careers as c
+from wicketflow.operators import directory as y
 from wicketflow.operators import identity as x
 from wicketflow.operators import innings as i
+from wicketflow.operators import keys
 from wicketflow.operators import names as n
 from wicketflow.operators import quality as q
 from wicketflow.operators import teams as tm
 from wicketflow.plans.innings_queries import BAT_SQL, BOWL_SQL
 from wicketflow.plans.player_queries import bat, bowl, career_bat_sql
+from wicketflow.plans.team_queries import PERF, STRENGTH, TB, sides
 from wicketflow.registry import query
 from wicketflow.sources import sinks
 from wicketflow.sources.shared import fresh_path
@@ -199,16 +202,17 @@ def with_id(rows, column, dim):
     return rows.join(dim.select(F.col("name").alias(column), F.col("id").alias(f"{column}_id")), column, "left")
 
 
-query("resolve_team_ids", "SELECT match_id, CASE WHEN team_a <> 'Team5' THEN 't:' || team_a END AS team_a_id FROM matches")(lambda t: with_id(t.matches, "team_a", dims(t)["team"]).select("match_id", "team_a_id"))
-query("resolve_venue_ids", "SELECT match_id, CASE WHEN venue <> 'V6' THEN 'v:' || venue END AS venue_id FROM matches")(lambda t: with_id(t.matches, "venue", dims(t)["venue"]).select("match_id", "venue_id"))
+query("resolve_team_ids", "SELECT match_id, CASE WHEN team_a <> 'Team5' THEN 't:' || team_a END AS team_a_id FROM matches")(lambda t: keys.with_ids(t.matches, {"team_a": (dims(t)["team"], False)})[0].select("match_id", "team_a_id"))
+query("resolve_venue_ids", "SELECT match_id, CASE WHEN venue <> 'V6' THEN 'v:' || venue END AS venue_id FROM matches")(lambda t: keys.with_ids(t.matches, {"venue": (dims(t)["venue"], False)})[0].select("match_id", "venue_id"))
 query("load_dimension_maps", "SELECT 'team' AS kind, count(DISTINCT batting_team) FILTER (batting_team <> 'Team5') AS n FROM deliveries UNION ALL SELECT 'venue', count(DISTINCT venue) FILTER (venue <> 'V6') FROM deliveries UNION ALL SELECT 'player', count(*) FROM (SELECT batter FROM deliveries UNION SELECT bowler FROM deliveries)")(
-    lambda t: (lambda d: d["team"].withColumn("kind", F.lit("team")).unionByName(d["venue"].withColumn("kind", F.lit("venue"))).unionByName(d["player"].withColumn("kind", F.lit("player"))).groupBy("kind").agg(F.countDistinct("id").alias("n")))(dims(t))
+    lambda t: y.dimension_maps(dims(t)).groupBy("kind").agg(F.countDistinct("id").alias("n"))
 )
 query("new_entity_counts", "SELECT 'team' AS kind, count(DISTINCT batting_team) FILTER (batting_team = 'Team5') AS n FROM deliveries UNION ALL SELECT 'venue', count(DISTINCT venue) FILTER (venue = 'V6') FROM deliveries")(
-    lambda t: t.deliveries.select(F.lit("team").alias("kind"), F.col("batting_team").alias("name")).union(t.deliveries.select(F.lit("venue"), "venue")).distinct().join(dims(t)["team"].select(F.lit("team").alias("kind"), "name").union(dims(t)["venue"].select(F.lit("venue"), "name")), ["kind", "name"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+    lambda t: y.new_entities(t.deliveries.select(F.lit("team").alias("kind"), F.col("batting_team").alias("name")).union(t.deliveries.select(F.lit("venue"), "venue")), y.dimension_maps(dims(t))).groupBy("kind").agg(F.count("*").alias("n"))
 )
-query("insert_required_players", "SELECT batter AS name FROM deliveries WHERE batter LIKE '%P4' UNION SELECT bowler FROM deliveries WHERE bowler LIKE '%P5'")(
-    lambda t: t.deliveries.select(F.explode(F.array("batter", "bowler", "non_striker")).alias("name")).distinct().join(t.deliveries.select(F.col("batter").alias("name")).where("name not like '%P4' and name not like '%P5'").distinct(), "name", "left_anti").join(t.deliveries.select(F.col("bowler").alias("name")).where("name not like '%P5' and name not like '%P4'").distinct(), "name", "left_anti")
+query("insert_required_players", "SELECT sha256(name) AS id, name FROM (SELECT DISTINCT unnest([batter, bowler, non_striker]) AS name FROM deliveries) WHERE name NOT IN (SELECT batter FROM deliveries WHERE format = 'T20' AND over_number < 4)")(
+    # the stored players are those who have batted in the first overs of a T20; all others who are named are required
+    lambda t: y.required_players(t.deliveries.where("format = 'T20' AND over_number < 4").select(F.concat(F.lit("p:"), "batter").alias("id"), F.col("batter").alias("name")).distinct(), t.deliveries.select(F.explode(F.array("batter", "bowler", "non_striker")).alias("name")))
 )
 query("record_alias", "SELECT DISTINCT 'A ' || batter AS alias, batter AS id FROM deliveries")(
     lambda t: (lambda b: sinks.unseen(b, b.where("id like '%P1'").select("alias"), ["alias"]).unionByName(b.where("id like '%P1'")))(t.deliveries.select(F.concat(F.lit("A "), "batter").alias("alias"), F.col("batter").alias("id")).distinct())
@@ -217,13 +221,14 @@ query("register_aliases", "SELECT DISTINCT 'A ' || batter AS alias, CASE WHEN ba
     lambda t: (lambda b: x.upsert_aliases(b.withColumn("source", F.lit("old")), b.where("id like '%P1'").select("alias", F.concat(F.lit("new "), "id").alias("id"), F.lit("feed").alias("source"))))(t.deliveries.select(F.concat(F.lit("A "), "batter").alias("alias"), F.col("batter").alias("id")).distinct())
 )
 query("remove_stale_alias_stats", f", {BAT_SQL} SELECT player, CAST(sum(runs) AS BIGINT) AS runs FROM bl WHERE player NOT LIKE '%P9' GROUP BY player")(
-    lambda t: bat(t).groupBy("player").agg(r.total("runs").alias("runs")).join(t.deliveries.select(F.col("batter").alias("player")).where("player like '%P9'").distinct(), "player", "left_anti")
+    # P9 of each team is an alias of P8, P7 one of itself in capitals
+    lambda t: y.without_aliases(bat(t).groupBy("player").agg(r.total("runs").alias("runs")), "player", t.deliveries.where("batter LIKE '%P9' OR batter LIKE '%P7'").select(F.upper("batter").alias("alias"), F.regexp_replace("batter", "P9$", "P8").alias("name")).distinct())
 )
 query("join_alias_lookup", "SELECT DISTINCT l_suppkey, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE CAST(l_suppkey AS BIGINT) END AS id FROM lineitem")(
-    lambda t: (lambda asked, known, other: asked.join(known.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("direct")), "name", "left").join(other.select(F.col("alias").alias("name"), "via"), "name", "left").select("l_suppkey", F.coalesce("direct", "via").alias("id")))(
-        t.raw("lineitem").join(t.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("alias of "), "s_name")).otherwise(F.col("s_name")).alias("name")).distinct(),
-        t.raw("supplier"), t.raw("supplier").where("s_suppkey % 8 <> 0").select(F.concat(F.lit("alias of "), "s_name").alias("alias"), F.col("s_suppkey").alias("via")),
-    )
+    lambda t: y.looked_up(
+        t.raw("lineitem").join(t.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("alias of "), "s_name")).otherwise(F.col("s_name")).alias("name")).distinct(), "name",
+        t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.raw("supplier").where("s_suppkey % 8 <> 0").select(F.concat(F.lit("alias of "), "s_name").alias("alias"), F.col("s_suppkey").alias("id")),
+    ).select("l_suppkey", "id")
 )
 query("semi_exists_alias", "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 4 <> 0 AND CAST(s_suppkey AS VARCHAR) LIKE '%7%'")(lambda t: t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).join(aliases(t).where("lower(alias) like '%7%'"), "name", "left_semi").select("id"))
 query("self_initial_expansion", "SELECT 'T' || t || ' P' || p AS short, 'Team' || t || ' P' || p AS long FROM (SELECT DISTINCT regexp_extract(batter, 'T([0-9]+)P', 1) AS t, regexp_extract(batter, 'P([0-9]+)$', 1) AS p FROM deliveries)")(
@@ -293,8 +298,8 @@ def appended(t):
 
 
 query("sink_table_bulk", f"SELECT {', '.join(i.EVENT)}, runs_total FROM deliveries")(appended)
-query("sync_dimension_updates", f"SELECT match_id, CASE WHEN {MN} % 3 = 0 THEN 'new ' || competition ELSE 'old' END AS competition FROM matches")(
-    lambda t: (lambda old, new: old.join(new.select("match_id", F.col("competition").alias("own")), "match_id", "left").select("match_id", F.coalesce("own", "competition").alias("competition")))(t.matches.select("match_id", F.lit("old").alias("competition")), t.matches.where(number() % 3 == 0).select("match_id", F.concat(F.lit("new "), "competition").alias("competition")))
+query("sync_dimension_updates", f"SELECT match_id, CASE WHEN {MN} % 6 = 3 THEN 'new ' || competition ELSE 'old' END AS competition, CASE WHEN {MN} % 3 = 0 THEN season ELSE '1900' END AS season FROM matches")(
+    lambda t: y.updated(t.matches.select("match_id", F.lit("old").alias("competition"), F.lit("1900").alias("season")), t.matches.where(number() % 3 == 0).select("match_id", F.when(number() % 2 == 1, F.concat(F.lit("new "), "competition")).alias("competition"), "season"), ["match_id"], ["competition", "season"])
 )
 query("sync_season_dimensions", "SELECT competition, season, min(match_date) AS starts FROM matches GROUP BY competition, season")(
     lambda t: (lambda s: q.synced(s.where("season <> '2024'").withColumn("starts", F.when(F.col("season") == "2023", F.date_sub("starts", 3)).otherwise(F.col("starts"))), s, ["competition", "season"]))(t.matches.groupBy("competition", "season").agg(F.min("match_date").alias("starts")))
@@ -319,28 +324,13 @@ query("venue_reconcile", "SELECT venue, format, CAST(sum(first_runs) AS BIGINT)
 AFF = ", aff AS (SELECT player, team, format, count(*) AS balls, max(match_date) AS last FROM (SELECT batter AS player, batting_team AS team, format, match_date FROM deliveries UNION ALL SELECT bowler, bowling_team, format, match_date FROM deliveries) GROUP BY player, team, format) "
 
 
-def affiliations(t):
-    d = t.deliveries
-    return d.select(F.col("batter").alias("player"), F.col("batting_team").alias("team"), "format", "match_date").union(d.select("bowler", "bowling_team", "format", "match_date")).groupBy("player", "team", "format").agg(F.count("*").alias("balls"), F.max("match_date").alias("last"))
-
-
-def first_of(rows, keys, *order):
-    return rows.withColumn("k", F.row_number().over(c.Window.partitionBy(*keys).orderBy(*order))).where("k = 1").drop("k")
-
-
-query("player_affiliations", AFF + "SELECT player, team, format, last, CAST(row_number() OVER (PARTITION BY player ORDER BY last DESC, team, format) AS INT) AS n FROM aff")(
-    lambda t: affiliations(t).select("player", "team", "format", "last", F.row_number().over(c.Window.partitionBy("player").orderBy(F.desc("last"), "team", "format")).alias("n"))
-)
-query("display_team", AFF + "SELECT player, team FROM (SELECT player, team, row_number() OVER (PARTITION BY player ORDER BY CASE WHEN format = 'T20' THEN 0 ELSE 1 END, last DESC, balls DESC, team) AS k FROM aff) WHERE k = 1")(
-    lambda t: first_of(affiliations(t), ["player"], F.when(F.col("format") == "T20", 0).otherwise(1), F.desc("last"), F.desc("balls"), "team").select("player", "team")
-)
-query("primary_team_national", AFF + "SELECT player, team FROM (SELECT player, team, row_number() OVER (PARTITION BY player ORDER BY count(DISTINCT format) DESC, sum(balls) DESC, team) AS k FROM aff WHERE format <> 'T20' GROUP BY player, team) WHERE k = 1")(
-    lambda t: first_of(affiliations(t).where("format <> 'T20'").groupBy("player", "team").agg(F.countDistinct("format").alias("formats"), F.sum("balls").alias("balls")), ["player"], F.desc("formats"), F.desc("balls"), "team").select("player", "team")
-)
+query("player_affiliations", AFF + "SELECT player, team, format, last, CAST(row_number() OVER (PARTITION BY player ORDER BY last DESC, team, format) AS INT) AS n FROM aff")(lambda t: y.listed_affiliations(y.affiliations(t.deliveries)))
+query("display_team", AFF + "SELECT player, team FROM (SELECT player, team, row_number() OVER (PARTITION BY player ORDER BY CASE WHEN format = 'T20' THEN 0 ELSE 1 END, last DESC, balls DESC, team) AS k FROM aff) WHERE k = 1")(lambda t: y.display_teams(y.affiliations(t.deliveries)))
+query("primary_team_national", AFF + "SELECT player, team FROM (SELECT player, team, row_number() OVER (PARTITION BY player ORDER BY count(DISTINCT format) DESC, sum(balls) DESC, team) AS k FROM aff WHERE format <> 'T20' GROUP BY player, team) WHERE k = 1")(lambda t: y.national_teams(y.affiliations(t.deliveries)))
 query("competition_detail", "SELECT competition, string_agg(season || ':' || n, ',' ORDER BY season) AS seasons FROM (SELECT competition, season, count(*) AS n FROM matches GROUP BY competition, season) GROUP BY competition")(
-    lambda t: t.matches.groupBy("competition", "season").agg(F.count("*").alias("n")).groupBy("competition").agg(F.sort_array(F.collect_list(F.struct("season", "n"))).alias("s")).select("competition", F.array_join(F.transform("s", lambda v: F.concat(v["season"], F.lit(":"), v["n"].cast("string"))), ",").alias("seasons"))
+    lambda t: y.competition_details(t.matches).select("competition", F.array_join(F.transform("seasons", lambda v: F.concat(v["season"], F.lit(":"), v["n"].cast("string"))), ",").alias("seasons"))
 )
-query("concat_activity", f", {BAT_SQL}, {BOWL_SQL} SELECT player, format, match_id FROM bl UNION SELECT bowler, format, match_id FROM wl")(lambda t: bat(t).select("player", "format", "match_id").unionByName(bowl(t).select(F.col("bowler").alias("player"), "format", "match_id")).dropDuplicates())
+query("concat_activity", f", {BAT_SQL}, {BOWL_SQL} SELECT player, format, match_id FROM bl UNION SELECT bowler, format, match_id FROM wl")(lambda t: y.activity(bat(t), bowl(t)))
 query("recent_impact_inputs", f""", {BAT_SQL}, {BOWL_SQL}, u AS (SELECT player, format, match_id, match_date, 1 AS bat, runs, balls, 0 AS bowl, 0 AS wickets, 0 AS bowled, 0 AS conceded FROM bl UNION ALL SELECT bowler, format, match_id, match_date, 0, 0, 0, 1, wickets, balls, conceded FROM wl)
 SELECT player, format, count(DISTINCT match_id) AS matches, CAST(sum(bat) AS BIGINT) AS batting_innings, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(bowl) AS BIGINT) AS bowling_innings, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(conceded) AS BIGINT) AS runs_conceded, max(match_date) AS last_match_date FROM u WHERE match_date >= (SELECT max(match_date) - 548 FROM u) GROUP BY player, format""")(
     lambda t: c.recent_stats(t.bat_lines, t.bowl_lines).select("player", "format", "matches", "batting_innings", "runs", "bowling_innings", "wickets", "runs_conceded", "last_match_date")
@@ -348,9 +338,7 @@ SELECT player, format, count(DISTINCT match_id) AS matches, CAST(sum(bat) AS BIG
 query("chunk_merge_test", f", {BAT_SQL}, ch AS ({career_bat_sql('player, format, innings_number')}) SELECT player, format, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(runs) AS BIGINT) AS runs FROM ch WHERE format = 'Test' GROUP BY player, format")(
     lambda t: c.career_batting(bat(t).where("format = 'Test'"), ("player", "format", "innings_number")).groupBy("player", "format").agg(r.total("matches").alias("matches"), r.total("runs").alias("runs"))
 )
-query("venue_player_performance", f", {BAT_SQL} SELECT venue, format, player, runs, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY venue, format ORDER BY runs DESC, player) AS INT) AS n FROM (SELECT venue, format, player, CAST(sum(runs) AS BIGINT) AS runs FROM bl GROUP BY ALL)) WHERE n <= 5")(
-    lambda t: bat(t).groupBy("venue", "format", "player").agg(r.total("runs").alias("runs")).withColumn("n", F.row_number().over(c.Window.partitionBy("venue", "format").orderBy(F.desc("runs"), "player"))).where("n <= 5")
-)
+query("venue_player_performance", f", {BAT_SQL} SELECT venue, format, player, runs, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY venue, format ORDER BY runs DESC, player) AS INT) AS n FROM (SELECT venue, format, player, CAST(sum(runs) AS BIGINT) AS runs FROM bl GROUP BY ALL)) WHERE n <= 5")(lambda t: y.venue_players(bat(t)))
 for _by in ("arm", "pace_spin"):
     _case = {"arm": "CASE WHEN bowling_style LIKE 'left%' THEN 'left' ELSE 'right' END", "pace_spin": "CASE WHEN bowling_style LIKE '%fast%' THEN 'pace' ELSE 'spin' END"}[_by]
     query({"arm": "join_bowler_arm", "pace_spin": "join_bowler_type"}[_by], f"SELECT {_case} AS kind, count(*) AS balls, count(DISTINCT bowler) AS bowlers FROM deliveries JOIN players ON bowler = player GROUP BY 1")(
@@ -360,18 +348,21 @@ query("proj_phase_ranges", "SELECT phase, format, count(*) AS balls FROM flags G
 query("clamp_not_outs", f", {BAT_SQL}, cb AS ({career_bat_sql('player, format')}) SELECT player, CAST(least(greatest(sum(not_outs + 3 - runs % 9), 0), sum(innings)) AS BIGINT) AS not_outs FROM cb GROUP BY player")(
     lambda t: c.career_batting(bat(t)).groupBy("player").agg(q.safe_not_outs(F.col("innings"), F.col("not_outs") + 3 - F.col("runs") % 9).alias("not_outs"))
 )
-query("join_team_summary", "SELECT team, format, matches, strength FROM (SELECT team, format, count(*) AS matches FROM (SELECT unnest([team_a, team_b]) AS team, format FROM matches) GROUP BY team, format) LEFT JOIN (SELECT batting_team AS team, format, count(*) AS strength FROM deliveries WHERE batting_team <> 'Team3' GROUP BY ALL) USING (team, format)")(
-    lambda t: t.matches.select(F.explode(F.array("team_a", "team_b")).alias("team"), "format").groupBy("team", "format").agg(F.count("*").alias("matches")).join(t.deliveries.where("batting_team <> 'Team3'").groupBy(F.col("batting_team").alias("team"), "format").agg(F.count("*").alias("strength")), ["team", "format"], "left")
+
+
+def strengths(t):
+    return tm.team_strength(tm.team_performance(sides(t)), tm.team_bowling(t.deliveries))
+
+
+query("join_team_summary", PERF + f", {TB}, {STRENGTH} SELECT team, format, matches, strength FROM (SELECT team, format, count(*) AS matches FROM sides GROUP BY team, format) LEFT JOIN (SELECT * FROM st WHERE team <> 'Team3') USING (team, format)")(
+    lambda t: y.with_summary(tm.team_records(sides(t), "format").select("team", "format", "matches"), strengths(t).where("team <> 'Team3'")).select("team", "format", "matches", "strength")
+)
+query("official_leaders", f", {BAT_SQL}, lead AS (SELECT competition, season, player, runs, row_number() OVER (PARTITION BY competition, season ORDER BY runs DESC, player) AS k FROM (SELECT competition, season, player, CAST(sum(runs) AS BIGINT) AS runs FROM bl JOIN matches USING (match_id) GROUP BY ALL)) SELECT competition, season, CASE WHEN season = '2023' THEN 'ref ' || competition ELSE player END AS player, CASE WHEN season = '2023' THEN 990 + CAST(right(competition, 1) AS BIGINT) ELSE runs END AS runs FROM lead WHERE k = 1")(
+    lambda t: y.leaders(bat(t), t.matches, t.matches.where("season = '2023'").select("competition", "season").distinct().select("competition", "season", F.concat(F.lit("ref "), "competition").alias("player"), (F.lit(990) + F.substring("competition", -1, 1).cast("long")).alias("runs")))
 )
-query("official_leaders", f", {BAT_SQL}, lead AS (SELECT competition, season, player, runs, row_number() OVER (PARTITION BY competition, season ORDER BY runs DESC, player) AS k FROM (SELECT competition, season, player, CAST(sum(runs) AS BIGINT) AS runs FROM bl JOIN matches USING (match_id) GROUP BY ALL)) SELECT competition, season, CASE WHEN season = '2023' THEN 'ref ' || competition ELSE player END AS player, CASE WHEN season = '2023' THEN 999 ELSE runs END AS runs FROM lead WHERE k = 1")(
-    lambda t: (lambda own, ref: own.join(ref, ["competition", "season"], "left").select("competition", "season", F.coalesce("ref_player", "player").alias("player"), F.coalesce("ref_runs", "runs").alias("runs")))(
-        first_of(bat(t).join(t.matches.select("match_id", "competition", "season"), "match_id").groupBy("competition", "season", "player").agg(r.total("runs").alias("runs")), ["competition", "season"], F.desc("runs"), "player"),
-        t.matches.where("season = '2023'").select("competition", "season").distinct().select("competition", "season", F.concat(F.lit("ref "), "competition").alias("ref_player"), F.lit(999).cast("long").alias("ref_runs")),
-    )
-)
 query("ranking_feed", "SELECT s_suppkey AS id, CAST(s_suppkey - s_suppkey % 2 AS INT) AS rank, CAST(s_suppkey * 1000 AS INT) AS rating FROM supplier")(
     lambda t: x.ranking_rows(t.raw("supplier").select(F.col("s_suppkey").alias("at"), F.lit("all").alias("list"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("=").alias("rank"), F.lower("s_name").alias("name"), F.format_number(F.col("s_suppkey") * 1000, 0).alias("rating")), t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("short")))
 )
-query("team_profile", "SELECT team, sum(strength * n) / sum(n) AS strength, CAST(sum(n) AS BIGINT) AS matches FROM (SELECT team, format, count(*) AS n, avg(CASE WHEN winner = team THEN 100.0::DOUBLE ELSE 0 END) AS strength FROM (SELECT unnest([team_a, team_b]) AS team, format, winner FROM matches) GROUP BY team, format) GROUP BY team")(
-    lambda t: t.matches.select(F.explode(F.array("team_a", "team_b")).alias("team"), "format", "winner").groupBy("team", "format").agg(F.count("*").alias("n"), F.avg(F.when(F.col("winner") == F.col("team"), 100.0).otherwise(0.0)).alias("strength")).groupBy("team").agg(c.weighted_mean("strength", "n").alias("strength"), r.total("n").alias("matches"))
+query("team_profile", PERF + f", {TB}, {STRENGTH}, n AS (SELECT team, format, count(*) AS matches, count_if(result_type = 'win' AND winner = team) AS wins FROM sides GROUP BY team, format) SELECT team, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(wins) AS BIGINT) AS wins, sum(strength * matches) / sum(matches) AS strength FROM n JOIN st USING (team, format) GROUP BY team")(
+    lambda t: y.team_profiles(tm.team_records(sides(t), "format"), strengths(t))
 )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from wicketflow.functions import rules as r
+from wicketflow.operators import directory as y
 from wicketflow.operators import innings as i
 from wicketflow.operators import merges
 from wicketflow.operators import quality as q
@@ -245,8 +246,8 @@ def bad_card(t):
 
 CARD_P = "SELECT match_id, innings_number, 'strike rate above 400' AS problem, count_if(balls > 0 AND runs * 100 > balls * 400) AS n FROM bc GROUP BY match_id, innings_number HAVING n > 0 UNION ALL SELECT match_id, innings_number, 'bowling below batting', CAST(1 AS BIGINT) FROM (SELECT match_id, innings_number, sum(runs) AS made FROM bc GROUP BY match_id, innings_number) JOIN bw USING (match_id, innings_number) WHERE conceded < made"
 query("validate_scorecard", f", {BADCARD} {CARD_P}")(lambda t: rec.card_problems(bad_card(t), i.scorecard_bowling(t.deliveries)))
-query("verify_scorecards", f", {BADCARD} SELECT count(DISTINCT match_id) AS matches, count(*) AS rows, count_if(player IS NULL) AS without_player, count_if(balls > 0 AND runs * 100 > balls * 400) AS too_fast FROM bc")(
-    lambda t: bad_card(t).agg(F.countDistinct("match_id").alias("matches"), F.count("*").alias("rows"), r.count_if(F.col("player").isNull()).alias("without_player"), r.count_if((F.col("balls") > 0) & (F.col("runs") * 100 > F.col("balls") * 400)).alias("too_fast"))
+query("verify_scorecards", f", {BADCARD} SELECT count(DISTINCT match_id) AS matches, count(*) AS rows, count_if(player IS NULL) AS without_player, count_if(runs < 0 OR balls < 0) AS negative, count_if(balls > 0 AND runs * 100 > balls * 400) AS too_fast, (SELECT count(*) FROM matches) AS of_matches FROM bc WHERE match_id NOT LIKE '%8'")(
+    lambda t: y.card_coverage(bad_card(t).where("match_id NOT LIKE '%8'"), t.matches)
 )
 query("detect_inflation", f", {CARD_SQL}, x AS (SELECT match_id, innings_number, CAST(sum(runs * CASE WHEN match_id LIKE '%7' THEN 9 ELSE 1 END) AS BIGINT) AS card_runs, CAST(sum(runs) AS BIGINT) AS rebuilt FROM full_card GROUP BY ALL), y AS (SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) AS runs FROM deliveries GROUP BY ALL) SELECT match_id, innings_number, card_runs, runs, rebuilt FROM x JOIN y USING (match_id, innings_number) WHERE card_runs > runs * 1.5")(
     lambda t: (lambda found: found.join(i.scorecard_batting(t.deliveries.join(found.select("match_id").distinct(), "match_id", "left_semi")).groupBy("match_id", "innings_number").agg(r.total("runs").alias("rebuilt")), ["match_id", "innings_number"]).select("match_id", "innings_number", "card_runs", "runs", "rebuilt"))(
@@ -263,11 +264,7 @@ def rebuilt(t):
 
 
 query("rebuild_scorecards", f", {BADCARD} SELECT match_id, innings_number, player, CASE WHEN match_id IN (SELECT match_id FROM ({CARD_P})) THEN full_card.runs ELSE bc.runs END AS runs FROM full_card JOIN bc USING (match_id, innings_number, player)")(rebuilt)
-query("scorecard_from_rows", "SELECT match_id, innings_number, batter AS player, CAST(sum(runs_batter) AS BIGINT) AS runs, count(*) AS balls FROM deliveries GROUP BY match_id, innings_number, batter")(
-    lambda t: t.deliveries.groupBy("match_id", "innings_number", F.col("batter").alias("player")).agg(r.total("runs_batter").alias("runs"), F.count("*").alias("balls"))
-)
-
-
+query("scorecard_from_rows", "SELECT match_id, innings_number, batter AS player, CAST(sum(runs_batter) AS BIGINT) AS runs, count(*) AS balls FROM deliveries GROUP BY match_id, innings_number, batter")(lambda t: y.card_of_rows(t.deliveries))
 def replaced_directory(t):
     """(status, matches): a directory's matches as they are new, changed or the same in the stored totals, which they replace."""
     new = m.flatten(read_rich(t)).groupBy("match_id").agg(r.total("runs_total").alias("runs"))

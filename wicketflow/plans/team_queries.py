@@ -50,9 +50,10 @@ PERF = SIDES + """, tp AS (SELECT *, runs / matches::DOUBLE AS avg_score, CASE W
  count_if(chased AND result_type = 'win' AND winner = team) AS chases_won, count_if(NOT chased) AS defences, count_if(NOT chased AND result_type = 'win' AND winner = team) AS defences_won FROM sides GROUP BY ALL)) """
 TB = """ tb AS (SELECT *, CASE WHEN balls > 0 THEN conceded * 6.0::DOUBLE / balls END AS economy FROM (SELECT bowling_team AS team, format, count_if(legal) AS balls, CAST(sum(charged) AS BIGINT) AS conceded, count_if(credited) AS wickets, count_if(legal AND runs_total = 0) AS dots FROM flags GROUP BY ALL)) """
 query("team_bowling", "," + TB + "SELECT * FROM tb")(lambda t: o.team_bowling(t.deliveries))
-query("team_strength", PERF + "," + TB + """, z AS (SELECT team, format, coalesce((avg_score - min(avg_score) OVER f) / nullif(max(avg_score) OVER f - min(avg_score) OVER f, 0) * 100, 50.0) AS batting_score,
- coalesce((max(economy) OVER f - economy) / nullif(max(economy) OVER f - min(economy) OVER f, 0) * 100, 50.0) AS bowling_score, wins * 100.0::DOUBLE / matches AS wr FROM tp LEFT JOIN tb USING (team, format) WINDOW f AS (PARTITION BY format))
-SELECT team, format, batting_score, bowling_score, 0.35::DOUBLE * batting_score + 0.35::DOUBLE * bowling_score + 0.30::DOUBLE * wr AS strength FROM z""")(lambda t: o.team_strength(o.team_performance(sides(t)), o.team_bowling(t.deliveries)))
+STRENGTH = """ z AS (SELECT team, format, coalesce((avg_score - min(avg_score) OVER f) / nullif(max(avg_score) OVER f - min(avg_score) OVER f, 0) * 100, 50.0) AS batting_score,
+ coalesce((max(economy) OVER f - economy) / nullif(max(economy) OVER f - min(economy) OVER f, 0) * 100, 50.0) AS bowling_score, wins * 100.0::DOUBLE / matches AS wr FROM tp LEFT JOIN tb USING (team, format) WINDOW f AS (PARTITION BY format)),
+st AS (SELECT team, format, batting_score, bowling_score, 0.35::DOUBLE * batting_score + 0.35::DOUBLE * bowling_score + 0.30::DOUBLE * wr AS strength FROM z) """
+query("team_strength", PERF + "," + TB + "," + STRENGTH + "SELECT * FROM st")(lambda t: o.team_strength(o.team_performance(sides(t)), o.team_bowling(t.deliveries)))
 for _name, _team, _runs, _wk in (("team_phase_batting", "batting_team", "runs_total", "is_wicket"), ("team_phase_bowling", "bowling_team", "charged", "credited")):
     query(_name, f"""SELECT *, runs / matches::DOUBLE AS runs_per_match, CASE WHEN balls > 0 THEN runs * 6.0::DOUBLE / balls END AS economy FROM (
 SELECT {_team} AS team, format, phase, count(DISTINCT match_id) AS matches, CAST(sum({_runs}) AS BIGINT) AS runs, count_if(legal) AS balls, count_if({_wk}) AS wickets FROM flags GROUP BY ALL)""")(lambda t, b=_team == "bowling_team": o.team_phases(t.deliveries, bowling=b))
