@@ -130,3 +130,13 @@ def test_official_careers_by_ids(spark):
     assert {x["name"] for x in records.unresolved_names(lines).collect()} == {"y", "z", "w", "nobody"}
     empty = documents(spark, []).withColumn("innings", F.lit(None).cast(docs.schema["innings"].dataType))
     assert records.official_bowling(empty).count() == 0 and records.official_batting(empty).where("innings > 0").count() == 0
+
+
+def test_staged_tables_can_be_removed(spark):
+    from wicketflow.sources import shared
+
+    a, b = shared.staged(spark.range(3), "a"), shared.staged(spark.range(4), "b")
+    assert shared.drop_staged(spark, b) >= 1 and b.count() == 4
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(a.inputFiles()[0])
+    assert shared.drop_staged(spark) == 1 and shared.drop_staged(spark) == 0

@@ -61,7 +61,12 @@ def scaled(rows: DataFrame, keys: list[str], columns: dict[str, bool]) -> DataFr
     return out.drop(*[f"_{n}_{c}" for c in columns for n in ("low", "high")])
 
 
-def percentiles(rows: DataFrame, row: list[str], keys: list[str], values: dict[str, tuple[Column, bool]], *, alone: float | None = 50.0, ranges: int = 16) -> DataFrame:
+def _dealt(rows: DataFrame, ranges: int | None, *columns: str) -> DataFrame:
+    """rows by ranges of columns: so many, or as many as the session's shuffle partitions, which Spark joins where they are small."""
+    return rows.repartitionByRange(ranges, *columns) if ranges else rows.repartitionByRange(*columns)
+
+
+def percentiles(rows: DataFrame, row: list[str], keys: list[str], values: dict[str, tuple[Column, bool]], *, alone: float | None = 50.0, ranges: int | None = None) -> DataFrame:
     """rows with ``<name>_rank`` for each of values: its percentile (0 to 100) within keys, ties at their mean rank.
 
     row: the columns that tell rows apart; values: name -> (column, whether the least is best). A null value has none.
@@ -72,7 +77,7 @@ def percentiles(rows: DataFrame, row: list[str], keys: list[str], values: dict[s
     long = rows.select(*row, *[k for k in keys if k not in row], F.inline(kinds)).where("value is not null")
     group = [*keys, "name"]
     counted = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
-    dealt = counted.repartitionByRange(ranges, *group, "value").withColumn("part", F.spark_partition_id())
+    dealt = _dealt(counted, ranges, *group, "value").withColumn("part", F.spark_partition_id())
     dealt = staged(dealt, "ranges")  # the parts stay as they are
     own = Window.partitionBy("part", *group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     parts = dealt.groupBy(*group, "part").agg(F.sum("n").alias("in_part"))  # a row a group and range
@@ -87,13 +92,14 @@ def percentiles(rows: DataFrame, row: list[str], keys: list[str], values: dict[s
     return rows.join(wide, row, "left")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column], into: str = "n", *, ranges: int = 16) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], into: str = "n", *, ranges: int | None = None) -> DataFrame:
     """rows with into: the place within keys by order (which tells all rows of a key apart), from 1.
 
     Rows are dealt into ranges of the order; a row's place is the number of rows in the ranges before its own, and within it.
     """
     names = [f"_o{i}" for i in range(len(order))]
-    dealt = rows.select("*", *[o.alias(n) for o, n in zip(order, names)]).repartitionByRange(ranges, *keys, *names).withColumn("_part", F.spark_partition_id())
+    dealt = rows.select("*", *[o.alias(n) for o, n in zip(order, names)])
+    dealt = _dealt(dealt, ranges, *keys, *names).withColumn("_part", F.spark_partition_id())
     dealt = staged(dealt, "ranges")  # the parts stay as they are
     sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))  # a row a key and range
     before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

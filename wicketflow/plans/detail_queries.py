@@ -105,7 +105,7 @@ SELECT tp.*, ph.* EXCLUDE (team, format), 0.35::DOUBLE * bs + 0.35::DOUBLE * ws
 query("tournament_overview", "SELECT competition, season, count(DISTINCT match_id) AS matches, count(DISTINCT team) AS teams, count(DISTINCT venue) AS venues, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(wickets) AS BIGINT) AS wickets, max(runs) AS highest, avg(runs) FILTER (innings_number = 1) AS avg_first FROM (SELECT match_id, venue, competition, season, innings_number, batting_team AS team, CAST(sum(runs_total) AS BIGINT) AS runs, count_if(is_wicket) AS wickets FROM deliveries GROUP BY ALL) GROUP BY competition, season")(
     lambda t: o.edition_summary(t.deliveries)
 )
-query("dashboard_counts", f", {BAT_SQL} SELECT (SELECT count(*) FROM matches) AS matches, (SELECT count(DISTINCT venue) FROM matches) AS venues, (SELECT count(DISTINCT player) FROM bl) AS batters, (SELECT string_agg(player || ':' || runs, ',' ORDER BY runs DESC, player) FROM (SELECT player, CAST(sum(runs) AS BIGINT) AS runs FROM bl GROUP BY player ORDER BY runs DESC, player LIMIT 5)) AS top_batters, (SELECT string_agg(venue || ':' || n, ',' ORDER BY n DESC, venue) FROM (SELECT venue, count(*) AS n FROM matches GROUP BY venue ORDER BY n DESC, venue LIMIT 3)) AS top_venues")(
+query("overview_counts", f", {BAT_SQL} SELECT (SELECT count(*) FROM matches) AS matches, (SELECT count(DISTINCT venue) FROM matches) AS venues, (SELECT count(DISTINCT player) FROM bl) AS batters, (SELECT string_agg(player || ':' || runs, ',' ORDER BY runs DESC, player) FROM (SELECT player, CAST(sum(runs) AS BIGINT) AS runs FROM bl GROUP BY player ORDER BY runs DESC, player LIMIT 5)) AS top_batters, (SELECT string_agg(venue || ':' || n, ',' ORDER BY n DESC, venue) FROM (SELECT venue, count(*) AS n FROM matches GROUP BY venue ORDER BY n DESC, venue LIMIT 3)) AS top_venues")(
     lambda t: t.matches.agg(F.count("*").alias("matches"), F.countDistinct("venue").alias("venues")).crossJoin(F.broadcast(t.bat_lines.agg(F.countDistinct("player").alias("batters"))))
     .crossJoin(F.broadcast(o.leading(t.bat_lines.groupBy("player").agg(r.total("runs").alias("n")), "player", 5, "top_batters"))).crossJoin(F.broadcast(o.leading(t.matches.groupBy("venue").agg(F.count("*").alias("n")), "venue", 3, "top_venues")))  # one row each
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: it is computed once, and lost executors cost no more than a read."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The folders that staged() has written and that haven't been removed yet.
+_made: list[str] = []
+
+
+def drop_staged(spark: SparkSession, *keep: DataFrame) -> int:
+    """Removes the folders that staged() has written so far, but for those that keep is read from; how many.
+
+    To be called when what was computed from them has been written: a DataFrame that still reads them would fail.
+    """
+    bare = lambda p: re.sub(r"^\w+:/*", "/", p)
+    kept = {bare(f).rpartition("/")[0] for df in keep for f in df.inputFiles()}
+    gone = [p for p in _made if bare(p) not in kept]
+    for path in gone:
+        remove(spark, path)
+        _made.remove(path)
+    return len(gone)
+
+
 def _folder(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
