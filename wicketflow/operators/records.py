@@ -112,10 +112,10 @@ def facts(matches: DataFrame) -> DataFrame:
     taken = f"size(filter(coalesce(d.wickets, array()), w -> {kind} NOT IN ({no_bowlers})))"
     phase, n = _phase_of("format", "o.over"), "i + 1"
     bat = _fact(player="d.batter", innings=n, seen="1", bats="1", runs="coalesce(d.runs.batter, 0)", faced=num(f"NOT ({wide})"), dot=num(f"NOT ({wide}) AND d.runs.total = 0"), four=num(four), six=num(six), phase=phase)
-    other = _fact(player="d.non_striker", innings=n, seen="1")
+    other = _fact(player="p", innings=n, seen="1")
     gone = f"transform(filter(coalesce(d.wickets, array()), w -> {kind} NOT IN ({no_out}) AND coalesce(w.player_out, d.batter) IN (d.batter, d.non_striker)), w -> {_fact(player='coalesce(w.player_out, d.batter)', innings=n, gone='1')})"
     balls = "coalesce(o.deliveries, array())"
-    batters = f"flatten(transform({balls}, d -> concat(array({bat}, {other}), {gone})))"
+    batters = f"concat(transform({balls}, d -> {bat}), transform(array_distinct(transform({balls}, d -> d.non_striker)), p -> {other}), flatten(transform({balls}, d -> {gone})))"
     sums = {"legal": num(f"NOT ({wide}) AND NOT {noball}"), "charged": charged, "taken": taken, "still": num(f"NOT ({wide}) AND NOT {noball} AND d.runs.total = 0"), "hit": num(f"{four} OR {six}")}
     summed = {k: f"aggregate(filter({balls}, d -> d.bowler = p), 0, (s, d) -> s + {v})" for k, v in sums.items()}
     summed["maiden"] = num(f"{summed['legal']} >= 6 AND {summed['charged']} = 0")

@@ -149,7 +149,11 @@ def delivery_count(matches: DataFrame) -> DataFrame:
 
 
 def as_documents(d: DataFrame) -> DataFrame:
-    """Deliveries back as match documents; an innings' balls meet in one row, which is a match's size."""
+    """Deliveries back as match documents; an innings' balls meet in one row, which is a match's size.
+
+    Matches are dealt out once: overs, innings and documents are then grouped where they are.
+    """
+    d = d.repartition("match_id")
     extras = F.map_filter(F.create_map(*[x for k in ("wides", "noballs", "byes", "legbyes", "penalty") for x in (F.lit(k), F.col(f"extras_{k}"))]), lambda k, v: v > 0)
     wicket = F.when(F.col("is_wicket"), F.array(F.struct(F.col("dismissed_player").alias("player_out"), F.col("wicket_type").alias("kind"), F.array(F.struct(F.col("fielder").alias("name"))).alias("fielders"))))
     runs = F.struct(F.col("runs_batter").alias("batter"), F.col("runs_extras").alias("extras"), F.col("runs_total").alias("total"), "non_boundary")
