@@ -114,9 +114,9 @@ def in_stages(asked: DataFrame, stages: list[tuple[str, DataFrame]], parts: Data
 def resolve_unambiguous(names: DataFrame, dimension: DataFrame) -> DataFrame:
     """(name, id): as written, else without case, else as a part of one candidate's name only; null where none or several.
 
-    names: (name); dimension: (id, name).
+    names: (name), of which null is one; dimension: (id, name).
     """
-    asked = names.select("name").where("name is not null").distinct().withColumn("_key", identity_key(F.col("name")))
+    asked = names.select("name").distinct().withColumn("_key", identity_key(F.col("name")))
     stages = [("name", meaning(dimension, F.col("name"))), ("_key", meaning(dimension, identity_key(F.col("name"))))]
     return in_stages(asked, stages, dimension.select("id", F.col("name").alias("text")))
 
