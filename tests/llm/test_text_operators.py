@@ -335,6 +335,22 @@ def test_html_marks_and_wrappers(page, want):
     assert html_text.page_text(html_text.parse(f"<body>{page}</body>"), html_text.Template()) == want.replace("|", "\n\n")
 
 
+@pytest.mark.parametrize("opening", ["<div class='a'>", "<b>", "<nav>", "<li><b>", "<div>t"])
+def test_deep_pages_take_time_by_their_length(opening):
+    """60,000 open elements: paths and what is around them are numbers, so nothing grows with the depth of an element."""
+    page = html_text.parse(opening * 60_000 + "<p>end")
+    assert len(page.up) > 60_000 and len(html_text.page_tokens(page)) > 60_000
+    text = html_text.page_text(page, html_text.Template(frozenset(), page.keys[-1]))
+    assert text == "end" and html_text.page_text(page, html_text.Template()).endswith("" if opening == "<nav>" else "end")
+    assert (html_text.page_text(page, html_text.Template()) == "") == (opening == "<nav>")
+
+
+def test_tags_and_comments_without_end():
+    text = lambda h: html_text.page_text(html_text.parse(h), html_text.Template())
+    assert text("<p>one</p>" + "<a " * 200_000) == "one\n\n" + " ".join(["<a"] * 200_000)
+    assert [text(h) for h in ("<p>a<!-- b <p>c", "<p>a<!-- b", "<p>a<![CDATA[b", "<p>a<![CDATA[b]]>c", "a<!-->b", "a < b", "a <b", "<p class='a/b'>x</p>y")] == ["a", "a", "ab", "abc", "a", "a < b", "a <b", "x\n\ny"]
+
+
 def test_no_labelled_string_stands_in_the_corpus(spark):
     marked = {re.sub(r"^\{\w+:|\}$", "", m) for line in pii.LABELLED for m in re.findall(r"\{(?:email|phone|secret):[^}]*\}", line)}
     strings = marked | {m for line in pii.LABELLED for m in re.findall(r"[A-Za-z0-9_]{10,}", line)}

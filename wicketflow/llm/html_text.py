@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,43 +71,90 @@ ENDED_BY = {
 SUPPORT, SUPPORT_PAGES, CLASS_TOKENS = 0.5, 3, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_UNCLOSED = re.compile(r"<!--(?!.*-->).*|<!\[CDATA\[(?!.*\]\]>).*", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 
 
+def _key(kind: str, within: int | str, text: str = "") -> int:
+    raw = f"{kind}\0{within}\0{text}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+_ROOT = _key("element", "")
+
+
 @dataclass
 class Block:
-    """A block's text, the path of its element, the letters of it in links, and what is around it."""
+    """A block's text, the number of its element's path, the letters of it in links, and what is around it."""
 
     text: str
-    path: str
+    path: int
     linked: int
-    #: The marked elements around it, and those that by their meaning aren't article, by number.
+    #: The marked elements around it, and the innermost one that by its meaning isn't article, by number.
     marks: tuple[int, ...]
-    asides: tuple[int, ...]
+    aside: int
 
 
 @dataclass
 class Page:
-    """A parsed page. paths: how often each element path occurs."""
+    """A parsed page. Element paths and asides (elements that by their meaning aren't article) have numbers; number 0 is the
+    root's path, or no aside, and what is around a path or an aside has a lower number than itself."""
 
     blocks: list[Block] = field(default_factory=list)
-    paths: Counter = field(default_factory=Counter)
-    #: Of each path: the elements around its first element, itself too, that by their meaning aren't article; its mark.
-    around: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    marked: dict[str, int] = field(default_factory=dict)
-    #: Of each marked element: the elements around it that by their meaning aren't article. Of each of these: its tag.
-    mark_asides: list[tuple[int, ...]] = field(default_factory=list)
-    wrappers: list[str] = field(default_factory=list)
+    #: Of each path: the path around it, its last element's tag and class, its key, and how often it occurs.
+    up: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
+    keys: list[int] = field(default_factory=lambda: [_ROOT])
+    counts: list[int] = field(default_factory=lambda: [1])
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+    #: Of each path: the innermost aside around its first element, or that itself; whether it is marked.
+    around: list[int] = field(default_factory=lambda: [0])
+    marked: list[bool] = field(default_factory=lambda: [False])
+    #: Of each marked element: the innermost aside around it. Of each aside: its tag, the aside around it, how many there are.
+    mark_aside: list[int] = field(default_factory=list)
+    tags: list[str] = field(default_factory=lambda: [""])
+    aside_up: list[int] = field(default_factory=lambda: [0])
+    aside_depth: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, e: _Element, up: _Element, name: str) -> None:
+        """Gives e, whose tag and class are name, its path."""
+        if (k := self.numbers.get((up.path, name))) is None:
+            k = self.numbers[up.path, name] = len(self.up)
+            self.up.append(up.path)
+            self.names.append(name)
+            self.keys.append(_key("element", self.keys[up.path], name))
+            self.counts.append(0)
+            self.around.append(e.aside)
+            self.marked.append(not e.off and e.article > up.article)
+        self.counts[k] += 1
+        e.path = k
+
+    def chain(self, aside: int) -> frozenset[int]:
+        """The aside and those around it."""
+        out = set()
+        while aside:
+            out.add(aside)
+            aside = self.aside_up[aside]
+        return frozenset(out)
+
+    def free(self, held: frozenset[int]) -> list[bool]:
+        """Of each aside: whether held has it and all around it."""
+        out = [True]
+        for k in range(1, len(self.tags)):
+            out.append(k in held and out[self.aside_up[k]])
+        return out
 
 
 class _Element:
-    __slots__ = ("tag", "path", "aside", "link", "article", "marks", "asides", "inline")
+    """An open element. block: where the innermost element that makes blocks stands in the stack."""
 
-    def __init__(self, tag: str, path: str, aside: bool, link: bool, article: int) -> None:
-        self.tag, self.path, self.aside, self.link, self.article = tag, path, aside, link, article
-        self.marks, self.asides, self.inline = (), (), False
+    __slots__ = ("tag", "off", "link", "article", "path", "marks", "aside", "inline", "block")
+
+    def __init__(self, tag: str, off: bool, link: bool, article: int) -> None:
+        self.tag, self.off, self.link, self.article = tag, off, link, article
+        self.path, self.marks, self.aside, self.inline, self.block = 0, (), 0, False, 0
 
 
 def _named_aside(name: str) -> bool:
@@ -118,7 +165,8 @@ def _named_aside(name: str) -> bool:
     return parts[0] in STRONG or parts[-1] in STRONG or any(p in WEAK for p in parts) and all(p in WEAK or p in STRONG or p in LAYOUT for p in parts)
 
 
-def _open(tag: str, attributes: str, up: _Element) -> _Element:
+def _open(tag: str, attributes: str, up: _Element) -> tuple[_Element, str]:
+    """An element, and its tag and class."""
     name, off, article = tag, tag in ASIDE or tag == "header" and not up.article, up.article
     if attributes and not attributes.isspace():
         own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
@@ -140,14 +188,17 @@ def _open(tag: str, attributes: str, up: _Element) -> _Element:
         article = 2
     elif tag == "main":
         article = max(article, 1)
-    return _Element(tag, f"{up.path}/{name}", off, up.link or tag == "a", article)
+    return _Element(tag, off, up.link or tag == "a", article), name
 
 
 def parse(source: str) -> Page:
-    """The blocks of text of a page in order, and its elements. Text of asides within a block is left out of it."""
+    """The blocks of text of a page in order, and its elements. Text of asides within a block is left out of it.
+
+    Time and memory grow with the page's length, however deep its elements are.
+    """
     page = Page()
-    root = _Element("", "", False, False, 0)
-    stack = [root]
+    stack = [_Element("", False, False, 0)]
+    opened: dict[str, list[int]] = defaultdict(lambda: [0])  # where the open elements of a tag stand; 0: none
     words: list[str] = []
     linked = 0
 
@@ -155,8 +206,8 @@ def parse(source: str) -> Page:
         nonlocal linked
         if words:
             if text := " ".join("".join(words).split()):
-                own = next((x for x in reversed(stack) if x.tag in BLOCKS), root)
-                page.blocks.append(Block(text, own.path, min(linked, len(text)), own.marks, own.asides))
+                own = stack[stack[-1].block]
+                page.blocks.append(Block(text, own.path, min(linked, len(text)), own.marks, own.aside))
             words.clear()
         linked = 0
 
@@ -168,13 +219,21 @@ def parse(source: str) -> Page:
             if stack[-1].link:
                 linked += len(text.strip())
 
+    def close(at: int) -> None:
+        while len(stack) > at:
+            opened[stack.pop().tag].pop()
+
     at, n, lower = 0, len(source), source.lower()
+    last = source.rfind(">") + 1
     if len(lower) != n:  # a letter whose lower case is longer
         lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in source)
     while True:
-        m = _TOKEN.search(source, at)
-        if not m:
-            put(source[at:])
+        m = _TOKEN.search(source, at, last) if at < last else None
+        if not m or m.end() == last and _UNCLOSED.match(m[0]):  # after the last > there can be but the rest of an open comment
+            rest = _UNCLOSED.search(source, m.start() if m else max(at, last))
+            put(source[at : rest.start() if rest else n])
+            if rest and rest[0].startswith("<![CDATA["):
+                words.append(rest[0][9:])
             break
         put(source[at : m.start()])
         at = m.end()
@@ -184,11 +243,11 @@ def parse(source: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[depth + 1 :])):
-                if any(e.tag in BLOCKS for e in stack[depth:]):
+            depth = opened[tag][-1]
+            if depth and (tag in BLOCKS or stack[-1].block <= depth):
+                if stack[-1].block >= depth:
                     flush()
-                del stack[depth:]
+                close(depth)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -205,31 +264,28 @@ def parse(source: str) -> Page:
             continue
         if tag in BLOCKS:
             flush()
-            while len(stack) > 1 and any(e.tag == "p" for e in stack):  # a paragraph holds no block
-                if stack.pop().tag == "p":
-                    break
+            if opened["p"][-1]:  # a paragraph holds no block
+                close(opened["p"][-1])
         if tag in ENDED_BY:
             ends, between = ENDED_BY[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in between:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
+            if (i := max(opened[x][-1] for x in ends)) > max(opened[x][-1] for x in between):
+                close(i)
         up = stack[-1]
-        e = _open(tag, m[3], up)
-        e.asides, e.marks = up.asides, up.marks
-        if e.aside:
-            e.asides += (len(page.wrappers),)
-            page.wrappers.append(tag)
+        e, name = _open(tag, m[3], up)
+        e.aside, e.marks = up.aside, up.marks
+        if e.off:
+            e.aside = len(page.tags)
+            page.tags.append(tag)
+            page.aside_up.append(up.aside)
+            page.aside_depth.append(page.aside_depth[up.aside] + 1)
         elif e.article > up.article:
-            e.marks += (len(page.mark_asides),)
-            page.mark_asides.append(e.asides)
-        e.inline = tag not in BLOCKS and (e.aside or up.inline)
-        page.paths[e.path] += 1
-        page.around.setdefault(e.path, e.asides)
-        page.marked.setdefault(e.path, int(not e.aside and e.article > up.article))
+            e.marks += (len(page.mark_aside),)
+            page.mark_aside.append(e.aside)
+        e.inline = tag not in BLOCKS and (e.off or up.inline)
+        e.block = len(stack) if tag in BLOCKS else up.block
+        page.add(e, up, name)
         if not m[3].endswith("/") or tag in BLOCKS:
+            opened[tag].append(len(stack))
             stack.append(e)
     flush()
     return page
@@ -240,21 +296,22 @@ def _unlinked(blocks: list[Block]) -> int:
 
 
 def _held(page: Page, slots: list[Block]) -> frozenset[int]:
-    """The wrappers that hold the article, though by their meaning they aren't article."""
-    total = _unlinked(slots)
-    in_mark, in_wrapper, count = Counter(), Counter(), Counter()
+    """The asides that hold the article, though by their meaning they aren't article."""
+    total, free = _unlinked(slots), any(not b.aside for b in slots)
+    in_mark, in_aside, count = Counter(), [0] * len(page.tags), [0] * len(page.tags)
     for b in slots:
         for m in b.marks:
-            if b.asides == page.mark_asides[m]:
+            if b.aside == page.mark_aside[m]:
                 in_mark[m] += len(b.text) - b.linked
-        for k in b.asides:
-            in_wrapper[k] += len(b.text) - b.linked
-            count[k] += 1
+        in_aside[b.aside] += len(b.text) - b.linked
+        count[b.aside] += 1
+    for k in range(len(page.tags) - 1, 0, -1):
+        in_aside[page.aside_up[k]] += in_aside[k]
+        count[page.aside_up[k]] += count[k]
     best = max(in_mark, key=lambda m: (in_mark[m], -m), default=None)
     if best is not None and in_mark[best]:
-        free = any(not b.asides for b in slots)
-        return frozenset(page.mark_asides[best]) if 2 * in_mark[best] >= total or not free else frozenset()
-    return frozenset(k for k, n in in_wrapper.items() if (page.wrappers[k] == "form" or page.wrappers[k] not in ASIDE) and count[k] > 1 and 2 * n > total)
+        return page.chain(page.mark_aside[best]) if 2 * in_mark[best] >= total or not free else frozenset()
+    return frozenset(k for k in range(1, len(page.tags)) if (page.tags[k] == "form" or page.tags[k] not in ASIDE) and count[k] > 1 and 2 * in_aside[k] > total)
 
 
 def _article(slots: list[Block], depth: int) -> list[Block]:
@@ -268,14 +325,6 @@ def _article(slots: list[Block], depth: int) -> list[Block]:
     return [b for part in own.values() for b in _article(part, depth + 1)]
 
 
-def _key(kind: str, path: str, text: str = "") -> int:
-    raw = f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
-
-
-_ROOT = _key("element", "")
-
-
 @dataclass
 class Template:
     """texts: the keys of a host's blocks of text that are template. main: the key of its main element (the root: none)."""
@@ -286,14 +335,17 @@ class Template:
 
 def page_text(page: Page, template: Template) -> str:
     """The article of a page by its host's template."""
-    slots = [b for b in page.blocks if not template.texts or _key("text", b.path, b.text) not in template.texts]
-    if template.main != _ROOT and (path := next((p for p in page.paths if _key("element", p) == template.main), None)) is not None:
-        held = frozenset(page.around[path])
-        within = [b for b in slots if (b.path == path or b.path.startswith(f"{path}/")) and held.issuperset(b.asides)]
-        if within:
+    slots = [b for b in page.blocks if not template.texts or _key("text", page.keys[b.path], b.text) not in template.texts]
+    if template.main != _ROOT and template.main in page.keys:
+        path = page.keys.index(template.main)
+        inside, free = [False] * len(page.up), page.free(page.chain(page.around[path]))
+        inside[path] = True
+        for k in range(path + 1, len(page.up)):
+            inside[k] = inside[page.up[k]]
+        if within := [b for b in slots if inside[b.path] and free[b.aside]]:
             return "\n\n".join(b.text for b in within)
-    held = _held(page, slots)
-    return "\n\n".join(b.text for b in _article([b for b in slots if held.issuperset(b.asides)], 0))
+    free = page.free(_held(page, slots))
+    return "\n\n".join(b.text for b in _article([b for b in slots if free[b.aside]], 0))
 
 
 #: What an element is: an element, a top heading, a marked element, one that by its meaning isn't article.
@@ -314,20 +366,19 @@ def page_key(page: Page) -> int:
 
 def page_tokens(page: Page) -> list[tuple[int, int, int, int, int]]:
     """(token, up, kind, n, open) of a page's distinct tokens; kind: 0 for text; open: letters of unlinked text within."""
-    inside, texts = Counter(), Counter()
+    inside, texts = [0] * len(page.up), Counter()
     for b in page.blocks:
-        size, path = len(b.text) - b.linked, b.path
+        inside[b.path] += len(b.text) - b.linked
         texts[b.path, b.text] += 1
-        inside[""] += size
-        while path:
-            inside[path] += size
-            path = path.rpartition("/")[0]
-    out = [(_ROOT, 0, _ELEMENT, 1, inside[""])]
-    for p, n in page.paths.items():
-        off = len(page.around[p]) > len(page.around.get(p.rpartition("/")[0], ()))
-        kind = _ELEMENT | _HEADING * (p.rpartition("/")[2].partition(".")[0] == "h1") | _MARKED * page.marked[p] | _OFF * off
-        out.append((_key("element", p), _key("element", p.rpartition("/")[0]), kind, n, inside[p]))
-    out += [(_key("text", p, t), _key("element", p), 0, n, n * len(t)) for (p, t), n in texts.items()]
+    for k in range(len(page.up) - 1, 0, -1):
+        inside[page.up[k]] += inside[k]
+    out = [(_ROOT, 0, _ELEMENT, 1, inside[0])]
+    for k in range(1, len(page.up)):
+        up = page.up[k]
+        off = page.aside_depth[page.around[k]] > page.aside_depth[page.around[up]]
+        kind = _ELEMENT | _HEADING * (page.names[k].partition(".")[0] == "h1") | _MARKED * page.marked[k] | _OFF * off
+        out.append((page.keys[k], page.keys[up], kind, page.counts[k], inside[k]))
+    out += [(_key("text", page.keys[k], t), page.keys[k], 0, n, n * len(t)) for (k, t), n in texts.items()]
     return out
 
 
