@@ -79,7 +79,7 @@ STAGES = [
     ("encode", encode_texts),
 ]
 
-#: The language model and the random field are trained, which SQL can't express: tests/llm runs the stages, without a brute-force comparison.
+#: The language model and the random field are trained, which SQL can't express: tests/llm compares run() with plain Python.
 ORACLE_SQL = None
 
 
