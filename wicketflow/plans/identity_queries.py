@@ -239,15 +239,19 @@ query("self_initial_expansion", "SELECT 'T' || t || ' P' || p AS short, 'Team' |
 
 
 def doubtful(t):
-    """Players of whom every fifth shares a name with another one; of these names every second has an alias, every third of those two."""
+    """Every name asked for and whom it means, null where that is in doubt.
+
+    Every fifth player shares a name with another one; of these names every second has an alias, every third of those two.
+    """
     s = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     other = F.col("id") + 10**6
     players = s.withColumn("full_name", F.lit(None).cast("string")).unionByName(s.where("id % 5 = 0").select(other.alias("id"), F.upper("name").alias("name"), F.lit("shared").alias("full_name")))
     aliases = s.where("id % 10 = 0").select(F.upper("name").alias("alias"), other.alias("id")).unionByName(s.where("id % 30 = 0").select(F.col("name").alias("alias"), "id"))
-    return x.resolver(players, aliases)
+    asked = players.select(F.explode(F.array("name", "full_name")).alias("name")).select(n.identity_key(F.col("name")).alias("k")).where("k is not null").distinct()
+    return asked.join(x.resolver(players, aliases), "k", "left")
 
 
-query("resolve_player_unambiguous", "SELECT lower(s_name) AS k, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey + 1000000 ELSE s_suppkey END AS id FROM supplier WHERE s_suppkey % 5 <> 0 OR s_suppkey % 10 = 0 AND s_suppkey % 30 <> 0")(doubtful)
+query("resolve_player_unambiguous", "SELECT lower(s_name) AS k, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey WHEN s_suppkey % 10 = 0 AND s_suppkey % 30 <> 0 THEN s_suppkey + 1000000 END AS id FROM supplier UNION ALL SELECT 'shared', CASE WHEN count(*) = 1 THEN min(s_suppkey) + 1000000 END FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 0")(doubtful)
 
 
 def competitions(t):
