@@ -151,23 +151,24 @@ query("scan_match_json", f"SELECT match_id, format, {WITH_INNINGS} AS with_innin
 
 
 def one_a_file(t):
-    """A document a file: each match is its own partition's only row."""
+    """A document a file, called as its match, in folders by the first three digits: names and paths sort alike."""
     path = fresh_path(t.spark, "files")
     docs = read_rich(t)
-    docs.repartition("match_id").select("match_id", F.to_json(F.struct(*docs.columns)).alias("value")).write.partitionBy("match_id").text(path)
+    name = F.concat(F.lit("folder="), F.substring("match_id", 1, 4), F.lit("/"), "match_id", F.lit(".json"))
+    sinks.write_files(docs.select(name.alias("name"), F.to_json(F.struct(*docs.columns)).alias("content")), path)
     return path
 
 
 def by_folder(t):
-    """read_matches over folders named after the match: what doesn't come with the row comes from the file's path."""
+    """read_matches over files named after the match."""
     path = one_a_file(t)
     return path, m.read_matches(t.spark, path)
 
 
 query("scan_file_batch", f"SELECT match_id, format FROM matches WHERE match_id IN ('m1', 'm2', 'm3')")(
-    lambda t: (lambda path: m.read_matches(t.spark, *[f"{path}/match_id={k}" for k in ("m1", "m2", "m3")]).select("match_id", F.col("info.match_type").alias("format")))(one_a_file(t))
+    lambda t: (lambda path: m.read_matches(t.spark, *[f"{path}/folder={k}/{k}.json" for k in ("m1", "m2", "m3")]).select("match_id", F.col("info.match_type").alias("format")))(one_a_file(t))
 )
-query("fn_match_id", "SELECT match_id, match_id AS from_path FROM matches")(lambda t: by_folder(t)[1].select("match_id", F.regexp_extract("file", "match_id=([^/]+)/", 1).alias("from_path")))
+query("fn_match_id", "SELECT match_id, match_id AS from_path FROM matches")(lambda t: by_folder(t)[1].select("match_id", F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("from_path")))
 query("scan_directory_limited", "SELECT match_id FROM matches ORDER BY match_id LIMIT 20")(lambda t: (lambda docs: m.first_files(docs, 20).select("match_id"))(by_folder(t)[1]))
 query("prepare_matches", f"SELECT match_id, format AS original_match_type, CASE WHEN format = 'T20' AND {MN} % 3 = 0 THEN 'T20I' ELSE format END AS prepared_format FROM matches WHERE {MN} % 5 <> 0")(
     lambda t: m.prepared(read_rich(t), gender="male").select("match_id", "meta.original_match_type", "meta.prepared_format")

@@ -1,7 +1,10 @@
-"""Sinks: parquet by format, replacement of one format, appends of unseen rows, tables over JDBC."""
+"""Sinks: parquet by format, replacement of one format, appends of unseen rows, a file a row, tables over JDBC."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,29 @@ def replaced_matches(old: DataFrame, new: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, url: str, table: str, *, mode: str = "append", batch: int = 1000, truncate: bool = False, **properties: str) -> None:
     """A table over JDBC, straight from the executors."""
     df.write.jdbc(url, table, mode=mode, properties={"batchsize": str(batch), "truncate": str(truncate).lower(), **properties})
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """rows (name, content as text) as a file each, called name, under path; how many. Names may hold folders, and tell rows apart.
+
+    Tasks write the files where they belong: Spark's own writers have the driver rename each file when all are done, one after
+    another. A task that runs again writes the same files once more. path is of a store that pyarrow knows.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        made, n = set(), 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{root}/{name}"
+                if (folder := target.rpartition("/")[0]) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(content.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return rows.select("name", "content").mapInArrow(put, "files long").agg(F.sum("files")).first()[0] or 0
