@@ -6,6 +6,7 @@ in DuckDB; matches and players follow from it. Real data come in through wicketf
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from wicketflow.operators import innings
 from wicketflow.sources.shared import staged
 
 #: The common table expressions b, o, e, deliveries, matches and players; {lineitem} is the source.
-CTES = """
+BALLS = """
 b AS (SELECT *, CAST(FLOOR(l_orderkey/60.0) AS INT) AS m, CASE WHEN l_orderkey % 60 < 30 THEN 1 ELSE 2 END AS inn, CAST(l_quantity AS INT) AS q FROM {lineitem}),
 o AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY m, inn ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INT) AS ord,
   CASE m % 4 WHEN 0 THEN 'T20' WHEN 1 THEN 'T20I' WHEN 2 THEN 'ODI' ELSE 'Test' END AS format,
@@ -37,18 +38,27 @@ deliveries AS (SELECT m, match_id, match_date, format, venue, innings_number, ov
   CASE WHEN extra_type = 'bye' THEN runs_extras ELSE 0 END AS extras_byes, CASE WHEN extra_type = 'legbye' THEN runs_extras ELSE 0 END AS extras_legbyes, 0 AS extras_penalty,
   non_boundary, is_wicket, wicket_type, CASE WHEN is_wicket THEN CASE WHEN wicket_type = 'run out' AND lk = 7 THEN non_striker ELSE batter END END AS dismissed_player,
   CASE WHEN wicket_type IN ('caught', 'run out', 'stumped') THEN REPLACE(bowler, 'P', 'P1') END AS fielder,
-  CONCAT('Cup ', CAST(m % 3 AS STRING)) AS competition, CAST(YEAR(match_date) AS STRING) AS season FROM g),
+  CONCAT('Cup ', CAST(m % 3 AS STRING)) AS competition, CAST(YEAR(match_date) AS STRING) AS season FROM g)"""
+TOTALS = """
 tot AS (SELECT match_id, CAST(SUM(CASE WHEN innings_number = 1 THEN runs_total ELSE 0 END) AS BIGINT) AS first_runs, CAST(SUM(CASE WHEN innings_number = 2 THEN runs_total ELSE 0 END) AS BIGINT) AS second_runs,
   CAST(SUM(CASE WHEN innings_number = 2 AND is_wicket THEN 1 ELSE 0 END) AS BIGINT) AS second_wickets, COUNT(DISTINCT innings_number) AS innings, MIN(m) AS m, MIN(match_date) AS match_date, MIN(format) AS format, MIN(venue) AS venue,
   MIN(team_a) AS team_a, MIN(team_b) AS team_b, MIN(competition) AS competition, MIN(season) AS season FROM deliveries GROUP BY match_id),
 matches AS (SELECT match_id, match_date, format, venue, team_a, team_b, competition, season, first_runs, second_runs, second_wickets, CAST(m % 97 AS INT) AS match_number,
   CASE WHEN m % 2 = 0 THEN team_a ELSE team_b END AS toss_winner, CASE WHEN m % 3 = 0 THEN 'bat' ELSE 'field' END AS toss_decision,
   CASE WHEN m % 20 = 3 OR first_runs = second_runs THEN NULL WHEN first_runs > second_runs THEN team_a ELSE team_b END AS winner,
-  CASE WHEN m % 20 = 3 THEN 'draw' WHEN first_runs = second_runs THEN 'tie' ELSE 'win' END AS result_type FROM tot),
+  CASE WHEN m % 20 = 3 THEN 'draw' WHEN first_runs = second_runs THEN 'tie' ELSE 'win' END AS result_type FROM tot)"""
+PLAYERS = """
 players AS (SELECT CONCAT('T', CAST(n_nationkey % 6 AS STRING), 'P', CAST(p AS STRING)) AS player,
   CASE p % 3 WHEN 0 THEN 'right-arm fast' WHEN 1 THEN 'left-arm orthodox' ELSE 'right-arm offbreak' END AS bowling_style
   FROM (SELECT DISTINCT n_nationkey % 6 AS n_nationkey FROM {nation}) n CROSS JOIN (SELECT DISTINCT n_nationkey % 11 AS p FROM {nation}) p)
 """
+CTES = ",".join((BALLS, TOTALS, PLAYERS))
+
+
+def _whole(sql: str) -> str:
+    """sql for Spark, its floors of quotients as whole division: the same numbers, but Spark divides by 60.0 in decimals, an object a value."""
+    sql = sql.replace("FLOOR(ord / CASE WHEN format='ODI' THEN 2.0 ELSE 6.0 END)", "(ord DIV CASE WHEN format='ODI' THEN 2 ELSE 6 END)")
+    return re.sub(r"FLOOR\((\w+)/(\d+)\.0\)", r"((\1 - pmod(\1, \2)) DIV \2)", sql)
 
 
 def _counts_as_bigint(sql: str) -> str:
@@ -88,7 +98,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, select: str) -> DataFrame:
-        return self.spark.sql(f"WITH {CTES} {select}", lineitem=self.raw("lineitem"), nation=self.raw("nation"))
+        return self.spark.sql(f"WITH {_whole(CTES)} {select}", lineitem=self.raw("lineitem"), nation=self.raw("nation"))
+
+    def stored(self) -> Tables:
+        """The same tables with deliveries and matches written once: for queries that read them several times."""
+        return Stored(self.spark, self.sf_dir)
 
     @cached_property
     def deliveries(self) -> DataFrame:
@@ -110,3 +124,19 @@ class Tables:
     @cached_property
     def players(self) -> DataFrame:
         return self._sql("SELECT * FROM players")
+
+
+class Stored(Tables):
+    """Tables that are numbered and named once; matches are summed from the written deliveries."""
+
+    def stored(self) -> Tables:
+        return self
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        return staged(self._sql("SELECT * FROM deliveries"), "deliveries")
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        sums = self.spark.sql(f"WITH deliveries AS (SELECT * FROM {{balls}}),{TOTALS} SELECT * FROM matches", balls=self.deliveries)
+        return staged(sums, "matches")
