@@ -98,14 +98,14 @@ HIT, LOST, TWICE = f"{MN} % 97 = 5 AND over_number = 0", f"{MN} % 89 = 7 AND ove
 
 def stores(t):
     """(source, target): matches and deliveries, and copies of them that were written elsewhere and then changed."""
-    path, m = fresh_path(t.spark, "copy"), number()
+    t, path, m = t.stored(), fresh_path(t.spark, "copy"), number()
     d, o = t.deliveries.drop("m"), F.col("over_number")
     hit = (m % 97 == 5) & (o == 0)
     there = d.where(~((m % 89 == 7) & (o == 1))).withColumns({"runs_total": F.when(hit, F.col("runs_total") + 1).otherwise(F.col("runs_total")), "venue": F.when(hit & (F.col("ball_in_over") == 1), None).otherwise(F.col("venue"))})
     there = there.unionByName(there.where((m % 83 == 3) & (o == 2)))
     matches = t.matches.withColumn("winner", F.when(m % 41 == 2, F.lit("nobody")).otherwise(F.col("winner")))
-    for name, df in (("matches", matches), ("deliveries", there.select(*sorted(there.columns)))):
-        df.repartition(5).write.parquet(f"{path}/{name}")
+    for name, df, dealt in (("matches", matches, ["venue", "match_id"]), ("deliveries", there.select(*sorted(there.columns)), ["over_number", "match_id"])):
+        df.repartition(*dealt).write.parquet(f"{path}/{name}")  # by other columns than source's, to as many tasks as the session has
     return {"matches": t.matches, "deliveries": d}, {k: t.spark.read.parquet(f"{path}/{k}") for k in ("matches", "deliveries")}
 
 
