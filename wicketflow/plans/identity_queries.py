@@ -18,7 +18,7 @@ from wicketflow.plans.player_queries import bat, bowl, career_bat_sql
 from wicketflow.plans.team_queries import PERF, STRENGTH, TB, sides
 from wicketflow.registry import query
 from wicketflow.sources import sinks
-from wicketflow.sources.shared import fresh_path
+from wicketflow.sources.shared import fresh_path, staged
 from wicketflow.streaming import live as live_rows
 
 MN = "CAST(substr(match_id, 2) AS INT)"
@@ -233,7 +233,8 @@ query("join_alias_lookup", "SELECT DISTINCT l_suppkey, CASE WHEN l_suppkey % 8 =
 query("semi_exists_alias", "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 4 <> 0 AND CAST(s_suppkey AS VARCHAR) LIKE '%7%'")(lambda t: t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).join(aliases(t).where("lower(alias) like '%7%'"), "name", "left_semi").select("id"))
 query("self_initial_expansion", "SELECT 'T' || t || ' P' || p AS short, 'Team' || t || ' P' || p AS long FROM (SELECT DISTINCT regexp_extract(batter, 'T([0-9]+)P', 1) AS t, regexp_extract(batter, 'P([0-9]+)$', 1) AS p FROM deliveries)")(
     lambda t: (lambda parts: n.initial_pairs(parts.select(F.concat(F.lit("T"), "t", F.lit(" P"), "p").alias("name")).unionByName(parts.select(F.concat(F.lit("Team"), "t", F.lit(" P"), "p").alias("name")))).where(F.regexp_extract("short", "([0-9]+) ", 1) == F.regexp_extract("long", "([0-9]+) ", 1)))(
-        t.deliveries.select(F.regexp_extract("batter", "T([0-9]+)P", 1).alias("t"), F.regexp_extract("batter", "P([0-9]+)$", 1).alias("p")).distinct()
+        # written once: else every side of the pairs derives all balls again, and asks the names' conditions of each ball
+        staged(t.deliveries.select("batter").distinct().select(F.regexp_extract("batter", "T([0-9]+)P", 1).alias("t"), F.regexp_extract("batter", "P([0-9]+)$", 1).alias("p")).distinct(), "parts")
     )
 )
 
