@@ -18,7 +18,7 @@ from wicketflow.operators.identity import resolver
 from wicketflow.registry import query
 from wicketflow.sources import matches as m
 from wicketflow.sources import sinks
-from wicketflow.sources.shared import fresh_path
+from wicketflow.sources.shared import fresh_path, staged
 
 PH = rec.PHASES
 
@@ -121,11 +121,12 @@ query("official_bowling", OW + f" SELECT {', '.join(c if c not in OW_PHASE else
 
 def official_by_id(t):
     """Careers by resolved ids: P1 and P2 of a team are one player, P3 of every team shares its name with another, P4 has an alias only."""
-    names = t.deliveries.select(F.explode(F.array("batter", "bowler")).alias("name")).distinct()
+    t = t.stored()
+    names = staged(t.deliveries.select("batter", "bowler").distinct().select(F.explode(F.array("batter", "bowler")).alias("name")).distinct(), "names")
     last = F.regexp_extract("name", "P([0-9]+)$", 1)
     players = names.where(~last.isin("2", "4")).select(F.concat(F.lit("id-"), "name").alias("id"), F.upper("name").alias("name"), F.when(last == "1", F.regexp_replace("name", "P1$", "P2")).alias("full_name"))
     players = players.unionByName(names.where(last == "3").select(F.concat(F.lit("other-"), "name").alias("id"), "name", F.lit(None).cast("string").alias("full_name")))
-    known = resolver(players, names.where(last == "4").select(F.lower("name").alias("alias"), F.concat(F.lit("via-"), "name").alias("id")))
+    known = staged(resolver(players, names.where(last == "4").select(F.lower("name").alias("alias"), F.concat(F.lit("via-"), "name").alias("id"))), "known")
     lines = rec.official_lines(read_rich(t), known)
     return rec.bowling_careers(lines).select("player", "format", "innings", "wickets", "balls", "matches")
 
