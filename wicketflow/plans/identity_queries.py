@@ -101,9 +101,10 @@ query("fn_scores_by_team", TEXTS + f"SELECT match_id, CASE WHEN {MN} % 7 = 0 THE
 
 def entities(t):
     """Teams of live rows with their ids, by name."""
+    t = t.stored()
     dim = t.deliveries.select("batting_team").distinct().select(F.concat(F.lit("id-"), "batting_team").alias("id"), F.upper("batting_team").alias("name"), F.regexp_replace("batting_team", "Team", "T").alias("short"))
     rows = detail(t)
-    ids = x.team_matches(rows.select(F.col("team_a").alias("name")).union(rows.select("team_b")), dim)
+    ids = staged(x.team_matches(rows.select(F.col("team_a").alias("name")).union(rows.select("team_b")), staged(dim, "teams")), "ids")
     return rows.join(ids.select(F.col("name").alias("team_a"), F.col("id").alias("team_a_id")), "team_a", "left").join(ids.select(F.col("name").alias("team_b"), F.col("id").alias("team_b_id")), "team_b", "left").select("match_id", "team_a_id", "team_b_id")
 
 
