@@ -167,10 +167,12 @@ REFERENCES = [keys.Reference("lines", "innings_id", "innings"), keys.Reference("
 
 
 def graph(t):
+    t = t.stored()
     d, inn = t.deliveries, F.concat_ws("-", "match_id", F.col("innings_number").cast("string"))
+    lines = staged(d.groupBy("match_id", "innings_number", "batter").agg(F.count("*").alias("balls")), "lines")
     return {
-        "lines": d.groupBy(inn.alias("innings_id"), "batter").agg(F.count("*").alias("balls")),
-        "innings": d.select(inn.alias("id"), "match_id").distinct(),
+        "lines": lines.select(inn.alias("innings_id"), "batter", "balls"),
+        "innings": lines.select(inn.alias("id"), "match_id").distinct(),
         "matches": t.matches.select(F.col("match_id").alias("id"), F.col("competition").alias("competition_id"), F.col("venue").alias("venue_id")),
         "competitions": t.matches.select(F.col("competition").alias("id")).distinct(),
         "venues": t.matches.select(F.col("venue").alias("id")).distinct(),
