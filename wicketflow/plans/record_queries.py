@@ -85,7 +85,7 @@ def rich(t):
     info = info.withField("registry", F.struct(F.map_from_arrays(F.flatten(elevens), F.transform(F.flatten(elevens), lambda x: F.concat(F.lit("id-"), x))).alias("people")))
     info = info.withField("outcome", F.struct(F.when(n % 7 > 2, F.get(teams, 0)).alias("winner"), F.when(n % 7 == 0, "tie").when(n % 7 == 1, "No Result").alias("result")))
     docs = m.as_documents(t.deliveries).withColumn("info", info)
-    docs.withColumn("innings", F.when(n % 11 != 0, F.col("innings"))).write.json(path)
+    docs.withColumn("innings", F.when(n % 11 != 0, F.col("innings"))).write.json(path, compression="gzip")
     return path
 
 
@@ -219,7 +219,7 @@ def two_roots(t):
     """Documents of two roots, of which the second holds every tenth match again."""
     roots, docs = [fresh_path(t.spark, "root") for _ in range(2)], read_rich(t)
     for root, some in zip(roots, (docs, docs.where(F.substring("match_id", 2, 9).cast("int") % 10 == 1))):
-        some.write.json(root)
+        some.write.json(root, compression="gzip")
     return m.several_sources(m.read_lines(t.spark, *roots)).select("match_id", "n", F.size("files").cast("long").alias("files"))
 
 

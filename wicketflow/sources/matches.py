@@ -43,12 +43,12 @@ def several_sources(matches: DataFrame) -> DataFrame:
     return matches.groupBy("match_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("file")).alias("files")).where("n > 1")
 
 
-def write_prepared(lines: DataFrame, path: str, *, gender: str = "male", remap: bool = True) -> dict[str, int]:
+def write_prepared(lines: DataFrame, path: str, *, gender: str = "male", remap: bool = True, compression: str = "gzip") -> dict[str, int]:
     """Writes the documents of lines (file, value: JSON text) that prepared() takes, and counts what became of all, in one pass.
 
     Counts: total, malformed (no JSON object with info), filtered_out (of another gender), format_remapped (of those written),
     written. The id of a document without one is its file's stem. remap: whether twenty-over matches between countries become
-    T20I. Counts come from an observation of the pass that writes; nothing is read twice.
+    T20I. compression: of the files written (none: as text). Counts come from an observation of the pass that writes; nothing is read twice.
     """
     parsed = lines.select("file", F.from_json("value", f"{_DDL}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
     malformed = F.coalesce(F.col("d._corrupt").isNotNull(), F.lit(True)) | F.col("d.info").isNull()
@@ -62,7 +62,7 @@ def write_prepared(lines: DataFrame, path: str, *, gender: str = "male", remap:
     docs = seen.where("NOT malformed AND NOT other").select("file", "moved", "d.*").drop("_corrupt")
     format_ = F.when(F.col("moved"), "T20I").otherwise(F.col("info.match_type"))
     docs = docs.withColumn("meta", F.struct(F.col("info.match_type").alias("original_match_type"), format_.alias("prepared_format"))).withColumn("info", F.col("info").withField("match_type", format_))
-    docs.withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1))).drop("file", "moved").write.json(path)
+    docs.withColumn("match_id", F.coalesce("match_id", F.regexp_extract("file", r"([^/!]+?)(?:\.[A-Za-z]+)*$", 1))).drop("file", "moved").write.json(path, compression=compression)
     return {k: counts.get[k] for k in fields}
 
 
