@@ -73,6 +73,7 @@ def percentiles(rows: DataFrame, row: list[str], keys: list[str], values: dict[s
     alone: the percentile where a group has one value only (None: 100). All values are ranked together: distinct values
     with their counts are dealt into ranges, and a value's rank is the count in the ranges before it and within its own.
     """
+    rows = staged(rows, "ranked_rows")  # read three times
     kinds = F.array(*[F.struct(F.lit(n).alias("name"), (-v if invert else v).cast("double").alias("value")) for n, (v, invert) in values.items()])
     long = rows.select(*row, *[k for k in keys if k not in row], F.inline(kinds)).where("value is not null")
     group = [*keys, "name"]

@@ -50,10 +50,13 @@ def pr(col: str, order: str = "ASC", keys: str = "format", alone: bool = True) -
 query("percent_rank_avg", CB + f"SELECT player, format, {pr('average')} AS score, {pr('average', 'DESC')} AS inverted FROM cb")(
     lambda t: s.percentiles(c.career_batting(bat(t)), ["player", "format"], ["format"], {"up": (F.col("average"), False), "down": (F.col("average"), True)}).select("player", "format", F.col("up_rank").alias("score"), F.col("down_rank").alias("inverted"))
 )
-query("percent_rank_season", f", {BAT_SQL}, x AS (SELECT player, season, CAST(sum(runs) AS BIGINT) AS runs FROM bl JOIN matches USING (match_id) GROUP BY ALL) SELECT player, season, {pr('runs', keys='season', alone=False)} AS score FROM x")(
-    lambda t: s.percentiles(bat(t).join(t.matches.select("match_id", "season"), "match_id").groupBy("player", "season").agg(F.sum("runs").alias("runs")), ["player", "season"], ["season"], {"runs": (F.col("runs"), False)}, alone=None)
-    .select("player", "season", F.col("runs_rank").alias("score"))
-)
+def season_percentiles(t):
+    t = t.stored()
+    runs = bat(t).join(t.matches.select("match_id", "season"), "match_id").groupBy("player", "season").agg(F.sum("runs").alias("runs"))
+    return s.percentiles(runs, ["player", "season"], ["season"], {"runs": (F.col("runs"), False)}, alone=None).select("player", "season", F.col("runs_rank").alias("score"))
+
+
+query("percent_rank_season", f", {BAT_SQL}, x AS (SELECT player, season, CAST(sum(runs) AS BIGINT) AS runs FROM bl JOIN matches USING (match_id) GROUP BY ALL) SELECT player, season, {pr('runs', keys='season', alone=False)} AS score FROM x")(season_percentiles)
 FI = """, fi0 AS (SELECT *, row_number() OVER (PARTITION BY player, format ORDER BY match_date DESC, match_id DESC, innings_number DESC) AS n FROM bl),
 fb AS (SELECT player, format, count(*) AS innings, sum(runs)::DOUBLE AS runs, sum(balls)::DOUBLE AS balls, sum(runs)::DOUBLE / count(*) AS mean, stddev_samp(runs) AS deviation, avg(runs) FILTER (n <= 10) AS recent_mean, avg(runs) FILTER (innings_number = 2) AS chase_mean FROM fi0 GROUP BY player, format),
 fv AS (SELECT player, format, stddev_samp(m) AS vd, avg(m) AS vm FROM (SELECT player, format, venue, avg(runs) AS m FROM bl GROUP BY ALL) GROUP BY player, format),
@@ -111,6 +114,7 @@ im AS (SELECT *, """ + " + ".join(f"{k} * {w}::DOUBLE" for k, w in s.IMPACT.item
 
 
 def impact(t):
+    t = t.stored()
     lines, overs = t.bat_lines, t.bowl_lines
     return s.impact_score(c.career_batting(lines), c.career_bowling(overs), c.recent_stats(lines, overs), s.impact_context(lines, overs))
 
@@ -167,6 +171,7 @@ def in_editions(t, lines):
 
 
 def edition_impact(t):
+    t = t.stored()
     return s.season_impact(c.career_batting(in_editions(t, t.bat_lines), ("player", *ED)), c.career_bowling(in_editions(t, t.bowl_lines), ("bowler", *ED)), ED)
 
 
@@ -182,6 +187,7 @@ RK = "SELECT * FROM (SELECT format, CAST(row_number() OVER (PARTITION BY format
 
 
 def rated(t, roles, rating, least, both=False):
+    t = t.stored()
     lines, overs = t.bat_lines, t.bowl_lines
     bats, bowls = c.career_batting(lines), c.career_bowling(overs).withColumnRenamed("bowler", "player")
     rows = bats.join(bowls.select("player", "format", "wickets"), ["player", "format"], "full") if both else bowls if "bowler" in roles else bats
