@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,35 @@ def test_long_fragments_merge_as_short_ones(models):
     assert byte.merges._join_long(symbols) == models[2].encode("thereing" * 30, add_special_tokens=False).ids
 
 
+def test_new_pieces_merge_together_as_in_the_library(models):
+    byte, draw = models[0], random.Random(5)
+    letters = ["a", "e", "t", "th", "er", "aa", "un", "x", "q", "ñ", "ß", "é", "字", "😀", "\u00a0", "7", "="]
+    words = ["".join(draw.choices(letters, k=draw.choice([1, 2, 4, 7, 9, 15, 17, 31, 33, 70]))) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 6000, 100)] + ["", "a" * 4, "a" * 8, "a" * 9, "a" * 32, "a" * 33, "<|endoftext|>", "q<|endoftext|><|endoftext|>q", "the " * 500]
+    want = [e.ids for e in models[2].encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(r, np.int32).tolist() for r in byte.encode_all(texts)] == want
+    assert [np.frombuffer(byte.encode(t), np.int32).tolist() for t in texts] == want
+    assert not [p for p in byte.kept if len(p) > 64]
+
+
+def test_rare_pieces_take_no_python_call_each(models):
+    draw = random.Random(6)
+    text = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(5000))
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        ids = models[0].encode(text)
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(ids, np.int32).tolist() == models[2].encode(text, add_special_tokens=False).ids
+    assert calls < 1000
+
+
 def test_encode_and_count_frames(spark, models):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, extra string")
     vocab = bpe.vocabulary(spark, BYTE)

@@ -3,7 +3,9 @@
 A byte pair that never occurs inside any token of the vocabulary can't be joined by any merge, so it marks a certain cut:
 the fragments between cuts are encoded one by one and their ids concatenated. The pre-tokenizer's cuts come first (they
 are cuts that the tokenizer makes before any merge); each piece is then split at its forced boundaries, so that a piece
-of any length is merged in short fragments. Pieces repeat, so each worker keeps a bounded table of those it has encoded.
+of any length is merged in short fragments. Pieces repeat, so each worker keeps a bounded table of those it has encoded;
+the pieces of a batch that are new are cut and merged together, in arrays, so that a rare piece costs little more than a
+frequent one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,10 @@ from wicketflow.llm.common import python_ready, refuse_taken, sent
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces that a worker keeps encoded.
 KEPT = 100_000
+#: Pieces, and fragments, that are encoded at a time: bounds the arrays.
+PIECES, FRAGMENTS = 1 << 16, 1 << 13
+#: Longest fragments merged in one table each; what is longer is merged by itself.
+WIDTHS = (4, 8, 16, 32)
 
 
 def byte_letters() -> list[str]:
@@ -61,24 +66,66 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
-        self.joined = [vocab[a + b] for a, b in pairs]
+        self.joined = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.never = len(pairs)
+        self.none = 1 + max(vocab.values())  # no symbol: stands in no pair
+        keys = np.array([self._key(a, b) for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self._keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self._ranks = np.append(np.fromiter(self.rank.values(), np.int32)[order], np.int32(self.never))
+
+    def _key(self, a, b):
+        return a * (self.none + 1) + b
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, never where it's no merge."""
+        keys = self._key(a.astype(np.int64), b)
+        at = np.searchsorted(self._keys, keys)
+        return np.where(self._keys[at] == keys, self._ranks[at], np.int32(self.never))
+
+    def join(self, symbols: np.ndarray, ranks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """symbols after all merges within each fragment, lowest rank first, leftmost among equals; -1 for those that were joined to the one before.
+
+        ranks: of each symbol's pair with the next one. A fragment is sizes[k] symbols from starts[k] on.
+        """
+        out = symbols.copy()
+        least = 2  # one symbol alone has no pair
+        for width in WIDTHS:
+            of_width = np.flatnonzero((least <= sizes) & (sizes <= width))
+            for k in range(0, len(of_width), FRAGMENTS):
+                some = of_width[k : k + FRAGMENTS]
+                self._join_short(out, ranks, starts[some], sizes[some], width)
+            least = width + 1
+        for k in np.flatnonzero(sizes >= least).tolist():
+            i, n = int(starts[k]), int(sizes[k])
+            ids = self._join_long(symbols[i : i + n].tolist())
+            out[i : i + len(ids)], out[i + len(ids) : i + n] = ids, -1
+        return out
 
-    def join(self, symbols: list[int]) -> list[int]:
-        """symbols after all merges, lowest rank first, leftmost among equals."""
-        if len(symbols) > 40:
-            return self._join_long(symbols)
-        rank, never = self.rank.get, self.never
-        s, ranks = symbols[:], [rank(p, never) for p in zip(symbols, symbols[1:])]
-        while ranks and (r := min(ranks)) < never:
-            i = ranks.index(r)
-            s[i : i + 2] = [self.joined[r]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((s[i - 1], s[i]), never)
-            if i < len(ranks):
-                ranks[i] = rank((s[i], s[i + 1]), never)
-        return s
+    def _join_short(self, out: np.ndarray, ranks: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> None:
+        """A row a fragment, with a place at either end for no symbol; each round makes the first merge of every row that has one."""
+        n, across, never = len(starts), width + 2, np.int32(self.never)
+        column = np.arange(width)
+        places, taken, paired = starts[:, None] + column, column < sizes[:, None], column < sizes[:, None] - 1
+        symbol, rank = np.full((n, across), self.none, np.int32), np.full((n, across), never, np.int32)
+        symbol[:, 1:-1][taken] = out[places[taken]]
+        rank[:, 1:-1][paired] = ranks[places[paired]]
+        s, r = symbol.reshape(-1), rank.reshape(-1)
+        before, after = np.arange(-1, n * across - 1, dtype=np.int32), np.arange(1, n * across + 1, dtype=np.int32)
+        rows = np.arange(n)
+        while len(rows):
+            at = rows * across + rank[rows].argmin(axis=1)
+            best = r[at]
+            going = best < never
+            rows, at, best = rows[going], at[going], best[going]
+            other = after[at]
+            following, preceding = after[other], before[at]
+            s[at], s[other] = self.joined[best], -1
+            r[other] = never
+            after[at], before[following] = following, at
+            r[at] = self.ranks(s[at], s[following])
+            r[preceding] = self.ranks(s[preceding], s[at])
+        out[places[taken]] = symbol[:, 1:-1][taken]
 
     def _join_long(self, symbols: list[int]) -> list[int]:
         """The same with a heap and links, O(n log n)."""
@@ -91,7 +138,7 @@ class Merges:
             j = right[i]
             if j < 0 or (s[i], s[j]) != pair:
                 continue
-            s[i], s[j] = self.joined[r], -1
+            s[i], s[j] = int(self.joined[r]), -1
             right[i], right[j] = right[j], -1
             if (k := right[i]) >= 0:
                 left[k] = i
@@ -111,34 +158,63 @@ class ByteBpe:
         added = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.merges = Merges(vocab, j["model"]["merges"])
         self.first = [vocab[c] for c in letters]
+        self._first = np.array(self.first, np.int32)
+        self.ranks = self.merges.ranks(np.repeat(self._first, 256), np.tile(self._first, 256))  # at 256 a + b: of bytes a, b
         self.bytes = [b""] * (1 + max([*vocab.values(), *added.values()]))
-        inside = self.inside = bytearray(1 << 16)  # at 256 a + b: whether bytes a, b occur so in some token
+        inside = self.inside = np.zeros(1 << 16, bool)  # at 256 a + b: whether bytes a, b occur so in some token
         for token, i in vocab.items():
             self.bytes[i] = raw = bytes(code[c] for c in token)
             for a, b in zip(raw, raw[1:]):
-                inside[a << 8 | b] = 1
+                inside[a << 8 | b] = True
         for token, i in added.items():
             self.bytes[i] = token.encode()
         self.added = {t: np.int32(i).tobytes() for t, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(PATTERN)
-        self.kept = _Kept(self)
-
-    def fragments(self, raw: bytes) -> list[bytes]:
-        """raw cut wherever its two neighbouring bytes occur inside no token."""
-        inside = self.inside
-        cuts = [i for i, (a, b) in enumerate(zip(raw, raw[1:]), 1) if not inside[a << 8 | b]]
-        return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])] if cuts else [raw]
+        self.kept = dict(self.added)  # piece -> ids; a piece is never an added token's string, since those are cut out first
 
     def encode(self, text: str) -> bytes:
         """Ids as int32."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as int32."""
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
+            kept.update(self.added)
+        found = [self._pieces(t) for t in texts]
+        new = list(set().union(*found).difference(kept))
+        for k in range(0, len(new), PIECES):
+            some = new[k : k + PIECES]
+            kept.update(zip(some, self._encoded(some)))
+        ids = [b"".join(map(kept.__getitem__, f)) for f in found]
+        for piece in new:
+            if len(piece) > 64:  # longer pieces hardly repeat
+                del kept[piece]
+        return ids
+
+    def _pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces, with the added tokens' strings between them."""
         if self.special is None or not self.special.search(text):
-            return b"".join(map(kept.__getitem__, pieces_of(self.pieces, text)))
-        parts = self.special.split(text)
-        return b"".join(self.added[p] if k % 2 else b"".join(map(kept.__getitem__, pieces_of(self.pieces, p))) for k, p in enumerate(parts))
+            return pieces_of(self.pieces, text)
+        return [x for k, p in enumerate(self.special.split(text)) for x in ([p] if k % 2 else pieces_of(self.pieces, p))]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: cut wherever two neighbouring bytes occur inside no token, the fragments merged."""
+        raw = [p.encode("utf-8") for p in pieces]
+        ends = np.cumsum([len(x) for x in raw])
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+        cut = np.ones(len(flat) + 1, bool)
+        cut[1:-1] = ~self.inside[pairs]
+        cut[ends] = True
+        bounds = np.flatnonzero(cut)
+        symbols = self.merges.join(self._first[flat], self.ranks[pairs], bounds[:-1], np.diff(bounds))
+        there = symbols >= 0
+        ids = symbols[there].tobytes()
+        at = (4 * np.cumsum(there)[ends - 1]).tolist()
+        return [ids[i:j] for i, j in zip([0, *at], at)]
 
     def decode(self, ids: list[int]) -> str:
         """Unknown ids give no text; bytes that aren't UTF-8 give U+FFFD."""
@@ -146,23 +222,6 @@ class ByteBpe:
         return b"".join(self.bytes[i] for i in ids if 0 <= i < n).decode("utf-8", "replace")
 
 
-class _Kept(dict):
-    """piece -> ids, filled as pieces come."""
-
-    def __init__(self, bpe: ByteBpe) -> None:
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        raw, bpe = piece.encode("utf-8"), self.bpe
-        ids = array("i")
-        for part in bpe.fragments(raw):
-            ids.extend(bpe.merges.join([bpe.first[b] for b in part]))
-        out = ids.tobytes()
-        if len(raw) <= 64:  # longer pieces hardly repeat
-            self[piece] = out
-        return out
-
-
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file's bytes (about 1.5 MB, independent of the data) for all executors."""
     with open(path, "rb") as f:
@@ -189,7 +248,7 @@ def encode(df: DataFrame, vocab: Broadcast, text: str = "text", *, ids: str = "i
         bpe = _model(vocab.value)
         for batch in batches:
             k = batch.schema.get_field_index(text)
-            raw = [bpe.encode(t) if t else b"" for t in batch.column(k).to_pylist()]
+            raw = bpe.encode_all([t or "" for t in batch.column(k).to_pylist()])
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int64)
             flat = np.frombuffer(b"".join(raw), dtype=np.int32)
             out = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
