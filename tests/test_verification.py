@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from wicketflow.operators import digests, grams, identity, names, quality
+from wicketflow.sources import shared
 
 
 def test_holders_equal_brute_force(spark):
@@ -100,6 +104,52 @@ def test_many_unequal_buckets(spark):
     assert digests.differences(a, a.withColumn("v", F.lit(2)), ["id"]).where("kind = 'changed' and columns = array('v')").count() == 20_000
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_rows_of_equal_keys_arent_shuffled(spark):
+    texts = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(i)), 512) for i in range(4)])  # 512 bytes that don't compress
+    a = shared.staged(spark.range(20_000).withColumn("text", texts), "wide")
+    b = a.withColumn("text", F.when(F.col("id") % 200 == 7, F.lit("x")).otherwise(F.col("text"))).repartition(3, "text")
+    b = shared.staged(b, "wide")
+    before = shuffled(spark)
+    got = digests.differences(a, b, ["id"], bits=4)  # as in large tables, each bucket holds one of the 100 keys that differ
+    assert {tuple(x) for x in got.select("id", "kind", F.concat_ws(",", "columns")).collect()} == {(i, "changed", "text") for i in range(7, 20_000, 200)}
+    assert shuffled(spark) - before < 2_000_000  # two sides of 10 MB
+
+
+@pytest.mark.parametrize("most", [0, 1, digests.MOST_KEYS])
+def test_differences_equal_plain_comparison(spark, most, monkeypatch):
+    rng, heavy, plain = random.Random(3), [], digests._heavy
+    monkeypatch.setattr(digests, "_heavy", lambda *x: heavy.extend(plain(*x)) or heavy)
+    hot = [(None, "h", "r"), (None, "h", None), (5000, None, "r")]
+    a = [(k, rng.choice(["p", None]), rng.choice(["v", "w", None])) for k in range(300)] + hot[:2] * 3000 + hot[2:] * 2000 + [(6000, "z", "r")] * 2 + [(6001, "z", "r")]
+    b = [(k, l, rng.choice(["v", v, v, v])) for k, l, v in a[:290]] + hot[:2] * 2999 + hot[1:2] * 2 + hot[2:] * 2000 + [(6000, "z", "s")] * 2 + [(6001, "z", "r")] * 3 + [(7000, None, None)]
+    rows = [Counter((x[:2], x[2]) for x in t) for t in (a, b)]
+    of = [{k: sorted((str(v), n) for (q, v), n in c.items() if q == k) for k in {q for q, _ in c}} for c in rows]
+    kind = lambda k: "missing" if k not in of[1] else "extra" if k not in of[0] else "repeated" if any(sum(n for _, n in o[k]) > 1 for o in of) else "changed"
+    want = {(*k, kind(k)) for k in of[0].keys() | of[1].keys() if of[0].get(k) != of[1].get(k)}
+    x, y = (spark.createDataFrame(t, "k int, l string, v string") for t in (a, b))
+    got = digests.differences(x, y.select("v", "l", "k").repartition(3), ["k", "l"], bits=8, most=most).collect()
+    assert sorted(((d.k, d.l, d.kind) for d in got), key=str) == sorted(want, key=str) and heavy
+    assert all(d["columns"] == (["v"] if d.kind == "changed" else []) for d in got) and {d.kind for d in got} == {"missing", "extra", "changed", "repeated"}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    dealt, until = shared.staged(spark.range(1000).repartition("id"), "dealt"), time.time() + 5
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting) == "false" and dealt.count() == 1000
+
+
 def test_sync_checks_fail_for_their_own_reason(spark):
     m = spark.createDataFrame([("a", "x"), ("b", None)], "match_id string, venue string")
     d = spark.createDataFrame([("a", 1), ("b", 2)], "match_id string, runs int")

@@ -17,7 +17,7 @@ from wicketflow.operators import quality as q
 from wicketflow.plans.innings_queries import BAT_SQL
 from wicketflow.plans.player_queries import bat
 from wicketflow.registry import query
-from wicketflow.sources.shared import fresh_path, staged
+from wicketflow.sources.shared import fresh_path, shuffles_removed, staged
 
 MN = "CAST(substr(match_id, 2) AS INT)"
 
@@ -105,7 +105,8 @@ def stores(t):
     there = there.unionByName(there.where((m % 83 == 3) & (o == 2)))
     matches = t.matches.withColumn("winner", F.when(m % 41 == 2, F.lit("nobody")).otherwise(F.col("winner")))
     for name, df, dealt in (("matches", matches, ["venue", "match_id"]), ("deliveries", there.select(*sorted(there.columns)), ["over_number", "match_id"])):
-        df.repartition(*dealt).write.parquet(f"{path}/{name}")  # by other columns than source's, to as many tasks as the session has
+        with shuffles_removed(t.spark):
+            df.repartition(*dealt).write.parquet(f"{path}/{name}")  # by other columns than source's, to as many tasks as the session has
     return {"matches": t.matches, "deliveries": d}, {k: t.spark.read.parquet(f"{path}/{k}") for k in ("matches", "deliveries")}
 
 
