@@ -140,6 +140,12 @@ def test_differences_equal_plain_comparison(spark, most, monkeypatch):
     assert all(d["columns"] == (["v"] if d.kind == "changed" else []) for d in got) and {d.kind for d in got} == {"missing", "extra", "changed", "repeated"}
 
 
+def test_columns_keep_their_contents_whatever_their_names(spark):
+    a = spark.createDataFrame([(1, 1, "a", 5, 0), (2, 2, None, 6, 0)], "key int, _key int, row string, sign int, _side int")
+    b = a.withColumn("_key", F.when(F.col("key") == 2, 3).otherwise(F.col("_key"))).withColumn("_side", F.when(F.col("key") == 1, 1).otherwise(0))
+    assert sorted(map(tuple, digests.differences(a, b, ["key"]).collect())) == [(1, "changed", ["_side"]), (2, "changed", ["_key"])]
+
+
 def test_shuffle_files_go_with_the_write(spark):
     dirs = [Path(d.getPath()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}

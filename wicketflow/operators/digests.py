@@ -119,10 +119,9 @@ def differences(source: DataFrame, target: DataFrame, key: list[str], bits: int
     few = keys is not None and keys.count() <= most
 
     def side(table: DataFrame, number: int) -> DataFrame:
-        rows = _within(table, key, buckets, bits)
-        if few:
-            rows = rows.withColumn("_key", F.xxhash64(*key)).join(F.broadcast(keys.withColumnRenamed("key", "_key")), "_key", "left_semi")
-        return rows.select(*key, F.lit(number).alias("_side"), *[_hash(columns, n).cast("decimal(38,0)").alias(h) for n, h in ((1, "_a"), (2, "_b"))], F.struct(F.lit(0).alias("_"), *values).alias("_row"))
+        hashes = [_hash(columns, n).cast("decimal(38,0)").alias(h) for n, h in ((1, "_a"), (2, "_b"))]
+        rows = _within(table, key, buckets, bits).select(*key, F.xxhash64(*key).alias("_key"), F.lit(number).alias("_side"), *hashes, F.struct(F.lit(0).alias("_"), *values).alias("_row"))
+        return rows.join(F.broadcast(keys.withColumnRenamed("key", "_key")), "_key", "left_semi") if few else rows
 
     def of(number: int, name: str) -> list[Column]:
         here = F.col("_side") == number
